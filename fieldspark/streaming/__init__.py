@@ -1,0 +1 @@
+"""The streaming subpackage."""
