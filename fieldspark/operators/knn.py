@@ -6,6 +6,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 
 def knn(points: DataFrame, k: int, target: int = 16) -> DataFrame:
     """(id, other, rank, d2) of the k nearest others in the plane, ties by id, for rows (id, x, y).
@@ -13,6 +14,7 @@ def knn(points: DataFrame, k: int, target: int = 16) -> DataFrame:
     A row is final when its k-th distance fits in the cell size, for every point that near lies in the 3 x 3 block; the others
     go on with doubled cells, until one cell spans all.
     """
+    points = written(points.select("id", "x", "y"), "knn-points")
     box = points.agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("x", "y")]).first()
     if box["n"] < 2:
         return points.select("id", F.col("id").alias("other"), F.lit(1).alias("rank"), F.lit(0.0).alias("d2")).limit(0)
@@ -28,11 +30,12 @@ def knn(points: DataFrame, k: int, target: int = 16) -> DataFrame:
         d2 = (F.col("x") - F.col("x2")) ** 2 + (F.col("y") - F.col("y2")) ** 2
         near = left.join(right, ["cx", "cy"]).filter("id <> other").withColumn("d2", d2)
         near = near.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("d2", "other"))).filter(F.col("rank") <= want).select("id", "other", "rank", "d2")
+        near = written(near, "knn-near")
         last = cell > extent
         if not last:
             final = near.filter((F.col("rank") == want) & (F.col("d2") <= cell * cell)).select("id")
             near = near.join(final, "id", "left_semi")
-            todo = todo.join(final, "id", "left_anti")
+            todo = written(todo.join(final, "id", "left_anti"), "knn-todo")
         out = near if out is None else out.unionByName(near)
         if last or todo.isEmpty():
             return out

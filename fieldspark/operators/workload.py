@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import distance, projected
 from ..plans.params import Params
+from ..sources.shared import written
 from .knn import knn
 
 
@@ -22,7 +23,7 @@ def min_per_km(p: Params) -> Column:
 
 def with_travel(points: DataFrame, p: Params = Params()) -> DataFrame:
     """hop minutes between visits and tpk, trip minutes per km, from the 3 and 30 nearest clients; id names the row."""
-    pts = projected(with_visit_load(points)).withColumn("mpk", min_per_km(p))
+    pts = written(projected(with_visit_load(points)).withColumn("mpk", min_per_km(p)), "travel-points")
     near = knn(pts.select("id", "x", "y"), 30)
     hop = near.filter("rank <= 3").groupBy("id").agg(F.avg(F.sqrt("d2")).alias("hop_km"))
     pts = pts.join(hop, "id", "left").withColumn("hop", F.coalesce("hop_km", F.lit(0.0)) * F.col("mpk")).drop("hop_km")
