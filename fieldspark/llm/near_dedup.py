@@ -38,7 +38,7 @@ def signature(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
     for k in range(top + 1):  # weights (0,1], (1,2], (2,4], ...
         low = 0 if k == 0 else 1 << (k - 1)
         on = weights > low
-        seeds.append(_mix(hashes[on].astype(np.uint64) + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)))
+        seeds.append(_mix(_mix(hashes[on].astype(np.uint64)) + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)))
         lows.append(np.full(on.sum(), low))
         sizes.append(np.full(on.sum(), max(low, 1)))
         limit.append(weights[on])
