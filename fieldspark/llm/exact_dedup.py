@@ -18,6 +18,8 @@ BLANKS = " \t\n\x0b\x0c\r"
 SALTS = 64
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 KEY = "spark.sql.streaming.stateStore.providerClass"
+# Without this every state store reserves some MB of disk for its manifest, whatever it holds.
+RESERVE = "spark.sql.streaming.stateStore.rocksdb.allowFAllocate"
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -32,8 +34,9 @@ def stream_state(digests: DataFrame) -> DataFrame:
     spark = digests.sparkSession
     source, out, check = (shared_dir(spark, f"dedup-{x}") for x in ("in", "state", "stream"))
     digests.write.parquet(source)
-    before = spark.conf.get(KEY)
+    before = {k: spark.conf.get(k, None) for k in (KEY, RESERVE)}
     spark.conf.set(KEY, PROVIDER)
+    spark.conf.set(RESERVE, "false")
     try:
         state = (
             spark.readStream.schema(digests.schema).parquet(source).groupBy("digest").agg(
@@ -44,7 +47,8 @@ def stream_state(digests: DataFrame) -> DataFrame:
             .foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{out}/batch={i}")).start())
         query.awaitTermination()
     finally:
-        spark.conf.set(KEY, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     schema = "digest string, best struct<n:long,neg:long,locator:long>, group_size long, salts long, batch int"
     return (
         spark.read.schema(schema).option("basePath", out).parquet(out)
