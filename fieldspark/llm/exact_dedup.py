@@ -18,8 +18,11 @@ BLANKS = " \t\n\x0b\x0c\r"
 SALTS = 64
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 KEY = "spark.sql.streaming.stateStore.providerClass"
-# Without this every state store reserves some MB of disk for its manifest, whatever it holds.
-RESERVE = "spark.sql.streaming.stateStore.rocksdb.allowFAllocate"
+ROCKS = "spark.sql.streaming.stateStore.rocksdb"
+# Else every state store reserves some MB of disk for its manifest, whatever it holds, and its own memory; an executor may hold many.
+SETTINGS = {
+    KEY: PROVIDER, f"{ROCKS}.allowFAllocate": "false", f"{ROCKS}.boundedMemoryUsage": "true", f"{ROCKS}.maxMemoryUsageMB": "256",
+    f"{ROCKS}.writeBufferSizeMB": "4"}
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -34,9 +37,9 @@ def stream_state(digests: DataFrame) -> DataFrame:
     spark = digests.sparkSession
     source, out, check = (shared_dir(spark, f"dedup-{x}") for x in ("in", "state", "stream"))
     digests.write.parquet(source)
-    before = {k: spark.conf.get(k, None) for k in (KEY, RESERVE)}
-    spark.conf.set(KEY, PROVIDER)
-    spark.conf.set(RESERVE, "false")
+    before = {k: spark.conf.get(k, None) for k in SETTINGS}
+    for k, v in SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         state = (
             spark.readStream.schema(digests.schema).parquet(source).groupBy("digest").agg(
