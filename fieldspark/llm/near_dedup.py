@@ -3,8 +3,10 @@
 A document is the multiset of its five-word shingles. Equal word sequences collapse to one representative first. For each shingle and each dyadic
 range of weights a Poisson process, seeded by both, yields points (time, component, weight level); points above the shingle's weight are thinned
 away, and a component keeps its earliest time, so two signatures agree with the probability of the weighted Jaccard likeness. BANDS of ROWS
-components give buckets. In a bucket of up to SMALL representatives all are compared, in larger ones all with the least id, then, round by
-round, those it did not match among themselves. Every candidate is verified by exact multiset overlap.
+components give buckets. In a bucket of up to SMALL representatives all are compared. In a larger one all are compared with the least id: those
+like it are one class. Distance (1 - likeness) is a metric, so only a representative within twice the limit of the least id can be like
+one of that class, and only like members whose own distance differs by no more than the limit; these pairs are compared too. All outside
+the class then go on among themselves, round by round, so no class is torn. Every candidate is verified by exact multiset overlap.
 
 Texts of fewer than five words are one shingle; null and empty texts are copies of one another; repeated rows repeat; null doc_id sorts last.
 """
@@ -88,16 +90,25 @@ def members(docs: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, bags: DataFrame, like: float) -> DataFrame:
-    """Of the pairs (a, b) those whose multisets overlap enough; a hot `a` is spread by salts."""
+    """Of the pairs (a, b) those at least so like, with their likeness; a hot `a` is spread by salts."""
     pairs = pairs.distinct().withColumn("salt", salt_of("b"))
     left = pairs.select("a", "salt").distinct().join(bags.select(F.col("rep").alias("a"), F.col("bag").alias("bag_a")), "a")
     both = pairs.join(bags.select(F.col("rep").alias("b"), F.col("bag").alias("bag_b")), "b").join(left, ["a", "salt"])
     common = F.size(F.array_intersect("bag_a", "bag_b"))
-    return both.withColumn("_c", common).filter(F.col("_c") >= like * (F.size("bag_a") + F.size("bag_b") - F.col("_c"))).select("a", "b")
+    whole = F.size("bag_a") + F.size("bag_b") - F.col("_c")
+    return both.withColumn("_c", common).withColumn("like", F.col("_c") / whole).filter(F.col("_c") >= like * whole).select("a", "b", "like")
+
+
+def across(rows: DataFrame, like: float) -> DataFrame:
+    """Pairs of a bucket that may be alike although just one of the two is like its least id; rows (bucket, rep, like to the least id)."""
+    inside = rows.filter(F.col("like") >= like).select("bucket", F.pmod("salt", F.lit(8)).alias("salt"), F.col("rep").alias("x"), F.col("like").alias("lx"))
+    ring = rows.filter(F.col("like") < like).select("bucket", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("salt"), F.col("rep").alias("y"), F.col("like").alias("ly"))
+    near = inside.join(ring, ["bucket", "salt"]).filter(F.col("lx") - F.col("ly") <= 1 - like + 1e-9)
+    return near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def links(reps: DataFrame, like: float = LIKE) -> DataFrame:
-    """Verified links (a, b), a < b, between rows (rep, text)."""
+    """Verified links (a, b), a < b, between rows (rep, text): all within small buckets, in larger ones enough to join every class."""
     lists = reps.select("rep", shingles(word_hashes(text_or_empty())).alias("s"))
     bags = written(lists.select("rep", F.pandas_udf(_bands, "array<long>")("s").alias("sig"), F.pandas_udf(multiset, "array<long>")("s").alias("bag")), "near-bags")
     bands = F.array(*[F.xxhash64(F.lit(i), F.slice("sig", i * ROWS + 1, ROWS)) for i in range(BANDS)])
@@ -109,10 +120,12 @@ def links(reps: DataFrame, like: float = LIKE) -> DataFrame:
         small = rows.filter(F.col("n") <= SMALL).groupBy("bucket").agg(F.collect_set("rep").alias("m"))
         small = small.select(F.explode("m").alias("a"), "m").select("a", F.explode("m").alias("b")).filter("a < b")
         star = rows.filter(F.col("n") > SMALL).select("a", F.col("rep").alias("b")).filter("a < b")
-        good = written(verified(small.unionByName(star), bags, like), "near-links")
+        scored = written(verified(small.unionByName(star), bags, 2 * like - 1 - 1e-9), "near-scored")
+        good = scored.filter(F.col("like") >= like).select("a", "b")
+        rows = written(rows.filter((F.col("n") > SMALL) & (F.col("a") < F.col("rep"))).join(scored.withColumnRenamed("b", "rep"), ["a", "rep"], "left"), "near-far")
+        good = good.unionByName(written(verified(across(rows, like), bags, like), "near-across").select("a", "b"))
         found = good if found is None else found.unionByName(good)
-        rest = rows.filter(F.col("n") > SMALL).filter("a < rep").join(good.withColumnRenamed("b", "rep"), ["a", "rep"], "left_anti")
-        left = written(rest.select("rep", "bucket", "salt"), "near-rest")
+        left = written(rows.filter(F.coalesce("like", F.lit(0.0)) < like).select("rep", "bucket", "salt"), "near-rest")
         if left.isEmpty():
             return found.distinct()
 
@@ -133,7 +146,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, like: float = LIKE) -> DataFrame:
-    """doc_id, class_id, rep, n_links (of the representative), kept, for every row."""
+    """doc_id, class_id, rep, n_links (links found at the representative), kept, for every row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     who = written(members(docs), "near-members")
     reps = docs.join(who.filter("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep")

@@ -40,6 +40,29 @@ def test_near_dedup_links_edited_copies(spark):
     assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 4}
 
 
+def test_large_buckets_lose_no_class(spark, monkeypatch):
+    """Every text in one bucket: classes equal those of all pairs, although many texts are unlike the least id."""
+    monkeypatch.setattr(near_dedup, "BANDS", 1)
+    monkeypatch.setattr(near_dedup, "ROWS", 0)
+    r = random.Random(4)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for i in range(40):
+        words = list(base)
+        for _ in range(r.choice([0, 1, 1, 2, 3, 6])):
+            words[r.randrange(60)] = f"x{i}{r.randrange(99)}"
+        texts.append(" ".join(words))
+    bags = [set(zip(*[t.split()[k:] for k in range(5)])) for t in texts]
+    up = list(range(40))
+    for a, b in itertools.combinations(range(40), 2):
+        if len(bags[a] & bags[b]) >= 0.8 * len(bags[a] | bags[b]):
+            low, high = sorted((up[a], up[b]))
+            up = [low if u == high else u for u in up]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], SCHEMA)
+    got = {x["doc_id"]: x["class_id"] for x in near_dedup.near_dedup(docs).collect()}
+    assert got == dict(enumerate(up)) and len(set(up)) > 5
+
+
 def test_signature_estimates_weighted_jaccard():
     h = np.arange(1, 401, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     a, b = np.ones(300, int) * 3, np.ones(300, int) * 2
