@@ -5,8 +5,8 @@ range of weights a Poisson process, seeded by both, yields points (time, compone
 away, and a component keeps its earliest time, so two signatures agree with the probability of the weighted Jaccard likeness. BANDS of ROWS
 components give buckets. In a bucket of up to SMALL representatives all are compared. In a larger one all are compared with the least id: those
 like it are one class. Distance (1 - likeness) is a metric, so only a representative within twice the limit of the least id can be like
-one of that class, and only like members whose own distance differs by no more than the limit; these pairs are compared too. All outside
-the class then go on among themselves, round by round, so no class is torn. Every candidate is verified by exact multiset overlap.
+one of that class, and only like members whose own distance differs by no more than the limit. All outside
+the class go on among themselves, round by round; pairs across its edge come last, where their classes are not one already. Every candidate is verified by exact multiset overlap.
 
 Texts of fewer than five words are one shingle; null and empty texts are copies of one another; repeated rows repeat; null doc_id sorts last.
 """
@@ -99,10 +99,17 @@ def verified(pairs: DataFrame, bags: DataFrame, like: float) -> DataFrame:
     return both.withColumn("_c", common).withColumn("like", F.col("_c") / whole).filter(F.col("_c") >= like * whole).select("a", "b", "like")
 
 
-def across(rows: DataFrame, like: float) -> DataFrame:
-    """Pairs of a bucket that may be alike although just one of the two is like its least id; rows (bucket, rep, like to the least id)."""
+def across(rows: DataFrame, label: DataFrame, like: float) -> DataFrame:
+    """Pairs of a bucket that may be alike although just one of the two is like its least id.
+
+    rows (bucket, a, rep, like): what each is like the least id a. All that are like a share its class, so only the others whose
+    class, as far as known, is another one are compared with them.
+    """
+    of = lambda name: label.select(F.col("a").alias(name), F.col("class").alias(f"class_{name}"))
     inside = rows.filter(F.col("like") >= like).select("bucket", F.pmod("salt", F.lit(8)).alias("salt"), F.col("rep").alias("x"), F.col("like").alias("lx"))
-    ring = rows.filter(F.col("like") < like).select("bucket", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("salt"), F.col("rep").alias("y"), F.col("like").alias("ly"))
+    ring = rows.filter(F.col("like") < like).withColumnRenamed("rep", "y").join(of("y"), "y", "left").join(of("a"), "a", "left")
+    ring = ring.filter(F.coalesce("class_y", "y") != F.coalesce("class_a", "a"))
+    ring = ring.select("bucket", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("salt"), "y", F.col("like").alias("ly"))
     near = inside.join(ring, ["bucket", "salt"]).filter(F.col("lx") - F.col("ly") <= 1 - like + 1e-9)
     return near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
@@ -113,7 +120,7 @@ def links(reps: DataFrame, like: float = LIKE) -> DataFrame:
     bags = written(lists.select("rep", F.pandas_udf(_bands, "array<long>")("s").alias("sig"), F.pandas_udf(multiset, "array<long>")("s").alias("bag")), "near-bags")
     bands = F.array(*[F.xxhash64(F.lit(i), F.slice("sig", i * ROWS + 1, ROWS)) for i in range(BANDS)])
     left = written(bags.filter(F.size("sig") > 0).select("rep", F.explode(bands).alias("bucket")).withColumn("salt", salt_of("rep")), "near-bands")
-    found = None
+    found = far = None
     while True:
         sizes = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("a"), salts_used().alias("salts")).filter("n > 1")
         rows = written(left.join(dealt(sizes), ["bucket", "salt"]), "near-rows")
@@ -123,11 +130,14 @@ def links(reps: DataFrame, like: float = LIKE) -> DataFrame:
         scored = written(verified(small.unionByName(star), bags, 2 * like - 1 - 1e-9), "near-scored")
         good = scored.filter(F.col("like") >= like).select("a", "b")
         rows = written(rows.filter((F.col("n") > SMALL) & (F.col("a") < F.col("rep"))).join(scored.withColumnRenamed("b", "rep"), ["a", "rep"], "left"), "near-far")
-        good = good.unionByName(written(verified(across(rows, like), bags, like), "near-across").select("a", "b"))
         found = good if found is None else found.unionByName(good)
+        near = rows.filter("like is not null")
+        far = near if far is None else far.unionByName(near)
         left = written(rows.filter(F.coalesce("like", F.lit(0.0)) < like).select("rep", "bucket", "salt"), "near-rest")
         if left.isEmpty():
-            return found.distinct()
+            break
+    found = written(found.distinct(), "near-found")
+    return found.unionByName(verified(across(far, components(found), like), bags, like).select("a", "b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
