@@ -7,6 +7,7 @@ components give buckets. In a bucket of up to SMALL representatives all are comp
 like it are one class. Distance (1 - likeness) is a metric, so only a representative within twice the limit of the least id can be like
 one of that class, and only like members whose own distance differs by no more than the limit. All outside
 the class go on among themselves, round by round; pairs across its edge come last, where their classes are not one already. Every candidate is verified by exact multiset overlap.
+Then all pairs of each class are compared, for n_links.
 
 Texts of fewer than five words are one shingle; null and empty texts are copies of one another; repeated rows repeat; null doc_id sorts last.
 """
@@ -21,6 +22,7 @@ from .common import dealt, salt_of, salts_used, table, text_or_empty, written
 from .fingerprints import shingles, word_hashes
 
 BANDS, ROWS, SMALL, LIKE = 32, 5, 12, 0.8
+BLOCK, STEP = 256, 4096
 M = BANDS * ROWS
 
 
@@ -114,10 +116,14 @@ def across(rows: DataFrame, label: DataFrame, like: float) -> DataFrame:
     return near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def links(reps: DataFrame, like: float = LIKE) -> DataFrame:
-    """Verified links (a, b), a < b, between rows (rep, text): all within small buckets, in larger ones enough to join every class."""
+def signed(reps: DataFrame) -> DataFrame:
+    """rep, sig, bag of rows (rep, text)."""
     lists = reps.select("rep", shingles(word_hashes(text_or_empty())).alias("s"))
-    bags = written(lists.select("rep", F.pandas_udf(_bands, "array<long>")("s").alias("sig"), F.pandas_udf(multiset, "array<long>")("s").alias("bag")), "near-bags")
+    return written(lists.select("rep", F.pandas_udf(_bands, "array<long>")("s").alias("sig"), F.pandas_udf(multiset, "array<long>")("s").alias("bag")), "near-bags")
+
+
+def links(bags: DataFrame, like: float = LIKE) -> DataFrame:
+    """Verified links (a, b), a < b, between rows (rep, sig, bag): all within small buckets, in larger ones enough to join every class."""
     bands = F.array(*[F.xxhash64(F.lit(i), F.slice("sig", i * ROWS + 1, ROWS)) for i in range(BANDS)])
     left = written(bags.filter(F.size("sig") > 0).select("rep", F.explode(bands).alias("bucket")).withColumn("salt", salt_of("rep")), "near-bands")
     found = far = None
@@ -155,14 +161,57 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
+def _likes(rows: pd.DataFrame, like: float) -> pd.DataFrame:
+    """rep, n: how many of block j each of block i is like, and the other way round; where i = j, each row but itself."""
+    first, second = (rows[rows["side"] == k] for k in (0, 1))
+    if rows["i"].iloc[0] == rows["j"].iloc[0]:
+        second = first
+    if not len(first) or not len(second):
+        return pd.DataFrame({"rep": np.array([], np.int64), "n": np.array([], np.int64)})
+    sizes = [b["bag"].map(len).to_numpy() for b in (first, second)]
+    flat = [np.concatenate(b["bag"].to_numpy()) for b in (first, second)]
+    shared = np.intersect1d(*flat)
+    at = [np.minimum(np.searchsorted(shared, f), max(len(shared) - 1, 0)) for f in flat]
+    common = np.zeros((len(first), len(second)), np.int64)
+    if len(shared):
+        on = [shared[a] == f for a, f in zip(at, flat)]
+        owner = [np.repeat(np.arange(len(n)), n) for n in sizes]
+        for x in range(0, len(shared), STEP):  # whole numbers below 2**24 are exact in single precision
+            part = [np.zeros((len(n), min(STEP, len(shared) - x)), np.float32) for n in sizes]
+            for m, a, o, w in zip(part, at, on, owner):
+                pick = o & (a >= x) & (a < x + STEP)
+                m[w[pick], a[pick] - x] = 1
+            common += (part[0] @ part[1].T).astype(np.int64)
+    whole = sizes[0][:, None] + sizes[1][None, :] - common
+    alike = common >= like * whole
+    if second is first:
+        return pd.DataFrame({"rep": first["rep"].to_numpy(), "n": alike.sum(axis=1) - 1})
+    return pd.DataFrame({"rep": np.concatenate([first["rep"], second["rep"]]), "n": np.concatenate([alike.sum(axis=1), alike.sum(axis=0)])})
+
+
+def degrees(classes: DataFrame, bags: DataFrame, like: float) -> DataFrame:
+    """rep, n_links for rows (rep, class): how many others of its class a representative is like, every pair compared.
+
+    Whatever is like a representative is of its class, so these are all its links. A class is dealt to blocks of about BLOCK and each two
+    blocks meet once, so that a large class is many tasks and no pair becomes a row.
+    """
+    rows = classes.withColumn("salt", salt_of("rep"))
+    sizes = dealt(rows.groupBy("class").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"), salts_used().alias("salts")))
+    rows = rows.join(sizes, ["class", "salt"]).withColumn("own", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("blocks"))).join(bags.select("rep", "bag"), "rep")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("class", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "rep", "bag")
+    kind = bags.schema["rep"].dataType.simpleString()
+    return rows.groupBy("class", "i", "j").applyInPandas(lambda g: _likes(g, like), f"rep {kind}, n long").groupBy("rep").agg(F.sum("n").alias("n_links"))
+
+
 def near_dedup(docs: DataFrame, like: float = LIKE) -> DataFrame:
-    """doc_id, class_id, rep, n_links (links found at the representative), kept, for every row."""
+    """doc_id, class_id, rep, n_links (representatives that the row's own is like), kept, for every row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     who = written(members(docs), "near-members")
     reps = docs.join(who.filter("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep")
-    edges = written(links(reps, like), "near-edges")
-    degree = edges.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    extra = components(edges).withColumnRenamed("a", "rep").join(degree, "rep")
+    bags = signed(reps)
+    classes = components(links(bags, like)).withColumnRenamed("a", "rep")
+    extra = classes.join(degrees(classes, bags, like), "rep")
     first = who.withColumn("salt", salt_of("doc_id"))
     per = first.groupBy("rep").agg(salts_used().alias("salts")).join(extra, "rep")
     out = first.join(dealt(per), ["rep", "salt"], "left")

@@ -63,6 +63,24 @@ def test_large_buckets_lose_no_class(spark, monkeypatch):
     assert got == dict(enumerate(up)) and len(set(up)) > 5
 
 
+def test_links_of_large_buckets_equal_brute_force(spark, monkeypatch):
+    """Edited copies of one document, more than a bucket compares in full and more than one block: n_links counts every like pair."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    r = random.Random(6)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(50):
+        words = list(base)
+        for _ in range(r.choice([1, 1, 2, 3])):
+            words[r.randrange(120)] = f"x{i}{r.randrange(99)}"
+        texts.append(" ".join(words))
+    bags = [set(zip(*[t.split()[k:] for k in range(5)])) for t in texts]
+    want = [sum(i != j and len(a & b) >= 0.8 * len(a | b) for j, b in enumerate(bags)) for i, a in enumerate(bags)]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], SCHEMA)
+    got = {x["doc_id"]: x["n_links"] for x in near_dedup.near_dedup(docs).collect()}
+    assert got == dict(enumerate(want)) and max(want) > near_dedup.SMALL
+
+
 def test_signature_estimates_weighted_jaccard():
     h = np.arange(1, 401, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     a, b = np.ones(300, int) * 3, np.ones(300, int) * 2
