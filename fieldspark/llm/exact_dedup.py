@@ -78,11 +78,19 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     return out(single).unionByName(out(hits))
 
 
+def one_per(docs: DataFrame, key: str) -> DataFrame:
+    """Of rows with equal doc_id and key the one with the longest text stays, then the greatest digest of the text."""
+    row = F.struct(*docs.columns)
+    order = F.struct(F.length(text_or_empty()).alias("n"), (F.col("text").isNotNull()).alias("is_text"), F.sha2(text_or_empty(), 256).alias("sha"))
+    best = docs.groupBy(F.col("doc_id").alias("_id"), F.col(key).alias("_key")).agg(F.max_by(row, order).alias("_row"))
+    return best.select("_row.*")
+
+
 def drop_exact(docs: DataFrame) -> DataFrame:
-    """The rows that stay, columns as given; of rows that repeat doc_id one stays."""
-    kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    salted = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_keep"]), "left_semi")
-    return salted.dropDuplicates(["doc_id"])
+    """The rows that stay, columns as given; of rows that repeat doc_id and normalised text one stays, different texts under one doc_id all do."""
+    kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha")).distinct()
+    rows = one_per(docs.withColumn("_digest", F.sha2(F.translate(text_or_empty(), BLANKS, ""), 256)), "_digest")
+    return rows.join(kept, (F.col("_digest") == F.col("_sha")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")), "left_semi").drop("_digest")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

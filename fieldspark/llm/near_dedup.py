@@ -9,7 +9,8 @@ one of that class, and only like members whose own distance differs by no more t
 the class go on among themselves, round by round; pairs across its edge come last, where their classes are not one already. Every candidate is verified by exact multiset overlap.
 Then all pairs of each class are compared, for n_links.
 
-Texts of fewer than five words are one shingle; null and empty texts are copies of one another; repeated rows repeat; null doc_id sorts last.
+Texts of fewer than five words are one shingle; null and empty texts are copies of one another; repeated rows repeat; null doc_id sorts last;
+a doc_id may be null or repeated, for texts are told apart by their words.
 """
 from __future__ import annotations
 
@@ -18,7 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dealt, salt_of, salts_used, table, text_or_empty, written
+from .common import SALTS, dealt, salt_of, salts_used, table, text_or_empty, written
+from .exact_dedup import one_per
 from .fingerprints import shingles, word_hashes
 
 BANDS, ROWS, SMALL, LIKE = 32, 5, 12, 0.8
@@ -84,11 +86,24 @@ def multiset(lists: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def members(docs: DataFrame) -> DataFrame:
-    """doc_id, key, rep: the representative of equal word sequences is the least doc_id."""
-    rows = docs.select("doc_id", F.sha2(F.array_join(word_hashes(text_or_empty()), ","), 256).alias("key")).withColumn("salt", salt_of("doc_id"))
-    reps = dealt(rows.groupBy("key").agg(F.min("doc_id").alias("rep"), salts_used().alias("salts")))
-    return rows.join(reps, ["key", "salt"]).select("doc_id", "rep")
+def key_of() -> Column:
+    """Equal for equal word sequences."""
+    return F.sha2(F.array_join(word_hashes(text_or_empty()), ","), 256)
+
+
+def members(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """doc_id, key, rep of every row; rep, rep_id of every key; rep, text of every key.
+
+    A key has one representative, a number of its own, in order of its least doc_id (null last) and then the key; its text is any of
+    those with the key, which have the same words.
+    """
+    rows = docs.withColumn("key", key_of())
+    salted = written(rows.select("doc_id", "key").withColumn("salt", salt_of("doc_id")), "near-keys")
+    ids = salted.groupBy("key").agg(F.min("doc_id").alias("rep_id"), salts_used().alias("salts"))
+    ids = written(ids.orderBy(F.col("rep_id").asc_nulls_last(), "key").withColumn("rep", F.monotonically_increasing_id()), "near-reps")
+    texts = rows.groupBy("key").agg(F.min("text").alias("text")).join(ids.select("key", "rep", "rep_id"), "key")
+    who = salted.join(dealt(ids.select("key", "rep", "salts")), ["key", "salt"]).select("doc_id", "key", "rep")
+    return who, ids.select("rep", "rep_id"), texts.select("rep", "text")
 
 
 def verified(pairs: DataFrame, bags: DataFrame, like: float) -> DataFrame:
@@ -206,23 +221,35 @@ def degrees(classes: DataFrame, bags: DataFrame, like: float) -> DataFrame:
 
 def near_dedup(docs: DataFrame, like: float = LIKE) -> DataFrame:
     """doc_id, class_id, rep, n_links (representatives that the row's own is like), kept, for every row."""
+    return decided(docs, like).drop("key")
+
+
+def decided(docs: DataFrame, like: float = LIKE) -> DataFrame:
+    """near_dedup with the key of each row's words."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    who = written(members(docs), "near-members")
-    reps = docs.join(who.filter("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep")
-    bags = signed(reps)
+    who, ids, texts = members(docs)
+    bags = signed(texts)
     classes = components(links(bags, like)).withColumnRenamed("a", "rep")
-    extra = classes.join(degrees(classes, bags, like), "rep")
+    extra = written(classes.join(degrees(classes, bags, like), "rep"), "near-degrees")
+    heads = extra.filter("class = rep").join(ids, "rep").select("class", F.col("rep_id").alias("head_id"))
+    heads = heads.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    heads = extra.withColumn("salt", salt_of("rep")).join(heads, ["class", "salt"]).drop("salt")
+    per = ids.join(heads, "rep", "left")
     first = who.withColumn("salt", salt_of("doc_id"))
-    per = first.groupBy("rep").agg(salts_used().alias("salts")).join(extra, "rep")
-    out = first.join(dealt(per), ["rep", "salt"], "left")
-    out = out.select("doc_id", F.coalesce("class", "rep", "doc_id").alias("class_id"), "rep", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    per = first.groupBy("rep").agg(salts_used().alias("salts")).join(per, "rep")
+    out = first.join(dealt(per), ["rep", "salt"])
+    own = F.coalesce("class", "rep") == F.col("rep")
+    class_id = F.when(own, F.col("rep_id")).otherwise(F.col("head_id"))
+    return out.select(
+        "doc_id", class_id.alias("class_id"), F.col("rep_id").alias("rep"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        (own & F.col("doc_id").eqNullSafe(F.col("rep_id"))).alias("kept"), "key")
 
 
 def drop_near(docs: DataFrame) -> DataFrame:
     """One document of each group stays, the one with the least doc_id; columns as given."""
-    kept = near_dedup(docs).filter("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_keep"]), "left_semi").dropDuplicates(["doc_id"])
+    kept = decided(docs).filter("kept").select(F.col("doc_id").alias("_keep"), F.col("key").alias("_kept_key")).distinct()
+    rows = one_per(docs.withColumn("_words", key_of()), "_words")
+    return rows.join(kept, (F.col("_words") == F.col("_kept_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")), "left_semi").drop("_words")
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,6 +81,25 @@ def test_links_of_large_buckets_equal_brute_force(spark, monkeypatch):
     assert got == dict(enumerate(want)) and max(want) > near_dedup.SMALL
 
 
+def test_drops_lose_no_text_with_null_or_repeated_ids(spark):
+    r = random.Random(8)
+    words = lambda: [f"w{r.randrange(5000)}" for _ in range(120)]
+    a, b, c, d, e = (words() for _ in range(5))
+    near_b = b[:60] + ["other"] + b[61:]
+    ids_texts = [
+        (None, a), (None, b), (None, c), (7, d), (7, e), (7, near_b), (7, d), (3, near_b), (None, a)]
+    rows = [(i, " ".join(t), None, None, None) for i, t in ids_texts] + [(9, "p q", None, None, None), (9, "pq", None, None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    exact = exact_dedup.drop_exact(docs)
+    assert exact.columns == docs.columns
+    got = sorted((x["doc_id"] or -1, x["text"]) for x in exact.collect())
+    assert got == sorted([(-1, " ".join(a)), (-1, " ".join(b)), (-1, " ".join(c)), (7, " ".join(d)), (7, " ".join(e)), (3, " ".join(near_b)), (9, "p q")])
+    near = near_dedup.drop_near(docs.filter("doc_id is null or doc_id < 9"))
+    assert near.columns == docs.columns
+    got = sorted((x["doc_id"] or -1, x["text"]) for x in near.collect())
+    assert got == sorted([(-1, " ".join(a)), (-1, " ".join(c)), (7, " ".join(d)), (7, " ".join(e)), (3, " ".join(near_b))])
+
+
 def test_signature_estimates_weighted_jaccard():
     h = np.arange(1, 401, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     a, b = np.ones(300, int) * 3, np.ones(300, int) * 2
