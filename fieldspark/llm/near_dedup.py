@@ -9,7 +9,8 @@ one of that class, and only like members whose own distance differs by no more t
 the class go on among themselves, round by round; pairs across its edge come last, where their classes are not one already. Every candidate is verified by exact multiset overlap.
 Then all pairs of each class are compared, for n_links.
 
-Texts of fewer than five words are one shingle; null and empty texts are copies of one another; repeated rows repeat; null doc_id sorts last;
+Texts of fewer than five words are one shingle; null and empty texts are copies of one another; texts without
+letters or digits are copies only where equal; repeated rows repeat; null doc_id sorts last;
 a doc_id may be null or repeated, for texts are told apart by their words.
 """
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SALTS, dealt, salt_of, salts_used, table, text_or_empty, written
+from .common import SALTS, dealt, let, salt_of, salts_used, table, text_or_empty, written
 from .exact_dedup import one_per
 from .fingerprints import shingles, word_hashes
 
@@ -87,8 +88,8 @@ def multiset(lists: pd.Series) -> pd.Series:
 
 
 def key_of() -> Column:
-    """Equal for equal word sequences."""
-    return F.sha2(F.array_join(word_hashes(text_or_empty()), ","), 256)
+    """Equal for equal word sequences; for texts without words (no letter or digit), for equal texts."""
+    return let(word_hashes(text_or_empty()), lambda w: F.sha2(F.when(F.size(w) > 0, F.array_join(w, ",")).when(text_or_empty() == "", "").otherwise(F.concat(F.lit("text:"), text_or_empty())), 256))
 
 
 def members(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

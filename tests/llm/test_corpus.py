@@ -100,6 +100,14 @@ def test_drops_lose_no_text_with_null_or_repeated_ids(spark):
     assert got == sorted([(-1, " ".join(a)), (-1, " ".join(c)), (7, " ".join(d)), (7, " ".join(e)), (3, " ".join(near_b))])
 
 
+def test_near_dedup_tells_texts_without_words_apart(spark):
+    texts = [None, "", "!!!", "☃ ☃", "!!!", "...", " "]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], SCHEMA)
+    got = {x["doc_id"]: (x["class_id"], x["kept"]) for x in near_dedup.near_dedup(docs).collect()}
+    assert got == {0: (0, True), 1: (0, False), 2: (2, True), 3: (3, True), 4: (2, False), 5: (5, True), 6: (6, True)}
+    assert sorted(x["doc_id"] for x in near_dedup.drop_near(docs).collect()) == [0, 2, 3, 5, 6]
+
+
 def test_signature_estimates_weighted_jaccard():
     h = np.arange(1, 401, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     a, b = np.ones(300, int) * 3, np.ones(300, int) * 2
