@@ -1,13 +1,17 @@
 """Secret scan with dictionary-primed zstandard novelty (operator 10).
 
 Base patterns find assignments, access keys and hex strings. Beyond them, long unbroken strings in a sensitive context are
-compressed with the surrounding text and common identifiers as dictionary; those that stay incompressible are reported as
-`novel`. Offsets are code points of the whole text, end exclusive. Null text is empty and has no spans; repeated rows
+compressed with the surrounding text and common identifiers as dictionary; those that stay incompressible, by the byte or beside
+random strings of their own alphabet and length, are reported as `novel`. Of a string that holds a base span, what lies
+outside it is tested, where it has LONG's 20 characters. Offsets are code points of the whole text, end exclusive. Null text is empty and has no spans; repeated rows
 give repeated results; other columns are ignored by `scan` and kept by `redact`.
 """
 from __future__ import annotations
 
+import random
 import re
+import string
+from functools import lru_cache
 
 import pandas as pd
 import zstandard
@@ -23,7 +27,10 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 LONG = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 CONTEXT = re.compile(r"key|secret|token|passw|credential|auth|private|bearer", re.I | re.A)
 IDENTIFIERS = b"configuration authorization password private_key access_token client_secret session_id username environment connection https://www.example.com/ function return import public static string "
-AROUND, MIN_NOVELTY = 200, 0.75
+AROUND, MIN_NOVELTY, MIN_RATIO, LEAST = 200, 0.75, 0.93, 20
+D, L, U = string.digits, string.ascii_lowercase, string.ascii_uppercase
+ALPHABETS = (D, D + "ABCDEF", D + "abcdef", U, L, U + "234567", L + "234567", D + U, D + L, U + L, D + U + L)
+MARKS = "+/_=-"
 SPAN = "array<struct<kind:string,start:int,end:int>>"
 
 
@@ -34,6 +41,36 @@ def novelty(candidate: str, around: str) -> float:
     return (len(c.compress(candidate.encode())) - len(c.compress(b""))) / len(candidate)
 
 
+@lru_cache(4096)
+def random_cost(alphabet: str, n: int) -> float:
+    """Novelty of random strings of the alphabet, on average."""
+    r = random.Random(f"{alphabet} {n}")
+    tries = 8 if n <= 1024 else 2
+    return sum(novelty("".join(r.choices(alphabet, k=n)), "") for _ in range(tries)) / tries
+
+
+def alphabet_of(candidate: str) -> str:
+    """The least usual alphabet that holds the candidate, with the marks it uses; padding at the end does not count."""
+    used = set(candidate.rstrip("="))
+    marks = "".join(sorted(used & set(MARKS)))
+    return next(a for a in ALPHABETS if used - set(marks) <= set(a)) + marks
+
+
+def is_novel(candidate: str, around: str) -> bool:
+    value = novelty(candidate, around)
+    return value >= MIN_NOVELTY or value >= MIN_RATIO * random_cost(alphabet_of(candidate), len(candidate))
+
+
+def outside(s: int, e: int, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Parts of [s, e) outside the sorted spans."""
+    out = []
+    for a, b in taken:
+        if a < e and s < b:
+            out.append((s, a))
+            s = b
+    return [(a, b) for a, b in (*out, (s, e)) if b - a >= LEAST]
+
+
 def spans_of(text: str | None) -> list[tuple[str, int, int]]:
     text = text or ""
     found = [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
@@ -41,11 +78,9 @@ def spans_of(text: str | None) -> list[tuple[str, int, int]]:
     found += [("hex", *m.span()) for m in HEX.finditer(text)]
     taken = sorted(s[1:] for s in found)
     for m in LONG.finditer(text):
-        s, e = m.span()
-        if any(a < e and s < b for a, b in taken) or not CONTEXT.search(text, max(0, s - 60), s):
-            continue
-        if novelty(m[0], text[max(0, s - AROUND):s] + text[e:e + AROUND]) >= MIN_NOVELTY:
-            found.append(("novel", s, e))
+        for s, e in outside(*m.span(), taken):
+            if CONTEXT.search(text, max(0, m.start() - 60), s) and is_novel(text[s:e], text[max(0, s - AROUND):s] + text[e:e + AROUND]):
+                found.append(("novel", s, e))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 

@@ -136,6 +136,37 @@ def test_secret_spans():
     assert secrets.spans_of(None) == []
 
 
+ALPHABETS = {"digits": "0123456789", "HEX": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "lower36": "0123456789abcdefghijklmnopqrstuvwxyz",
+             "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+
+
+@pytest.mark.parametrize("name", ALPHABETS)
+@pytest.mark.parametrize("n", [24, 64, 128, 256, 512])
+def test_random_strings_of_any_alphabet_are_secrets(name, n):
+    r = random.Random(n)
+    found = 0
+    for _ in range(40):
+        value = "".join(r.choices(ALPHABETS[name], k=n))
+        text = f"the private key: {value} and so on"
+        at = text.index(value)
+        spans = secrets.spans_of(text)
+        found += all(any(s <= i < e for _, s, e in spans) for i in range(at, at + n))
+    assert found >= 38
+
+
+def test_words_are_no_secrets():
+    words = "where the river bends near an old mill people still gather every spring to mend their nets and talk about weather prices".split()
+    assert secrets.spans_of("private key: " + "-".join(words)) == []
+
+
+def test_the_rest_of_a_string_with_a_base_span_is_tested():
+    r = random.Random(2)
+    value = "".join(r.choices(ALPHABETS["base64"][:62], k=48))
+    text = f"key_{'0123456789abcdef' * 2}_{value} end"
+    spans = secrets.spans_of(text)
+    assert spans[0][0] == "hex" and spans[-1] == ("novel", text.index("_" + value), text.index(" end"))
+
+
 def test_main_text():
     page = "<body><nav><a href=x>menu</a></nav><article><h1>T &amp; U</h1><p>one <b>two<br>three<p>four</article><footer>f</footer>"
     assert html_text.main_text(page) == "T & U\n\none two three\n\nfour"
