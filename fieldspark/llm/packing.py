@@ -1,56 +1,63 @@
 """Length buckets by dynamic programming, then token-budget batches (operator 7).
 
-Lengths are estimated tokens (a quarter of the UTF-8 bytes, at least 1) unless a length column is named. The histogram covers all
-rows; lengths share a cell when they agree in their seven leading bits, so the driver sees at most some thousand cells.
+Lengths are tokens as operator 5 counts them (at least 1) unless a length column is named. The histogram has every length that
+occurs, so the driver sees as many rows as there are different lengths, never more than the longest row has tokens.
 Inside a bucket, rows are dealt to shards of about SHARD rows and batches form per shard. Null text has length 1.
 """
 from __future__ import annotations
 
-import numpy as np
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty
+from .common import table, written
+from .token_counts import count_tokens
 
 BUCKETS, BUDGET, SHARD = 16, 65536, 20000
 
 
-def cell(length: Column) -> Column:
-    """Upper end of the length's cell: lengths below 128 are exact, longer ones round up to seven leading bits."""
-    step = F.expr("1L") * F.pow(F.lit(2), F.greatest(F.floor(F.log2(F.greatest(length - 1, F.lit(1)))) - 6, F.lit(0))).cast("long")
-    return F.ceil(length / step).cast("long") * step
-
+def boundaries(lengths: list[int], counts: list[int], k: int) -> list[int]:
+    """Upper bounds of at most k buckets that minimise sum(count * (bound - length)), for rising lengths and positive counts.
 
-def boundaries(cells: list[int], counts: list[int], k: int) -> list[int]:
-    """Upper bounds of at most k buckets that minimise sum(count * (bound - length))."""
-    n = len(cells)
-    x, c = np.asarray(cells, float), np.concatenate([[0.0], np.cumsum(counts)])
-    best, back = np.full(n + 1, np.inf), []
-    best[0] = 0
+    A round adds a bucket: new[j] = min over i < j of best[i] + x[j] * (c[j] - c[i]), lines in x[j] whose slopes fall, so their
+    lower envelope is kept as it grows and each round is linear.
+    """
+    n, c = len(lengths), [0, *accumulate(counts)]
+    best, back = [0] + [None] * n, []
     for _ in range(min(k, n)):
-        new, arg = np.full(n + 1, np.inf), np.zeros(n + 1, int)
-        new[0] = 0
+        new, arg, hull, at = [0] + [None] * n, [0] * (n + 1), [], 0
         for j in range(1, n + 1):
-            cost = best[:j] + x[j - 1] * (c[j] - c[:j])
-            arg[j] = int(cost.argmin())
-            new[j] = cost[arg[j]]
+            i, x = j - 1, lengths[j - 1]
+            if best[i] is not None:
+                while len(hull) - at > 1:  # the last line is nowhere least between its neighbours
+                    p, q = hull[-2], hull[-1]
+                    if (best[i] - best[p]) * (c[q] - c[p]) > (best[q] - best[p]) * (c[i] - c[p]):
+                        break
+                    hull.pop()
+                hull.append(i)
+            cost = lambda h: best[h] + x * (c[j] - c[h])
+            while len(hull) - at > 1 and cost(hull[at + 1]) <= cost(hull[at]):
+                at += 1
+            new[j], arg[j] = cost(hull[at]), hull[at]
         best = new
         back.append(arg)
     out, j = [], n
     for arg in reversed(back):
         if j == 0:
             break
-        out.append(int(cells[j - 1]))
+        out.append(int(lengths[j - 1]))
         j = arg[j]
     return sorted(out)
 
 
 def pack(docs: DataFrame, length: Column | None = None, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
     """doc_id, n_tokens, bucket (its upper bound), batch_id, padding, for every row."""
-    length = F.greatest(F.ceil(F.octet_length(text_or_empty()) / 4), F.lit(1)).cast("long") if length is None else length
-    rows = docs.select("doc_id", length.alias("n_tokens"))
-    hist = rows.groupBy(cell(F.col("n_tokens")).alias("c")).count().orderBy("c").collect()  # bounded by the number of cells
+    if length is None:
+        docs, length = count_tokens(docs.select("doc_id", "text")), F.greatest("n_tokens", F.lit(1))
+    rows = written(docs.select("doc_id", length.cast("long").alias("n_tokens")), "packing-lengths")
+    hist = rows.groupBy(F.col("n_tokens").alias("c")).count().orderBy("c").collect()  # bounded by the longest length
     bounds = boundaries([r["c"] for r in hist], [r["count"] for r in hist], buckets) or [1]
     sizes = [max(1, sum(r["count"] for r in hist if a < r["c"] <= b)) for a, b in zip([0, *bounds], bounds)]
     array = lambda v: F.array(*[F.lit(int(i)).cast("long") for i in v])

@@ -123,6 +123,27 @@ def test_boundaries_against_brute_force():
     assert cost(packing.boundaries(x, c, 3)) == best
 
 
+def test_boundaries_of_random_histograms_against_brute_force():
+    r = random.Random(9)
+    for _ in range(60):
+        x = sorted(r.sample(range(1, 200), r.randrange(1, 9)))
+        c, k = [r.randrange(1, 50) for _ in x], r.randrange(1, 5)
+        cost = lambda bs: sum(n * (min(b for b in bs if b >= v) - v) for v, n in zip(x, c))
+        best = min(cost([*p, x[-1]]) for m in range(min(k, len(x))) for p in itertools.combinations(x[:-1], m))
+        got = packing.boundaries(x, c, k)
+        assert cost(got) == best and len(got) <= k
+
+
+def test_packing_uses_tokens_and_exact_lengths(spark):
+    counts = token_counts.Counts(token_counts.model_bytes())
+    texts = [None, "", "the tin can " * 70, "9f3a" * 100, "☃☃☃" * 60, "{}[]<>" * 40, "word " * 301]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], SCHEMA)
+    got = {x["doc_id"]: x for x in packing.pack(docs).collect()}
+    for i, t in enumerate(texts):
+        n = max(1, counts.count(t or ""))
+        assert (got[i]["n_tokens"], got[i]["bucket"], got[i]["padding"]) == (n, n, 0)  # as many buckets as lengths
+
+
 @pytest.mark.parametrize("text", ["", " ", "  a", "a▁b  c", "x\n  y\t", "日本 語 ß", "<s> hi </s>", "a \x00b", "word " * 3])
 def test_token_counts_equal_the_library(text):
     counts = token_counts.Counts(token_counts.model_bytes())
