@@ -1,7 +1,9 @@
 """Main text of web pages by composite text density (operator 9).
 
 Every DOM node gets its link-adjusted characters per tag; the node whose children's densities sum highest is the article, and
-the least density on its path to body is the threshold below which link-heavy parts inside it are left out. Menus, headers, footers,
+the least density on its path to body is the threshold below which link-heavy parts inside it are left out. Other nodes that
+reach the least of the path up to body, by density or by unlinked characters per tag (which do not grow with a node's size), are
+the article's too, with what lies between them below their lowest common parent. Menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and comments are never text. Null, empty or text-free html gives ''.
 """
 from __future__ import annotations
@@ -19,9 +21,15 @@ from .common import table
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 OUT = frozenset("head script style noscript template nav header footer aside form button select textarea iframe svg".split())
 OUT_NAMES = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|sidebar|menu|nav|footer|comments?|cookie\w*|notice|promo|share|social|related|newsletter|subscribe)(?:$|[\s_-])", re.I)
+AROUND_NAMES = re.compile(r"(?:^|[_-])(?:has|is|no|not|with|without|hide|hides)[_-]", re.I)
 BLOCK = frozenset("html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th tbody thead blockquote pre figure figcaption".split())
 
 
+def named_out(names: str) -> bool:
+    """Whether a class, id or role names boilerplate, and not a page that has or lacks some (has-sidebar, no-ads)."""
+    return any(OUT_NAMES.search(x) and not AROUND_NAMES.search(x) for x in names.split())
+
+
 class Node:
     __slots__ = ("tag", "up", "parts", "out", "chars", "link_chars", "tags", "link_tags", "density", "total")
 
@@ -48,7 +56,7 @@ class Tree(HTMLParser):
         if tag == "li":
             self._close_open("li", {"ul", "ol"})
         names = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role"))
-        node = Node(tag, self.at, self.at.out or tag in OUT or bool(names and tag not in ("body", "article", "main") and OUT_NAMES.search(names)))
+        node = Node(tag, self.at, self.at.out or tag in OUT or tag not in ("body", "article", "main") and named_out(names))
         self.at.parts.append(node)
         self.order.append(node)
         self.at = node
@@ -97,6 +105,38 @@ def measure(tree: Tree) -> Node:
     return best
 
 
+def plain(n: Node) -> float:
+    return (n.chars - n.link_chars) / max(n.tags, 1)
+
+
+def siblings(tree: Tree, top: Node) -> tuple[Node, list[Node]]:
+    """The node to read and, where that is a common parent, its parts to read: what reaches the path's least, and what lies between."""
+    path = [top]
+    while path[-1].up is not None and path[-1].tag != "body":
+        path.append(path[-1].up)
+    dense, even = min(n.density for n in path), min(plain(n) for n in path)
+    on_path = set(map(id, path))
+    reach, todo = [top], [path[-1]]
+    while todo:
+        for k in todo.pop().parts:
+            if not isinstance(k, Node) or k.out or k is top:
+                continue
+            if id(k) not in on_path and k.chars and k.link_chars * 2 <= k.chars and (k.density >= dense or plain(k) >= even):
+                reach.append(k)
+            else:
+                todo.append(k)
+    if len(reach) == 1:
+        return top, []
+    up = {}
+    for n in reach:
+        while n is not None:
+            up.setdefault(id(n), [n, 0])[1] += 1
+            n = n.up
+    common = next(n for n in path if up[id(n)][1] == len(reach))
+    holds = [i for i, k in enumerate(common.parts) if isinstance(k, Node) and id(k) in up]
+    return common, common.parts[holds[0]:holds[-1] + 1]
+
+
 def main_text(html: str | None) -> str:
     tree = Tree(html or "")
     top = measure(tree)
@@ -105,6 +145,7 @@ def main_text(html: str | None) -> str:
         path.append(n.density)
         n = n.up
     threshold = min(path)
+    top, parts = siblings(tree, top)
     blocks, now = [], []
 
     def flush():
@@ -113,7 +154,7 @@ def main_text(html: str | None) -> str:
             blocks.append(text)
         now.clear()
 
-    stack = [(top, iter(top.parts))]
+    stack = [(top, iter(parts or top.parts))]
     while stack:
         node, rest = stack[-1]
         part = next(rest, None)

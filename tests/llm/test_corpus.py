@@ -192,3 +192,12 @@ def test_main_text():
     page = "<body><nav><a href=x>menu</a></nav><article><h1>T &amp; U</h1><p>one <b>two<br>three<p>four</article><footer>f</footer>"
     assert html_text.main_text(page) == "T & U\n\none two three\n\nfour"
     assert html_text.main_text(None) == ""
+
+
+def test_main_text_spread_over_siblings():
+    part = lambda name, n, size=300: "".join(f"<p>{(f'{name}{i} ' * size)[:size].strip()}</p>" for i in range(n))
+    menu = "<div><ul>" + "".join(f"<li><a href=x>link {i}</a>" for i in range(9)) + "</ul></div>"
+    for wrap in ("<div>{}</div>", "{}", "<div class='page has-sidebar no-ads'>{}</div>", "<div id=layout-with-sidebar>{}</div>"):
+        page = f"<body>{menu}" + wrap.format(f"<section>{part('a', 20)}</section><h2>more</h2><section>{part('b', 10)}</section>") + "<div class=sidebar><p>side</p></div></body>"
+        got = html_text.main_text(page)
+        assert [b.split()[0] for b in got.split("\n\n")] == [f"a{i}" for i in range(20)] + ["more"] + [f"b{i}" for i in range(10)]
