@@ -7,6 +7,9 @@ state at its start to each state at its end. Matrices are combined in max-plus,
 cuts follow on the way down, and every chunk is then traced back on its own. Where no piece holds a word mark after another character, every path
 passes there: such places shorten the matrices' work and let pre-tokens be memoised. On a tie at a cut the least state wins.
 
+A model of merges (BPE) is no max-plus problem, so `merged`, which op1 runs, has the library merge every pre-token, whole and however
+long; the places without a break inside need no chunks there. Its score is the sum over the library's pieces.
+
 Characters without a piece become their bytes. Null and empty texts have no ids and score 0; repeated rows and ids repeat; an
 empty table gives an empty result; extra columns stay, but for `ids`, `score` and names that start with `_scan`, which are taken.
 """
@@ -21,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, text_or_empty, written
-from .token_counts import MARK, MEMO, PRE, model_bytes
+from .token_counts import MARK, MEMO, PRE, Counts, model_bytes
 
 CHUNK, FAN = 16384, 256
 NONE = -np.inf
@@ -146,6 +149,46 @@ class Pieces:
         return "".join(out).replace(MARK, " ").removeprefix(" ")
 
 
+class Merges:
+    """The library's own ids, by pre-token where no piece crosses one."""
+
+    def __init__(self, model: bytes):
+        self.pieces, self.counts = Pieces(model), Counts(model)
+        self.memo: dict[str, tuple[float, list[int]]] = {}
+
+    def score(self, ids: list[int]) -> float:
+        p = self.pieces
+        value = 0.0
+        for i in ids:
+            if i in p.byte_of:  # a character without a piece counts once, at its first byte
+                value += p.miss if p.byte_of[i] & 0xC0 != 0x80 else 0.0
+            else:
+                value += p.known.get(p.text[i], (p.miss,))[0]
+        return value
+
+    def encode(self, text: str | None) -> tuple[float, list[int]]:
+        if not text:
+            return 0.0, []
+        sp = self.counts.sp
+        if not self.counts.split:
+            ids = sp.encode(text)
+            return self.score(ids), ids
+        pres = PRE.findall(MARK + text.replace(" ", MARK))
+        new = [p for p in dict.fromkeys(pres) if p not in self.memo]
+        got = {p: (self.score(ids), ids) for p, ids in zip(new, sp.encode([p[1:].replace(MARK, " ") for p in new]))}
+        if MARK in got:
+            got[MARK] = self.score([sp.piece_to_id(MARK)]), [sp.piece_to_id(MARK)]
+        score, out = 0.0, []
+        for pre in pres:
+            v, ids = got.get(pre) or self.memo[pre]
+            score += v
+            out += ids
+        self.memo.update((p, x) for p, x in got.items() if len(p) < 64)
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        return score, out
+
+
 def marked(text: str | None) -> str:
     return MARK + text.replace(" ", MARK) if text else ""
 
@@ -237,6 +280,20 @@ def encode(docs: DataFrame, model: bytes | None = None, chunk: int = CHUNK) -> D
     return short.unionByName(long.join(got, "_scan_uid").select(*docs.columns, "ids", "score"))
 
 
+def merged(docs: DataFrame, model: bytes | None = None) -> DataFrame:
+    """docs with ids (array<int>) and score (double), the ids being the library's."""
+    model = model or model_bytes()
+
+    @F.pandas_udf("struct<ids:array<int>,score:double>")
+    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        merges = Merges(model)
+        for texts in batches:
+            got = [merges.encode(t) for t in texts]
+            yield pd.DataFrame({"ids": [g[1] for g in got], "score": [g[0] for g in got]})
+
+    return docs.withColumn("_scan", scan("text")).select(*docs.columns, "_scan.ids", "_scan.score")
+
+
 def decode(rows: DataFrame, model: bytes | None = None, name: str = "decoded") -> DataFrame:
     """Rows with ids, and their text in the column `name`; null ids give null."""
     model = model or model_bytes()
@@ -252,7 +309,7 @@ def decode(rows: DataFrame, model: bytes | None = None, name: str = "decoded") -
 
 def op1_piece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, score, ids_sha256 (ids in decimal, comma-joined) and round_trip: decoding gives the text, word marks read as blanks."""
-    docs = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    docs = decode(merged(table(spark, sf_dir, "documents").select("doc_id", "text")))
     ids = F.array_join("ids", ",")
     return docs.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), "score", F.sha2(ids, 256).alias("ids_sha256"),

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -85,3 +86,18 @@ def test_chunks_in_spark(spark, pieces, monkeypatch):
         score, _ = pieces.between(piece_scan.marked(x["text"]))
         assert x["score"] == score and x["decoded"] == (x["text"] or "").replace("▁", " ") and x["uid"] == "extra"
     assert piece_scan.encode(docs.limit(0)).count() == 0
+
+
+def test_op1_gives_the_ids_of_the_library(spark, tmp_path):
+    """The model as it is, by merges; texts without a break longer than a chunk too."""
+    sp = sentencepiece.SentencePieceProcessor()
+    sp.LoadFromSerializedProto(token_counts.model_bytes())
+    r = random.Random(7)
+    texts = [None, *ODD, "the tin can", "  two  blanks ", "word " * 3] + ["".join(r.choice("abcde the日☃ ") for _ in range(n)) for n in (50, 900)]
+    texts += ["".join(r.choice("abcdethe日☃") for _ in range(piece_scan.CHUNK + 99))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {x["doc_id"]: x for x in piece_scan.op1_piece_scan(spark, f"file://{tmp_path}").collect()}
+    for i, text in enumerate(texts):
+        ids = sp.encode(text) if text else []
+        assert got[i]["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest() and got[i]["n_tokens"] == len(ids)
+        assert got[i]["round_trip"] or "\x00" in text
