@@ -3,30 +3,36 @@
 A document is the multiset of its five-word shingles. Equal word sequences collapse to one representative first. For each shingle and each dyadic
 range of weights a Poisson process, seeded by both, yields points (time, component, weight level); points above the shingle's weight are thinned
 away, and a component keeps its earliest time, so two signatures agree with the probability of the weighted Jaccard likeness. BANDS of ROWS
-components give buckets. In a bucket of up to SMALL representatives all are compared. In a larger one all are compared with the least id: those
-like it are one class. Distance (1 - likeness) is a metric, so only a representative within twice the limit of the least id can be like
-one of that class, and only like members whose own distance differs by no more than the limit. All outside
-the class go on among themselves, round by round; pairs across its edge come last, where their classes are not one already. Every candidate is verified by exact multiset overlap.
-Then all pairs of each class are compared, for n_links.
+components give buckets. Every candidate is verified by exact multiset overlap, whose links' components are the classes:
+
+1. In every bucket all are compared with the least representative; the links' components are the first classes.
+2. Buckets that still hold several classes: up to SMALL members, each two of different classes are compared.
+3. Larger ones go on by rounds of PIVOTS members that all others are compared with. Who is like a pivot leaves the bucket, the rest
+   goes on. Distance (1 - likeness) is a metric, so one that is like a pivot can be like one that is not only where the latter's
+   distance from the pivot is within twice the limit and the two distances differ by no more than it; such pairs are compared last,
+   where their classes are not one already. So no bucket tears a class, whatever its size, and no bucket's pairs are all made.
 
 Texts of fewer than five words are one shingle; null and empty texts are copies of one another; texts without
 letters or digits are copies only where equal; repeated rows repeat; null doc_id sorts last;
-a doc_id may be null or repeated, for texts are told apart by their words.
+a doc_id may be null or repeated, for texts are told apart by their words; very long texts are taken whole; an empty table gives an empty
+result; extra columns are ignored by `near_dedup` and kept by `drop_near` (but for names that start with `_near`, which are taken).
 """
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SALTS, dealt, let, salt_of, salts_used, table, text_or_empty, written
+from .common import dealt, forget, let, salt_of, salts_used, table, text_or_empty, written
 from .exact_dedup import one_per
 from .fingerprints import shingles, word_hashes
 
-BANDS, ROWS, SMALL, LIKE = 32, 5, 12, 0.8
-BLOCK, STEP = 256, 4096
-M = BANDS * ROWS
+BANDS, ROWS, SMALL, PIVOTS, LIKE = 32, 5, 32, 16, 0.8
+M, LOT = BANDS * ROWS, 1 << 17
+PROFILE = "doc_id long, text_hash long, key binary, n int, bands array<long>"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -35,222 +41,277 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def signature(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """M times; `hashes` are distinct, `weights` positive integers."""
-    sig = np.full(M, np.inf)
+def signatures(hashes: np.ndarray, doc: np.ndarray, weights: np.ndarray, docs: int) -> np.ndarray:
+    """M times for each of `docs` documents; (doc, hash) are distinct, `weights` positive integers."""
+    sig = np.full(docs * M, np.inf)
     if len(hashes) == 0:
-        return sig
-    top = int(np.ceil(np.log2(weights.max()))) if weights.max() > 1 else 0
-    seeds, lows, sizes, limit = [], [], [], []
-    for k in range(top + 1):  # weights (0,1], (1,2], (2,4], ...
+        return sig.reshape(docs, M)
+    parts = []
+    for k in range(int(weights.max() - 1).bit_length() + 1):  # weights (0,1], (1,2], (2,4], ...
         low = 0 if k == 0 else 1 << (k - 1)
         on = weights > low
-        seeds.append(_mix(_mix(hashes[on].astype(np.uint64)) + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)))
-        lows.append(np.full(on.sum(), low))
-        sizes.append(np.full(on.sum(), max(low, 1)))
-        limit.append(weights[on])
-    seed, low, size, weight = (np.concatenate(x) for x in (seeds, lows, sizes, limit))
+        parts.append((_mix(_mix(hashes[on]) + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)), doc[on], np.full(on.sum(), low), np.full(on.sum(), max(low, 1)), weights[on]))
+    seed, doc, low, size, weight = (np.concatenate(x) for x in zip(*parts))
     t, step = np.zeros(len(seed)), 1
     while len(seed):
-        block = max(1, -(-2 * M // len(seed)))
+        block = min(64, max(1, LOT // len(seed)))
         r = _mix(seed[:, None] + np.arange(step, step + block, dtype=np.uint64)[None, :] * np.uint64(0xD1B54A32D192ED03))
-        gaps = -np.log(((r >> np.uint64(11)).astype(float) + 0.5) / 2.0**53) / size[:, None]
-        gaps[:, 0] += t
-        times = np.cumsum(gaps, axis=1)
+        times = -np.log(((r >> np.uint64(11)).astype(float) + 0.5) / 2.0**53) / size[:, None]
+        times[:, 0] += t
+        np.cumsum(times, axis=1, out=times)
         q = _mix(r)
-        component = (q % np.uint64(M)).astype(np.int64)
-        level = low[:, None] + 1 + ((q >> np.uint64(20)) % size[:, None].astype(np.uint64)).astype(np.int64)
-        ok = level <= weight[:, None]
-        np.minimum.at(sig, component[ok], times[ok])
+        at = doc[:, None] * M + (q % np.uint64(M)).astype(np.int64)
+        ok = low[:, None] + 1 + ((q >> np.uint64(20)) % size[:, None].astype(np.uint64)).astype(np.int64) <= weight[:, None]
+        np.minimum.at(sig, at[ok], times[ok])
         t, step = times[:, -1], step + block
-        live = t < sig.max()
-        seed, low, size, weight, t = seed[live], low[live], size[live], weight[live], t[live]
-    return sig
+        live = t < sig.reshape(docs, M).max(axis=1)[doc]
+        seed, doc, low, size, weight, t = (x[live] for x in (seed, doc, low, size, weight, t))
+    return sig.reshape(docs, M)
 
 
-def _bands(shingle_lists: pd.Series) -> pd.Series:
-    out = []
-    for s in shingle_lists:
-        h, w = np.unique(np.asarray(s, np.int64), return_counts=True)
-        bits = signature(h.view(np.uint64), w).view(np.int64)
-        out.append(bits.tolist() if len(h) else [])
-    return pd.Series(out)
+def signature(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """M times of one document."""
+    return signatures(np.asarray(hashes, np.uint64), np.zeros(len(hashes), np.int64), np.asarray(weights, np.int64), 1)[0]
+
+
+def counted(hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (doc, hash) and how often each occurs, by doc and hash."""
+    order = np.lexsort((hashes, doc))
+    hashes, doc = hashes[order], doc[order]
+    first = np.ones(len(hashes), bool)
+    first[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
+    at = np.flatnonzero(first)
+    return hashes[at], doc[at], np.diff(np.append(at, len(hashes)))
+
+
+def lots(lists: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Hashes, their document's number and the number of documents, for as many documents at a time as hold about LOT hashes."""
+    size = np.diff(lists.offsets.to_numpy())
+    flat, ends = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.cumsum(size)
+    i = 0
+    while i < len(size):
+        start = ends[i] - size[i]
+        j = max(i + 1, int(np.searchsorted(ends, start + LOT, side="right")))
+        yield flat[start:ends[j - 1]], np.repeat(np.arange(j - i), size[i:j]), j - i
+        i = j
+
+
+def banded(bands: int, rows: int) -> Callable:
+    """Rows (doc_id, text_hash, key, s) to rows of PROFILE: s gives its number of shingles and a hash per band, none for no shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s, out = b.column("s"), []
+            for flat, doc, docs in lots(s):
+                bits = signatures(*counted(flat, doc), docs).view(np.uint64)
+                h = np.empty((docs, bands), np.uint64)
+                for i in range(bands):
+                    h[:, i] = _mix(np.full(docs, i + 1, np.uint64))
+                    for k in range(i * rows, (i + 1) * rows):
+                        h[:, i] = _mix(h[:, i] ^ bits[:, k])
+                out.append(h)
+            n = np.diff(s.offsets.to_numpy())
+            full = np.concatenate(out)[n > 0] if out else np.zeros((0, bands), np.uint64)
+            ends = np.concatenate([[0], np.cumsum(np.where(n > 0, bands, 0))])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(full.ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), b.column("key"), pa.array(n, pa.int32()), lists], ["doc_id", "text_hash", "key", "n", "bands"])
+
+    return run
+
+
+def bagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (rep, s) to (rep, bag): shingles made distinct by their number of occurrence, so that set overlap is multiset overlap."""
+    for b in batches:
+        out = []
+        for flat, doc, _ in lots(b.column("s")):
+            h, _, w = counted(flat, doc)
+            nth = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
+            out.append(_mix(np.repeat(h, w) + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        bags = np.concatenate(out) if out else np.zeros(0, np.uint64)
+        ends = b.column("s").offsets.to_numpy()
+        yield pa.RecordBatch.from_arrays([b.column("rep"), pa.ListArray.from_arrays(pa.array(ends - ends[0], pa.int32()), pa.array(bags.view(np.int64)))], ["rep", "bag"])
+
+
+def _key(words: Column) -> Column:
+    """Equal for equal word sequences; for texts without words (no letter or digit), for equal texts."""
+    text = text_or_empty()
+    return F.unhex(F.sha2(F.when(F.size(words) > 0, F.array_join(words, ",")).when(text == "", "").otherwise(F.concat(F.lit("text:"), text)), 256))
+
 
+def key_of() -> Column:
+    return let(word_hashes(text_or_empty()), _key)
 
-def multiset(lists: pd.Series) -> pd.Series:
-    """Shingles made distinct by their number of occurrence, so that set overlap is multiset overlap."""
-    out = []
-    for s in lists:
-        h, w = np.unique(np.asarray(s, np.int64), return_counts=True)
-        nth = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
-        out.append((_mix(np.repeat(h, w).view(np.uint64) + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))).view(np.int64).tolist())
-    return pd.Series(out)
 
+def profiled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, key, salt) of every row, and of every key: rep (a number), rep_id (its least doc_id), n, bands, and the row whose text it takes."""
+    both = let(word_hashes(text_or_empty()), lambda w: F.struct(_key(w).alias("key"), shingles(w).alias("s")))
+    rows = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("text_hash"), both.alias("p")).select("doc_id", "text_hash", "p.key", "p.s")
+    rows = written(rows.mapInArrow(banded(BANDS, ROWS), PROFILE).withColumn("salt", salt_of("doc_id", "text_hash")), "near-profiles")
+    some = F.first(F.struct(F.col("doc_id").alias("at_id"), "text_hash", "n", "bands")).alias("at")
+    reps = rows.groupBy("key").agg(F.min("doc_id").alias("rep_id"), salts_used().alias("salts"), some)
+    return rows, written(reps.select("key", "rep_id", "salts", "at.*").withColumn("rep", F.monotonically_increasing_id()), "near-reps")
 
-def key_of() -> Column:
-    """Equal for equal word sequences; for texts without words (no letter or digit), for equal texts."""
-    return let(word_hashes(text_or_empty()), lambda w: F.sha2(F.when(F.size(w) > 0, F.array_join(w, ",")).when(text_or_empty() == "", "").otherwise(F.concat(F.lit("text:"), text_or_empty())), 256))
 
+def met(reps: DataFrame) -> DataFrame:
+    """bucket, rep, n, a (the bucket's least rep), met (its size) for buckets of two and more."""
+    left = reps.select("rep", "n", F.explode("bands").alias("bucket")).withColumn("salt", salt_of("rep"))
+    sizes = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("met"), F.min("rep").alias("a"), salts_used().alias("salts")).filter("met > 1")
+    return written(left.join(dealt(sizes), ["bucket", "salt"]), "near-met")
 
-def members(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """doc_id, key, rep of every row; rep, rep_id of every key; rep, text of every key.
 
-    A key has one representative, a number of its own, in order of its least doc_id (null last) and then the key; its text is any of
-    those with the key, which have the same words.
-    """
-    rows = docs.withColumn("key", key_of())
-    salted = written(rows.select("doc_id", "key").withColumn("salt", salt_of("doc_id")), "near-keys")
-    ids = salted.groupBy("key").agg(F.min("doc_id").alias("rep_id"), salts_used().alias("salts"))
-    ids = written(ids.orderBy(F.col("rep_id").asc_nulls_last(), "key").withColumn("rep", F.monotonically_increasing_id()), "near-reps")
-    texts = rows.groupBy("key").agg(F.min("text").alias("text")).join(ids.select("key", "rep", "rep_id"), "key")
-    who = salted.join(dealt(ids.select("key", "rep", "salts")), ["key", "salt"]).select("doc_id", "key", "rep")
-    return who, ids.select("rep", "rep_id"), texts.select("rep", "text")
+def bags_of(docs: DataFrame, reps: DataFrame, wanted: DataFrame) -> DataFrame:
+    """rep, bag of the wanted reps, from the text of the row that each took."""
+    at = written(reps.select("rep", "at_id", F.col("text_hash").alias("at_hash")).join(wanted, "rep", "left_semi"), "near-at")
+    texts = docs.select("doc_id", "text", F.xxhash64(text_or_empty()).alias("text_hash"))
+    texts = texts.join(at, (F.col("text_hash") == F.col("at_hash")) & F.col("doc_id").eqNullSafe(F.col("at_id")))
+    bags = texts.select("rep", shingles(word_hashes(text_or_empty())).alias("s")).mapInArrow(bagged, f"rep long, bag array<long>")
+    bags = written(bags.groupBy("rep").agg(F.first("bag").alias("bag")), "near-bags")  # a row may repeat
+    forget(at)
+    return bags
 
 
 def verified(pairs: DataFrame, bags: DataFrame, like: float) -> DataFrame:
-    """Of the pairs (a, b) those at least so like, with their likeness; a hot `a` is spread by salts."""
-    pairs = pairs.distinct().withColumn("salt", salt_of("b"))
+    """Of the distinct pairs (a, b) those at least so like, with their likeness; a hot `a` is spread by salts."""
+    pairs = pairs.withColumn("salt", salt_of("b"))
     left = pairs.select("a", "salt").distinct().join(bags.select(F.col("rep").alias("a"), F.col("bag").alias("bag_a")), "a")
     both = pairs.join(bags.select(F.col("rep").alias("b"), F.col("bag").alias("bag_b")), "b").join(left, ["a", "salt"])
-    common = F.size(F.array_intersect("bag_a", "bag_b"))
     whole = F.size("bag_a") + F.size("bag_b") - F.col("_c")
-    return both.withColumn("_c", common).withColumn("like", F.col("_c") / whole).filter(F.col("_c") >= like * whole).select("a", "b", "like")
-
-
-def across(rows: DataFrame, label: DataFrame, like: float) -> DataFrame:
-    """Pairs of a bucket that may be alike although just one of the two is like its least id.
-
-    rows (bucket, a, rep, like): what each is like the least id a. All that are like a share its class, so only the others whose
-    class, as far as known, is another one are compared with them.
-    """
-    of = lambda name: label.select(F.col("a").alias(name), F.col("class").alias(f"class_{name}"))
-    inside = rows.filter(F.col("like") >= like).select("bucket", F.pmod("salt", F.lit(8)).alias("salt"), F.col("rep").alias("x"), F.col("like").alias("lx"))
-    ring = rows.filter(F.col("like") < like).withColumnRenamed("rep", "y").join(of("y"), "y", "left").join(of("a"), "a", "left")
-    ring = ring.filter(F.coalesce("class_y", "y") != F.coalesce("class_a", "a"))
-    ring = ring.select("bucket", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("salt"), "y", F.col("like").alias("ly"))
-    near = inside.join(ring, ["bucket", "salt"]).filter(F.col("lx") - F.col("ly") <= 1 - like + 1e-9)
-    return near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-
-
-def signed(reps: DataFrame) -> DataFrame:
-    """rep, sig, bag of rows (rep, text)."""
-    lists = reps.select("rep", shingles(word_hashes(text_or_empty())).alias("s"))
-    return written(lists.select("rep", F.pandas_udf(_bands, "array<long>")("s").alias("sig"), F.pandas_udf(multiset, "array<long>")("s").alias("bag")), "near-bags")
-
-
-def links(bags: DataFrame, like: float = LIKE) -> DataFrame:
-    """Verified links (a, b), a < b, between rows (rep, sig, bag): all within small buckets, in larger ones enough to join every class."""
-    bands = F.array(*[F.xxhash64(F.lit(i), F.slice("sig", i * ROWS + 1, ROWS)) for i in range(BANDS)])
-    left = written(bags.filter(F.size("sig") > 0).select("rep", F.explode(bands).alias("bucket")).withColumn("salt", salt_of("rep")), "near-bands")
-    found = far = None
-    while True:
-        sizes = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("a"), salts_used().alias("salts")).filter("n > 1")
-        rows = written(left.join(dealt(sizes), ["bucket", "salt"]), "near-rows")
-        small = rows.filter(F.col("n") <= SMALL).groupBy("bucket").agg(F.collect_set("rep").alias("m"))
-        small = small.select(F.explode("m").alias("a"), "m").select("a", F.explode("m").alias("b")).filter("a < b")
-        star = rows.filter(F.col("n") > SMALL).select("a", F.col("rep").alias("b")).filter("a < b")
-        scored = written(verified(small.unionByName(star), bags, 2 * like - 1 - 1e-9), "near-scored")
-        good = scored.filter(F.col("like") >= like).select("a", "b")
-        rows = written(rows.filter((F.col("n") > SMALL) & (F.col("a") < F.col("rep"))).join(scored.withColumnRenamed("b", "rep"), ["a", "rep"], "left"), "near-far")
-        found = good if found is None else found.unionByName(good)
-        near = rows.filter("like is not null")
-        far = near if far is None else far.unionByName(near)
-        left = written(rows.filter(F.coalesce("like", F.lit(0.0)) < like).select("rep", "bucket", "salt"), "near-rest")
-        if left.isEmpty():
-            break
-    found = written(found.distinct(), "near-found")
-    return found.unionByName(verified(across(far, components(found), like), bags, like).select("a", "b")).distinct()
+    return both.withColumn("_c", F.size(F.array_intersect("bag_a", "bag_b"))).withColumn("like", F.col("_c") / whole).filter(F.col("_c") >= like * whole).select("a", "b", "like")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, class: least node of its component, by spreading minima and jumping."""
-    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "near-edges")
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).withColumn("salt", salt_of("a"))
+    both = written(both, "near-edges")
+    used = written(both.groupBy("b").agg(salts_used().alias("salts")), "near-used")
     label = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("class")), "near-label")
     while True:
-        near = both.join(label.select(F.col("a").alias("b"), F.col("class").alias("c")), "b").groupBy("a").agg(F.min("c").alias("c"))
+        of = dealt(used.join(label.select(F.col("a").alias("b"), F.col("class").alias("c")), "b"))
+        near = both.join(of, ["b", "salt"]).groupBy("a").agg(F.min("c").alias("c"))
         new = label.join(near, "a").select("a", F.least("class", "c").alias("new"), F.col("class").alias("old"))
         jump = label.select(F.col("a").alias("new"), F.col("class").alias("far"))
         new = written(new.join(jump, "new", "left").select("a", F.least("new", "far").alias("class"), "old"), "near-label")
+        forget(label)
         done = new.filter("class <> old").isEmpty()
         label = new.select("a", "class")
+        label.kept_at = new.kept_at
         if done:
+            forget(both, used)
             return label
 
 
-def _likes(rows: pd.DataFrame, like: float) -> pd.DataFrame:
-    """rep, n: how many of block j each of block i is like, and the other way round; where i = j, each row but itself."""
-    first, second = (rows[rows["side"] == k] for k in (0, 1))
-    if rows["i"].iloc[0] == rows["j"].iloc[0]:
-        second = first
-    if not len(first) or not len(second):
-        return pd.DataFrame({"rep": np.array([], np.int64), "n": np.array([], np.int64)})
-    sizes = [b["bag"].map(len).to_numpy() for b in (first, second)]
-    flat = [np.concatenate(b["bag"].to_numpy()) for b in (first, second)]
-    shared = np.intersect1d(*flat)
-    at = [np.minimum(np.searchsorted(shared, f), max(len(shared) - 1, 0)) for f in flat]
-    common = np.zeros((len(first), len(second)), np.int64)
-    if len(shared):
-        on = [shared[a] == f for a, f in zip(at, flat)]
-        owner = [np.repeat(np.arange(len(n)), n) for n in sizes]
-        for x in range(0, len(shared), STEP):  # whole numbers below 2**24 are exact in single precision
-            part = [np.zeros((len(n), min(STEP, len(shared) - x)), np.float32) for n in sizes]
-            for m, a, o, w in zip(part, at, on, owner):
-                pick = o & (a >= x) & (a < x + STEP)
-                m[w[pick], a[pick] - x] = 1
-            common += (part[0] @ part[1].T).astype(np.int64)
-    whole = sizes[0][:, None] + sizes[1][None, :] - common
-    alike = common >= like * whole
-    if second is first:
-        return pd.DataFrame({"rep": first["rep"].to_numpy(), "n": alike.sum(axis=1) - 1})
-    return pd.DataFrame({"rep": np.concatenate([first["rep"], second["rep"]]), "n": np.concatenate([alike.sum(axis=1), alike.sum(axis=0)])})
-
-
-def degrees(classes: DataFrame, bags: DataFrame, like: float) -> DataFrame:
-    """rep, n_links for rows (rep, class): how many others of its class a representative is like, every pair compared.
-
-    Whatever is like a representative is of its class, so these are all its links. A class is dealt to blocks of about BLOCK and each two
-    blocks meet once, so that a large class is many tasks and no pair becomes a row.
-    """
-    rows = classes.withColumn("salt", salt_of("rep"))
-    sizes = dealt(rows.groupBy("class").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"), salts_used().alias("salts")))
-    rows = rows.join(sizes, ["class", "salt"]).withColumn("own", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("blocks"))).join(bags.select("rep", "bag"), "rep")
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("class", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "rep", "bag")
-    kind = bags.schema["rep"].dataType.simpleString()
-    return rows.groupBy("class", "i", "j").applyInPandas(lambda g: _likes(g, like), f"rep {kind}, n long").groupBy("rep").agg(F.sum("n").alias("n_links"))
+def mixed(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """The rows, with their class, of buckets that hold several classes."""
+    rows = rows.join(label.select(F.col("a").alias("rep"), "class"), "rep", "left").withColumn("class", F.coalesce("class", "rep"))
+    several = rows.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), salts_used().alias("salts")).filter("lo < hi")
+    return rows.join(dealt(several.select("bucket", "salts")), ["bucket", "salt"])
 
 
-def near_dedup(docs: DataFrame, like: float = LIKE) -> DataFrame:
-    """doc_id, class_id, rep, n_links (representatives that the row's own is like), kept, for every row."""
-    return decided(docs, like).drop("key")
+def similar_size(x: str, y: str, like: float) -> Column:
+    return F.least(x, y) >= F.greatest(x, y) * like - 1e-9
+
+
+def within(rows: DataFrame, like: float) -> DataFrame:
+    """Pairs of different classes in small buckets; those of the bucket's least rep are known."""
+    groups = rows.filter(F.col("rep") != F.col("a")).groupBy("bucket").agg(F.collect_list(F.struct("rep", "n", "class")).alias("m"))
+    pairs = groups.select(F.explode("m").alias("x"), "m").select("x", F.explode("m").alias("y")).filter((F.col("x.rep") < F.col("y.rep")) & (F.col("x.class") != F.col("y.class")))
+    return pairs.filter(similar_size("x.n", "y.n", like)).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+
+
+def by_pivots(rows: DataFrame, bags: DataFrame, like: float) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) of large buckets and, for every pivot met there, who is how like it (bucket, pivot, rep, n, like)."""
+    left, found, near = rows.select("bucket", "rep", "n", "salt"), None, None
+    part = F.pmod("salt", F.lit(PIVOTS))
+    while True:
+        pivots = left.groupBy("bucket").agg(F.array_compact(F.array(*[F.min(F.when(part == i, F.struct("rep", "n"))) for i in range(PIVOTS)])).alias("p"), salts_used().alias("salts"))
+        met = written(left.join(dealt(pivots), ["bucket", "salt"]), "near-round")
+        each = met.select("bucket", "rep", "n", F.explode("p").alias("p")).select("bucket", "rep", "n", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pn"))
+        each = each.filter((F.col("rep") != F.col("pivot")) & similar_size("n", "pn", 2 * like - 1)).select("bucket", "pivot", "rep", "n")
+        pairs = each.select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct()
+        scored = written(verified(pairs, bags, 2 * like - 1 - 1e-9), "near-scored")
+        each = each.withColumn("a", F.least("pivot", "rep")).withColumn("b", F.greatest("pivot", "rep")).join(scored, ["a", "b"])
+        seen = written(each.select("bucket", "pivot", "rep", "n", "like", salt_of("rep").alias("salt")), "near-seen")
+        good = scored.filter(F.col("like") >= like).select("a", "b")
+        found = good if found is None else found.unionByName(good)
+        near = seen if near is None else near.unionByName(seen)
+        gone = seen.filter(F.col("like") >= like).select("bucket", "rep").distinct()
+        rest = met.filter(~F.exists("p", lambda p: p["rep"] == F.col("rep"))).select("bucket", "rep", "n", "salt").join(gone, ["bucket", "rep"], "left_anti")
+        left = written(rest, "near-rest")
+        forget(met)
+        if left.isEmpty():
+            return found.distinct(), near
+
+
+def across(near: DataFrame, label: DataFrame, like: float) -> DataFrame:
+    """Pairs of a bucket that may be alike although just one of the two is like a pivot, where their classes differ."""
+    of = lambda name: label.select(F.col("a").alias(name), F.col("class").alias(f"class_{name}"))
+    ring = near.filter(F.col("like") < like).select("bucket", "pivot", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("like").alias("ly"))
+    ring = ring.join(of("y"), "y", "left").join(of("pivot"), "pivot", "left").filter(F.coalesce("class_y", "y") != F.coalesce("class_pivot", "pivot"))
+    ring = ring.select("bucket", "pivot", "y", "ny", "ly", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("salt"))
+    inside = near.filter(F.col("like") >= like).select("bucket", "pivot", F.pmod("salt", F.lit(8)).alias("salt"), F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("like").alias("lx"))
+    pairs = inside.join(ring, ["bucket", "pivot", "salt"]).filter((F.col("lx") - F.col("ly") <= 1 - like + 1e-9) & similar_size("nx", "ny", like))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def classes(docs: DataFrame, reps: DataFrame, like: float) -> DataFrame:
+    """a, class for every rep that is like another."""
+    rows = met(reps)
+    bags = bags_of(docs, reps, rows.select("rep").distinct())
+    star = rows.filter(F.col("rep") != F.col("a")).select("a", F.col("rep").alias("b")).distinct()
+    links = written(verified(star, bags, like).select("a", "b"), "near-links")
+    label = components(links)
+    forget(links)
+    known = lambda: label.select("a", F.col("class").alias("b")).filter("a <> b")
+    todo = written(mixed(rows.filter("met > 2"), label), "near-mixed")
+    forget(rows)
+    links = written(verified(within(todo.filter(F.col("met") <= SMALL), like), bags, like).select("a", "b"), "near-links")
+    if not links.isEmpty():
+        label = components(known().unionByName(links))
+    forget(links)
+    large = written(mixed(todo.filter(F.col("met") > SMALL).drop("class"), label), "near-large")
+    forget(todo)
+    if not large.isEmpty():
+        found, near = by_pivots(large, bags, like)
+        label = components(known().unionByName(found))
+        links = written(verified(across(near, label, like), bags, like).select("a", "b"), "near-links")
+        if not links.isEmpty():
+            label = components(known().unionByName(links))
+        forget(links)
+    forget(large, bags)
+    return label
 
 
 def decided(docs: DataFrame, like: float = LIKE) -> DataFrame:
     """near_dedup with the key of each row's words."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    who, ids, texts = members(docs)
-    bags = signed(texts)
-    classes = components(links(bags, like)).withColumnRenamed("a", "rep")
-    extra = written(classes.join(degrees(classes, bags, like), "rep"), "near-degrees")
-    heads = extra.filter("class = rep").join(ids, "rep").select("class", F.col("rep_id").alias("head_id"))
-    heads = heads.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    heads = extra.withColumn("salt", salt_of("rep")).join(heads, ["class", "salt"]).drop("salt")
-    per = ids.join(heads, "rep", "left")
-    first = who.withColumn("salt", salt_of("doc_id"))
-    per = first.groupBy("rep").agg(salts_used().alias("salts")).join(per, "rep")
-    out = first.join(dealt(per), ["rep", "salt"])
-    own = F.coalesce("class", "rep") == F.col("rep")
-    class_id = F.when(own, F.col("rep_id")).otherwise(F.col("head_id"))
+    rows, reps = profiled(docs)
+    label = classes(docs, reps, like).withColumnRenamed("a", "rep").withColumn("salt", salt_of("rep"))
+    named = label.join(reps.select("rep", "rep_id", "key"), "rep")
+    heads = named.groupBy("class").agg(F.min(F.struct(F.col("rep_id").isNull(), "rep_id", "key", "rep")).alias("head"), salts_used().alias("salts"))
+    heads = label.join(dealt(heads), ["class", "salt"]).select("rep", F.col("head.rep_id").alias("head_id"), F.col("head.rep").alias("head"))
+    per = reps.select("key", "rep", "rep_id", "salts").join(heads, "rep", "left")
+    out = rows.select("doc_id", "key", "salt").join(dealt(per), ["key", "salt"])
+    own = F.coalesce("head", "rep") == F.col("rep")
     return out.select(
-        "doc_id", class_id.alias("class_id"), F.col("rep_id").alias("rep"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        "doc_id", F.when(own, F.col("rep_id")).otherwise(F.col("head_id")).alias("class_id"), F.col("rep_id").alias("rep"),
         (own & F.col("doc_id").eqNullSafe(F.col("rep_id"))).alias("kept"), "key")
 
 
+def near_dedup(docs: DataFrame, like: float = LIKE) -> DataFrame:
+    """doc_id, class_id (least doc_id of its class), rep (least doc_id of those with the same words), kept, for every row."""
+    return decided(docs, like).drop("key")
+
+
 def drop_near(docs: DataFrame) -> DataFrame:
     """One document of each group stays, the one with the least doc_id; columns as given."""
-    kept = decided(docs).filter("kept").select(F.col("doc_id").alias("_keep"), F.col("key").alias("_kept_key")).distinct()
-    rows = one_per(docs.withColumn("_words", key_of()), "_words")
-    return rows.join(kept, (F.col("_words") == F.col("_kept_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")), "left_semi").drop("_words")
+    kept = decided(docs).filter("kept").groupBy(F.col("doc_id").alias("_near_id"), F.col("key").alias("_near_key")).agg(F.count(F.lit(1)).alias("_near_copies"))
+    kept = written(kept, "near-kept")
+    rows = docs.withColumn("_near_words", key_of())
+    rows = rows.join(kept, (F.col("_near_words") == F.col("_near_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_near_id")))
+    out = rows.filter("_near_copies = 1").select(*docs.columns)
+    if kept.filter("_near_copies > 1").isEmpty():
+        return out
+    return out.unionByName(one_per(rows.filter("_near_copies > 1").select(*docs.columns, "_near_words"), "_near_words").select(*docs.columns))
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,10 +40,23 @@ def test_near_dedup_links_edited_copies(spark):
     assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 4}
 
 
-def test_large_buckets_lose_no_class(spark, monkeypatch):
+def brute_classes(texts):
+    bags = [set(zip(*[t.split()[k:] for k in range(5)])) for t in texts]
+    up = list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if len(bags[a] & bags[b]) >= 0.8 * len(bags[a] | bags[b]):
+            low, high = sorted((up[a], up[b]))
+            up = [low if u == high else u for u in up]
+    return up
+
+
+@pytest.mark.parametrize("small", [0, 12, 100])
+def test_large_buckets_lose_no_class(spark, monkeypatch, small):
     """Every text in one bucket: classes equal those of all pairs, although many texts are unlike the least id."""
     monkeypatch.setattr(near_dedup, "BANDS", 1)
     monkeypatch.setattr(near_dedup, "ROWS", 0)
+    monkeypatch.setattr(near_dedup, "PIVOTS", 3)
+    monkeypatch.setattr(near_dedup, "SMALL", small)
     r = random.Random(4)
     base = [f"w{i}" for i in range(60)]
     texts = []
@@ -52,33 +65,45 @@ def test_large_buckets_lose_no_class(spark, monkeypatch):
         for _ in range(r.choice([0, 1, 1, 2, 3, 6])):
             words[r.randrange(60)] = f"x{i}{r.randrange(99)}"
         texts.append(" ".join(words))
-    bags = [set(zip(*[t.split()[k:] for k in range(5)])) for t in texts]
-    up = list(range(40))
-    for a, b in itertools.combinations(range(40), 2):
-        if len(bags[a] & bags[b]) >= 0.8 * len(bags[a] | bags[b]):
-            low, high = sorted((up[a], up[b]))
-            up = [low if u == high else u for u in up]
+    up = brute_classes(texts)
     docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], SCHEMA)
     got = {x["doc_id"]: x["class_id"] for x in near_dedup.near_dedup(docs).collect()}
     assert got == dict(enumerate(up)) and len(set(up)) > 5
 
 
-def test_links_of_large_buckets_equal_brute_force(spark, monkeypatch):
-    """Edited copies of one document, more than a bucket compares in full and more than one block: n_links counts every like pair."""
-    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+def test_chains_of_edits_are_one_class(spark):
+    """Each text is like the one before it, the ends are not alike: links count, not the distance from one text."""
     r = random.Random(6)
-    base = [f"w{i}" for i in range(120)]
+    words = [f"w{i}" for i in range(150)]
     texts = []
-    for i in range(50):
-        words = list(base)
-        for _ in range(r.choice([1, 1, 2, 3])):
-            words[r.randrange(120)] = f"x{i}{r.randrange(99)}"
+    for i in range(30):
         texts.append(" ".join(words))
-    bags = [set(zip(*[t.split()[k:] for k in range(5)])) for t in texts]
-    want = [sum(i != j and len(a & b) >= 0.8 * len(a | b) for j, b in enumerate(bags)) for i, a in enumerate(bags)]
+        words[r.randrange(150)] = f"x{i}"
+    texts += [" ".join(f"y{j}{r.randrange(9999)}" for j in range(90)) for _ in range(5)]
+    up = brute_classes(texts)
     docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], SCHEMA)
-    got = {x["doc_id"]: x["n_links"] for x in near_dedup.near_dedup(docs).collect()}
-    assert got == dict(enumerate(want)) and max(want) > near_dedup.SMALL
+    got = {x["doc_id"]: x["class_id"] for x in near_dedup.near_dedup(docs).collect()}
+    assert got == dict(enumerate(up)) and up[29] == 0
+
+
+def test_near_dedup_of_nothing_and_clashing_columns(spark):
+    docs = spark.createDataFrame([], SCHEMA)
+    assert near_dedup.near_dedup(docs).count() == 0 and near_dedup.drop_near(docs).count() == 0
+    names = ["doc_id", "text", "key", "rep", "bucket", "class", "salt", "n"]
+    docs = spark.createDataFrame([(2, "a b c d e f g", *"uvwxyz"), (1, "a b c, d e f g", *"uvwxyz"), (None, "a B c d e f g", *"uvwxyz")], names)
+    assert {(x["doc_id"], x["class_id"], x["kept"]) for x in near_dedup.near_dedup(docs).collect()} == {(1, 1, True), (2, 1, False), (None, 1, False)}
+    got = near_dedup.drop_near(docs)
+    assert got.columns == names and [x["doc_id"] for x in got.collect()] == [1]
+
+
+def test_very_long_and_repetitive_texts(spark):
+    r = random.Random(3)
+    long = [f"w{r.randrange(9**9)}" for _ in range(60_000)]
+    edited = long[:30_000] + ["other"] * 40 + long[30_000:]
+    same = "again and again and " * 9_000
+    rows = [(0, " ".join(long)), (1, " ".join(edited)), (2, same), (3, same + "x"), (4, "again and again and " * 4_000)]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], SCHEMA)
+    assert {x["doc_id"]: x["class_id"] for x in near_dedup.near_dedup(docs).collect()} == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4}
 
 
 def test_drops_lose_no_text_with_null_or_repeated_ids(spark):
