@@ -1,14 +1,17 @@
 """Token counts with the whole-token shortcut (operator 5).
 
-Offline: a vocabulary string that encodes alone as one token is proved whole, and no piece of the model holds a word mark after
-another character, so the text falls into independent pre-tokens at every such place. Whole pre-tokens count one; the rest are merged
-by the library, memoised per task. Null text has no tokens; repeated rows repeat; an empty table gives an empty result.
+Offline, once on the driver: a vocabulary string that encodes alone as one token is proved whole, and the model is proved to
+be splittable, that is, no piece holds a word mark after another character, the normaliser changes nothing and no string is matched
+before merging; then a text falls into independent pre-tokens at every such place. Whole pre-tokens count one; the rest are
+merged by the library, up to MEMO of them remembered per task. A model that is not splittable has the library encode whole texts.
+
+Null and empty texts have no tokens; repeated rows repeat; very long texts are taken whole; an empty table gives an empty result;
+extra columns stay, but `n_tokens` is overwritten.
 """
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -18,41 +21,74 @@ from .common import table
 
 MARK = "▁"
 PRE = re.compile(f"{MARK}+[^{MARK}]*")
-MODEL, LIMIT, MEMO = "piece_bpe_32k.model", 4096, 200_000
+MODEL, LIMIT, MEMO, LONGEST = "piece_bpe_32k.model", 4096, 100_000, 64
+
+
+def library(model: bytes):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor()
+    sp.LoadFromSerializedProto(model)
+    return sp
+
+
+def plain_pieces(sp) -> list[int]:
+    return [i for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
+
+
+def splittable(model: bytes) -> bool:
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    m = proto.ModelProto.FromString(model)
+    n = m.normalizer_spec
+    same = n.name == "identity" and n.add_dummy_prefix and not n.remove_extra_whitespaces and not n.normalization_rule_tsv
+    own = any(p.type == proto.ModelProto.SentencePiece.USER_DEFINED for p in m.pieces)
+    sp = library(model)
+    return same and not own and not any(re.search(f"[^{MARK}]{MARK}", sp.id_to_piece(i)) for i in plain_pieces(sp))
+
+
+def whole_words(model: bytes) -> list[str]:
+    """Words (pieces without their first mark) that encode alone as one token."""
+    sp = library(model)
+    words = [p[1:] for p in map(sp.id_to_piece, plain_pieces(sp)) if p.startswith(MARK) and len(p) > 1]
+    return [w for w, ids in zip(words, sp.encode([w.replace(MARK, " ") for w in words])) if len(ids) == 1]
+
+
+def pre_tokens(text: str) -> list[str]:
+    """Pre-tokens of a text that is not empty, each without its first mark."""
+    text = text.replace(MARK, " ")
+    if text[0] == " " or text[-1] == " " or "  " in text:
+        return [p[1:] for p in PRE.findall(MARK + text.replace(" ", MARK))]
+    return text.split(" ")
+
+
+class Words(dict):
+    """What `of` gives for a pre-token; short ones are remembered, up to MEMO."""
+
+    def __init__(self, of: Callable, known=()):
+        super().__init__(known)
+        self.of = of
+
+    def __missing__(self, word: str):
+        value = self.of(word)
+        if len(word) < LONGEST and len(self) < MEMO:
+            self[word] = value
+        return value
 
 
 class Counts:
-    def __init__(self, model: bytes):
-        import sentencepiece
+    def __init__(self, model: bytes, split: bool | None = None, whole: list[str] | None = None):
+        self.sp = library(model)
+        self.split = splittable(model) if split is None else split
+        self.words = Words(self._merged, dict.fromkeys(whole_words(model) if whole is None else whole, 1))
 
-        self.sp = sentencepiece.SentencePieceProcessor()
-        self.sp.LoadFromSerializedProto(model)
-        pieces = [self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size()) if not (self.sp.is_byte(i) or self.sp.is_control(i) or self.sp.is_unknown(i))]
-        self.split = not any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces)
-        marked = [p for p in pieces if p.startswith(MARK) and len(p) > 1]
-        self.whole = {p for p, ids in zip(marked, self.sp.encode([p[1:].replace(MARK, " ") for p in marked])) if len(ids) == 1}
-        self.memo: dict[str, int] = {}
+    def _merged(self, word: str) -> int:
+        return len(self.sp.encode(word.replace(MARK, " "))) if word else 1
 
     def count(self, text: str) -> int:
         if not text or not self.split:
             return len(self.sp.encode(text)) if text else 0
-        total, rest = 0, []
-        for pre, k in Counter(PRE.findall(MARK + text.replace(" ", MARK))).items():
-            if pre in self.whole:
-                total += k
-            elif (n := self.memo.get(pre)) is not None:
-                total += n * k
-            else:
-                rest.append((pre, k))
-        if rest:
-            for (pre, k), ids in zip(rest, self.sp.encode([p[1:].replace(MARK, " ") if len(p) > 1 else "" for p, _ in rest])):
-                n = len(ids) if len(pre) > 1 else 1
-                total += n * k
-                if len(pre) < 64:
-                    self.memo[pre] = n
-            if len(self.memo) > MEMO:
-                self.memo.clear()
-        return total
+        return sum(map(self.words.__getitem__, pre_tokens(text)))
 
 
 def model_bytes(path: str | None = None) -> bytes:
@@ -68,10 +104,11 @@ def model_bytes(path: str | None = None) -> bytes:
 def count_tokens(docs: DataFrame, model: bytes | None = None) -> DataFrame:
     """docs with n_tokens (long)."""
     model = model or model_bytes()
+    split, whole = splittable(model), whole_words(model)
 
     @F.pandas_udf("long")
     def n_tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        counts = Counts(model)
+        counts = Counts(model, split, whole)
         for texts in batches:
             yield texts.fillna("").map(counts.count).astype("int64")
 
