@@ -1,315 +1,319 @@
 """SentencePiece encoding and decoding by a max-plus scan (operator 1).
 
-A segmentation is scored by the sum of its pieces' scores and the best one wins (the library's unigram rule over the given
-pieces; on equal scores the longer last piece, as there). Texts of up to CHUNK code points are encoded at once. Longer ones are cut
-anywhere into chunks. The state at a cut is how far the piece in hand reaches past it, so a chunk is a matrix of best scores from each
-state at its start to each state at its end. Matrices are combined in max-plus, FAN at a time, level by level; the states at all
-cuts follow on the way down, and every chunk is then traced back on its own. Where no piece holds a word mark after another character, every path
-passes there: such places shorten the matrices' work and let pre-tokens be memoised. On a tie at a cut the least state wins.
-
-A model of merges (BPE) is no max-plus problem, so `merged`, which op1 runs, has the library merge every pre-token, whole and however
-long; the places without a break inside need no chunks there. Its score is the sum over the library's pieces.
-
-Characters without a piece become their bytes. Null and empty texts have no ids and score 0; repeated rows and ids repeat; an
-empty table gives an empty result; extra columns stay, but for `ids`, `score` and names that start with `_scan`, which are taken.
+Of all ways to cut a text into pieces, the library's merges give the one in which every two neighbours stay as they are when the
+two alone are merged; a piece that does not survive alone never occurs. So a path over pieces is weighed by the sum of its
+pieces' scores, minus infinity where two neighbours would merge otherwise, and one path alone, the library's, is left.
+
+Texts of up to CHUNK code points are encoded at once. Longer ones are cut anywhere into chunks. The state at a cut is the piece that covers
+the character before it (how far back it starts, how far on it ends), so a chunk is a matrix of scores from each state that the
+text allows at its start to each at its end. Matrices are combined in max-plus, FAN at a time, level by level; the states at all
+cuts follow on the way down, and every chunk is then traced back on its own. As the path is unique, ids do not depend on the chunks.
+Where no piece holds a word mark after another character, every path passes there: between such places the library merges
+pre-tokens, which are remembered, and only the ends of a chunk are walked.
+
+Characters without a piece become their bytes and score `miss`, once. Null and empty texts have no ids and score 0; repeated rows and
+ids repeat; an empty table gives an empty result; extra columns stay, but for `ids`, `score` and names that start with
+`_scan`, which are taken.
 """
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, text_or_empty, written
-from .token_counts import MARK, MEMO, PRE, Counts, model_bytes
+from .token_counts import MARK, MEMO, PRE, Words, library, model_bytes, plain_pieces, pre_tokens, splittable
 
-CHUNK, FAN = 16384, 256
+CHUNK, FAN = 1 << 16, 256
 NONE = -np.inf
-MATRIX = "uid long, idx long, m array<double>"
+MATRIX = "uid long, idx long, ins array<int>, outs array<int>, m array<double>"
 STATES = "uid long, idx long, s_in int, s_out int"
 
 
 class Pieces:
-    def __init__(self, model: bytes):
-        import sentencepiece
-
-        sp = sentencepiece.SentencePieceProcessor()
-        sp.LoadFromSerializedProto(model)
-        n = sp.get_piece_size()
-        plain = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
+    def __init__(self, model: bytes, split: bool | None = None):
+        from sentencepiece import sentencepiece_model_pb2 as proto
+
+        m = proto.ModelProto.FromString(model)
+        self.sp = sp = library(model)
+        m.normalizer_spec.add_dummy_prefix = False
+        self.bare = library(m.SerializeToString())
+        n, plain = sp.get_piece_size(), plain_pieces(sp)
         self.text = [sp.id_to_piece(i) for i in range(n)]
-        self.known = {self.text[i]: (float(sp.get_score(i)), i) for i in plain}
-        self.bytes = {int(self.text[i][3:5], 16): i for i in range(n) if sp.is_byte(i)}
-        self.byte_of = {i: b for b, i in self.bytes.items()}
-        self.silent = {i for i in range(n) if sp.is_control(i)}
-        self.unknown = sp.unk_id()
-        self.miss = min(v for v, _ in self.known.values()) - 10
+        alone = self.bare.encode([self.text[i].replace(MARK, " ") for i in plain])
+        self.known = {self.text[i]: i for i, ids in zip(plain, alone) if ids == [i]}
+        self.bytes = {i: int(self.text[i][3:5], 16) for i in range(n) if sp.is_byte(i)}
+        self.miss = min(sp.get_score(i) for i in plain) - 10
+        value = [sp.get_score(i) for i in range(n)]
+        for i, b in self.bytes.items():  # a character without a piece counts once, at its first byte
+            value[i] = self.miss if b & 0xC0 != 0x80 else 0.0
+        self.value = np.array(value)
         self.longest = max(map(len, self.known))
         self.prefixes = {p[:k] for p in self.known for k in range(1, len(p) + 1)}
-        self.cuttable = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.known)
-        self.memo: dict[str, tuple[float, tuple[int, ...]]] = {}
-
-    def walk(self, s: str, begin: int, stop: int, limit: int) -> tuple[list, list]:
-        """Best score from begin to each place up to limit, and the place before; pieces start before stop."""
-        best, back = [None] * (limit - begin + 1), [0] * (limit - begin + 1)
-        best[0] = 0.0
-        for i in range(stop - begin):
-            if best[i] is None:
-                continue
-            for k in range(1, limit - begin - i + 1):
-                piece = s[begin + i:begin + i + k]
-                hit = self.known.get(piece) or ((self.miss, None) if k == 1 else None)
-                if hit and (best[i + k] is None or best[i] + hit[0] > best[i + k]):
-                    best[i + k], back[i + k] = best[i] + hit[0], i
-                if piece not in self.prefixes:
-                    break
-        return best, back
-
-    def trace(self, s: str, begin: int, stop: int, end: int) -> list[int]:
-        _, back = self.walk(s, begin, stop, end)
-        at, out = end - begin, []
-        while at > 0:
-            piece = s[begin + back[at]:begin + at]
-            hit = self.known.get(piece)
-            out.append([hit[1]] if hit else [self.bytes[b] for b in piece.encode()] if self.bytes else [self.unknown])
-            at = back[at]
-        return [i for ids in reversed(out) for i in ids]
+        self.split = splittable(model) if split is None else split
+        self.words = Words(self._word)
+        self.pairs: dict[tuple[str, str], bool] = {}
+        silent = {i for i in range(n) if sp.is_control(i)}
+        self.shown = ["" if i in silent else " ⁇ " if sp.is_unknown(i) else t.replace(MARK, " ") for i, t in enumerate(self.text)]
+
+    def _word(self, word: str) -> tuple[int, ...]:
+        return tuple(self.sp.encode(word.replace(MARK, " "))) if word else (self.known[MARK],)
 
-    def pre_token(self, s: str) -> tuple[float, tuple[int, ...]]:
-        got = self.memo.get(s)
+    def score(self, ids) -> float:
+        return float(self.value[ids].sum()) if len(ids) else 0.0
+
+    def encode(self, text: str | None) -> array:
+        if not text:
+            return array("i")
+        return array("i", chain.from_iterable(map(self.words.__getitem__, pre_tokens(text))) if self.split else self.sp.encode(text))
+
+    def ids_of(self, piece: str) -> list[int]:
+        i = self.known.get(piece)
+        return self.bare.encode(piece.replace(MARK, " ")) if i is None else [i]
+
+    def follows(self, a: str, b: str) -> bool:
+        """Whether pieces a, b stay as they are when merged alone; anything follows nothing."""
+        if not a:
+            return True
+        got = self.pairs.get((a, b))
         if got is None:
-            got = self.walk(s, 0, len(s), len(s))[0][-1], tuple(self.trace(s, 0, len(s), len(s)))
-            if len(s) < 64:
-                if len(self.memo) > MEMO:
-                    self.memo.clear()
-                self.memo[s] = got
+            if len(self.pairs) >= MEMO:
+                self.pairs.clear()
+            got = self.pairs[a, b] = self.bare.encode((a + b).replace(MARK, " ")) == self.ids_of(a) + self.ids_of(b)
         return got
 
-    def between(self, s: str) -> tuple[float, list[int]]:
-        """Score and ids of a stretch that begins and ends where every path passes."""
-        score, ids = 0.0, []
-        for pre in PRE.findall(s) if self.cuttable else [s] if s else []:
-            v, more = self.pre_token(pre)
-            score += v
-            ids += more
-        return score, ids
-
-    def passes(self, s: str, n: int) -> tuple[int, int] | None:
-        """First and last place inside a chunk of n characters that every path passes."""
-        if not self.cuttable:
-            return None
-        first = re.search(f"(?<=[^{MARK}]){MARK}", s[:n])
+    def ends(self, s: str, i: int) -> Iterator[int]:
+        """Where pieces that start at i end; any single character is one."""
+        for j in range(i + 1, len(s) + 1):
+            piece = s[i:j]
+            if j == i + 1 or piece in self.known:
+                yield j
+            if piece not in self.prefixes:
+                return
+
+    def walk(self, s: str, h: int, i: int, stop: int) -> dict[int, tuple[int, float]]:
+        """From the piece s[h:i], place: (where its last piece starts, score of what starts at i and after); pieces start before stop."""
+        at = {i: (h, 0.0)}
+        for i in range(i, stop):
+            if i in at:
+                h, score = at[i]
+                for j in self.ends(s, i):
+                    if j not in at and self.follows(s[h:i], s[i:j]):
+                        at[j] = i, score + self.score(self.ids_of(s[i:j]))
+        return at
+
+    def back(self, s: str, walked: dict, start: int, last: int, end: int) -> list[int]:
+        """Ids of the pieces from start to the piece s[last:end]."""
+        out = []
+        while end > start:
+            out.append(self.ids_of(s[last:end]))
+            end = last
+            last = walked[end][0]
+        return [i for ids in reversed(out) for i in ids]
+
+    def between(self, s: str) -> array:
+        """Ids of a stretch between two places that every path passes."""
+        return array("i", chain.from_iterable(self.words[p[1:]] for p in PRE.findall(s)))
+
+    def passes(self, s: str, start: int, end: int) -> tuple[int, int] | None:
+        """First and last place after start and before end that every path passes."""
+        first = re.compile(f"(?<=[^{MARK}]){MARK}").search(s, start + 1, end) if self.split else None
         if not first:
             return None
-        at = s.rfind(MARK, 0, n)
+        at = s.rfind(MARK, 0, end)
         while s[at - 1] == MARK:
             at -= 1
         return first.start(), at
 
-    def matrix(self, s: str, n: int) -> np.ndarray:
-        """From state (places into the chunk already taken) to state (places taken beyond it)."""
-        size = self.longest
-        m, cuts = np.full((size, size), NONE), self.passes(s, n)
-        row = lambda best, at: [NONE if x is None else x for x in best[at:at + size]]
+    def states(self, s: str, at: int) -> list[int]:
+        """Codes of the pieces that cover the character before a cut; 0 at the start of a text."""
+        if at == 0:
+            return [0]
+        width = self.longest + 1
+        return sorted((at - i) * width + j - at for i in range(max(0, at - self.longest), at) for j in self.ends(s, i) if j >= at)
+
+    def matrix(self, s: str, start: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """States in, states out and the scores from each to each, for n characters of s from start; s has more around them."""
+        width, end = self.longest + 1, start + n
+        ins, cuts, rows = self.states(s, start), self.passes(s, start, end), []
+        outs_of = lambda at: {(end - i) * width + j - end: v for j, (i, v) in at.items() if i < end <= j}
         if cuts:
-            head = np.full(size, NONE)
-            for i in range(min(size, cuts[0] + 1)):
-                head[i] = self.walk(s, i, cuts[0], cuts[0])[0][-1]
-            tail = row(self.walk(s, cuts[1], n, len(s))[0], n - cuts[1])
-            m[:, :len(tail)] = head[:, None] + self.between(s[cuts[0]:cuts[1]])[0] + np.array(tail)
-            return m
-        for i in range(size):
-            if i >= n:
-                m[i, i - n] = 0.0
+            mid, tail = self.score(self.between(s[cuts[0]:cuts[1]])), outs_of(self.walk(s, cuts[1], cuts[1], end))
+        for code in ins:
+            h, i = start - code // width, start + code % width
+            if i >= end and code:
+                rows.append({(end - h) * width + i - end: 0.0})
+            elif cuts:
+                head = self.walk(s, h, i, cuts[0]).get(cuts[0])
+                rows.append({o: head[1] + mid + v for o, v in tail.items()} if head else {})
             else:
-                r = row(self.walk(s, i, n, len(s))[0], n - i)
-                m[i, :len(r)] = r
-        return m
-
-    def ids(self, s: str, n: int, s_in: int, s_out: int) -> list[int]:
-        cuts = self.passes(s, n)
-        if cuts:
-            return self.trace(s, s_in, cuts[0], cuts[0]) + self.between(s[cuts[0]:cuts[1]])[1] + self.trace(s, cuts[1], n, n + s_out)
-        return self.trace(s, s_in, n, n + s_out) if s_in < n else []
+                rows.append(outs_of(self.walk(s, h, i, end)))
+        outs = sorted({o for r in rows for o in r})
+        return np.array(ins), np.array(outs), np.array([[r.get(o, NONE) for o in outs] for r in rows])
+
+    def ids(self, s: str, start: int, n: int, s_in: int, s_out: int) -> list[int]:
+        """Ids of the pieces that start in the chunk, given the states at its ends."""
+        width, end = self.longest + 1, start + n
+        h, i = start - s_in // width, start + s_in % width
+        last, stop = end - s_out // width, end + s_out % width
+        if last < start:
+            return []
+        cuts = self.passes(s, start, end)
+        if not cuts:
+            return self.back(s, self.walk(s, h, i, end), i, last, stop)
+        head, tail = self.walk(s, h, i, cuts[0]), self.walk(s, cuts[1], cuts[1], end)
+        return self.back(s, head, i, head[cuts[0]][0], cuts[0]) + list(self.between(s[cuts[0]:cuts[1]])) + self.back(s, tail, cuts[1], last, stop)
 
     def decode(self, ids) -> str:
+        ids = ids.tolist() if hasattr(ids, "tolist") else list(ids)
+        if self.bytes.keys().isdisjoint(ids):
+            return "".join(map(self.shown.__getitem__, ids)).removeprefix(" ")
         out, run = [], bytearray()
         for i in ids:
-            if i in self.byte_of:
-                run.append(self.byte_of[i])
+            if i in self.bytes:
+                run.append(self.bytes[i])
                 continue
             if run:
                 out.append(run.decode("utf-8", "replace"))
                 run.clear()
-            out.append(" ⁇ " if i == self.unknown else "" if i in self.silent else self.text[i])
+            out.append(self.shown[i])
         out.append(run.decode("utf-8", "replace"))
-        return "".join(out).replace(MARK, " ").removeprefix(" ")
-
+        return "".join(out).removeprefix(" ")
 
-class Merges:
-    """The library's own ids, by pre-token where no piece crosses one."""
 
-    def __init__(self, model: bytes):
-        self.pieces, self.counts = Pieces(model), Counts(model)
-        self.memo: dict[str, tuple[float, list[int]]] = {}
+def marked(text: str | None) -> str:
+    return MARK + text.replace(" ", MARK) if text else ""
 
-    def score(self, ids: list[int]) -> float:
-        p = self.pieces
-        value = 0.0
-        for i in ids:
-            if i in p.byte_of:  # a character without a piece counts once, at its first byte
-                value += p.miss if p.byte_of[i] & 0xC0 != 0x80 else 0.0
-            else:
-                value += p.known.get(p.text[i], (p.miss,))[0]
-        return value
 
-    def encode(self, text: str | None) -> tuple[float, list[int]]:
-        if not text:
-            return 0.0, []
-        sp = self.counts.sp
-        if not self.counts.split:
-            ids = sp.encode(text)
-            return self.score(ids), ids
-        pres = PRE.findall(MARK + text.replace(" ", MARK))
-        new = [p for p in dict.fromkeys(pres) if p not in self.memo]
-        got = {p: (self.score(ids), ids) for p, ids in zip(new, sp.encode([p[1:].replace(MARK, " ") for p in new]))}
-        if MARK in got:
-            got[MARK] = self.score([sp.piece_to_id(MARK)]), [sp.piece_to_id(MARK)]
-        score, out = 0.0, []
-        for pre in pres:
-            v, ids = got.get(pre) or self.memo[pre]
-            score += v
-            out += ids
-        self.memo.update((p, x) for p, x in got.items() if len(p) < 64)
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        return score, out
+def chunks_of(pieces: Pieces, text: str, chunk: int) -> Iterator[tuple[str, int, int]]:
+    """(s, start, n): n characters from start of s, with as many around them as a piece may have."""
+    s = marked(text)
+    for at in range(0, len(s), chunk):
+        n, lead = min(chunk, len(s) - at), min(at, pieces.longest)
+        yield s[at - lead:at + n + pieces.longest], lead, n
 
 
-def marked(text: str | None) -> str:
-    return MARK + text.replace(" ", MARK) if text else ""
+def product(a: tuple, b: tuple) -> tuple:
+    """Max-plus product of (ins, outs, matrix); states that b lacks lead nowhere."""
+    have = np.isin(a[1], b[0])
+    left, right = a[2][:, have], b[2][np.searchsorted(b[0], a[1][have])]
+    return a[0], b[1], (left[:, :, None] + right[None, :, :]).max(axis=1, initial=NONE)
 
 
-def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Max-plus product."""
-    return (a[:, :, None] + b[None, :, :]).max(axis=1)
+def _unpacked(row) -> tuple:
+    ins, outs = np.asarray(row.ins), np.asarray(row.outs)
+    return ins, outs, np.asarray(row.m, float).reshape(len(ins), len(outs))
 
 
 def combined(rows: pd.DataFrame) -> pd.DataFrame:
     """One matrix for up to FAN neighbours."""
-    rows = rows.sort_values("idx")
-    size = int(len(rows["m"].iloc[0]) ** 0.5)
     out = None
-    for m in rows["m"]:
-        m = np.asarray(m, float).reshape(size, size)
-        out = m if out is None else product(out, m)
-    return pd.DataFrame({"uid": [rows["uid"].iloc[0]], "idx": [rows["g"].iloc[0]], "m": [out.ravel().tolist()]})
+    for row in rows.sort_values("idx").itertuples():
+        out = _unpacked(row) if out is None else product(out, _unpacked(row))
+    return pd.DataFrame({"uid": [rows["uid"].iloc[0]], "idx": [rows["g"].iloc[0]], "ins": [out[0]], "outs": [out[1]], "m": [out[2].ravel()]})
 
 
 def spread(group: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
     """The states of a group's two ends give those of its members."""
     rows = rows.sort_values("idx")
-    size = int(len(rows["m"].iloc[0]) ** 0.5)
-    ms = [np.asarray(m, float).reshape(size, size) for m in rows["m"]]
-    v = np.full(size, NONE)
-    v[group["s_in"].iloc[0]] = 0.0
-    before = []
-    for m in ms:
+    ms, at, before = [_unpacked(r) for r in rows.itertuples()], None, []
+    for ins, outs, m in ms:
+        v = np.where(ins == group["s_in"].iloc[0], 0.0, NONE) if at is None else np.array([at.get(i, NONE) for i in ins])
         before.append(v)
-        v = (v[:, None] + m).max(axis=0)
+        at = dict(zip(outs.tolist(), (v[:, None] + m).max(axis=0)))
     states = [int(group["s_out"].iloc[0])]
-    for v, m in zip(reversed(before), reversed(ms)):
-        states.append(int((v + m[:, states[-1]]).argmax()))
+    for v, (ins, outs, m) in zip(reversed(before), reversed(ms)):
+        states.append(int(ins[(v + m[:, np.searchsorted(outs, states[-1])]).argmax()]))
     states.reverse()
     return pd.DataFrame({"uid": rows["uid"].to_numpy(), "idx": rows["idx"].to_numpy(), "s_in": states[:-1], "s_out": states[1:]})
 
 
-def _long(docs: DataFrame, model: bytes, chunk: int) -> DataFrame:
+def _long(docs: DataFrame, model: bytes, chunk: int, split: bool) -> DataFrame:
     """uid, ids, score of rows (uid, text)."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pieces = Pieces(model)
+        pieces = Pieces(model, split)
         for b in batches:
             for uid, text in zip(b["uid"], b["text"]):
-                s = marked(text)
-                for k, at in enumerate(range(0, len(s), chunk)):
-                    part = s[at:at + chunk + pieces.longest - 1]
-                    n = min(chunk, len(s) - at)
-                    yield pd.DataFrame({"uid": [uid], "idx": [k], "n": [n], "s": [part], "m": [pieces.matrix(part, n).ravel().tolist()]})
+                for k, (s, start, n) in enumerate(chunks_of(pieces, text, chunk)):
+                    ins, outs, m = pieces.matrix(s, start, n)
+                    yield pd.DataFrame({"uid": [uid], "idx": [k], "start": [start], "n": [n], "s": [s], "ins": [ins], "outs": [outs], "m": [m.ravel()]})
 
     def back(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pieces = Pieces(model)
+        pieces = Pieces(model, split)
         for b in batches:
-            ids = [pieces.ids(*x) for x in zip(b["s"], b["n"], b["s_in"], b["s_out"])]
-            yield pd.DataFrame({"uid": b["uid"], "idx": b["idx"], "ids": ids})
+            ids = [np.array(pieces.ids(*x), np.int32) for x in zip(b["s"], b["start"], b["n"], b["s_in"], b["s_out"])]
+            yield pd.DataFrame({"uid": b["uid"], "idx": b["idx"], "ids": ids, "score": [pieces.score(i) for i in ids]})
 
-    chunks = written(docs.mapInPandas(cut, "uid long, idx long, n int, s string, m array<double>"), "scan-chunks")
-    levels = [chunks.select("uid", "idx", "m")]
+    width = Pieces(model, split).longest + 1
+    chunks = written(docs.mapInPandas(cut, "uid long, idx long, start int, n int, s string, ins array<int>, outs array<int>, m array<double>"), "scan-chunks")
+    levels = [chunks.select("uid", "idx", "ins", "outs", "m")]
     while (levels[-1].agg(F.max("idx")).first()[0] or 0) > 0:
         up = levels[-1].withColumn("g", F.floor(F.col("idx") / FAN)).groupBy("uid", "g").applyInPandas(lambda p: combined(p), MATRIX)
         levels.append(written(up, "scan-level"))
-    states = levels[-1].select("uid", "idx", F.lit(0).alias("s_in"), F.lit(0).alias("s_out"))
+    # a text begins in state 0 and ends with the one piece that reaches its end
+    states = levels[-1].select("uid", "idx", F.lit(0).alias("s_in"), F.explode(F.arrays_zip("outs", "m")).alias("x"))
+    states = states.filter((F.col("x.outs") % width == 0) & (F.col("x.m") > NONE)).select("uid", "idx", "s_in", F.col("x.outs").alias("s_out"))
     for rows in reversed(levels[:-1]):
         rows = rows.withColumn("g", F.floor(F.col("idx") / FAN))
         states = states.groupBy("uid", "idx").cogroup(rows.groupBy("uid", "g")).applyInPandas(lambda g, r: spread(g, r), STATES)
         states = written(states, "scan-states")
-    total = levels[-1].select("uid", F.element_at("m", 1).alias("score"))
-    parts = chunks.drop("m").join(states, ["uid", "idx"]).mapInPandas(back, "uid long, idx long, ids array<int>")
-    whole = parts.groupBy("uid").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("idx", "ids"))), lambda x: x["ids"])).alias("ids"))
-    return whole.join(total, "uid")
+    parts = chunks.select("uid", "idx", "start", "n", "s").join(states, ["uid", "idx"]).mapInPandas(back, "uid long, idx long, ids array<int>, score double")
+    whole = parts.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("idx", "ids"))).alias("x"), F.sum("score").alias("score"))
+    return whole.select("uid", F.flatten("x.ids").alias("ids"), "score")
 
 
 def encode(docs: DataFrame, model: bytes | None = None, chunk: int = CHUNK) -> DataFrame:
-    """docs with ids (array<int>) and score (double)."""
+    """docs with ids (array<int>), the library's own, and score (double)."""
     model = model or model_bytes()
+    split = splittable(model)
 
-    @F.pandas_udf("struct<ids:array<int>,score:double>")
-    def at_once(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        pieces = Pieces(model)
+    @F.arrow_udf("struct<ids:array<int>,score:double>")
+    def at_once(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        pieces = Pieces(model, split)
         for texts in batches:
-            got = [pieces.between(marked(t)) for t in texts]
-            yield pd.DataFrame({"ids": [g[1] for g in got], "score": [g[0] for g in got]})
+            ids, ends, scores = array("i"), [0], []
+            for text in texts.to_pylist():
+                got = pieces.encode(text)
+                ids += got
+                ends.append(len(ids))
+                scores.append(pieces.score(got))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, np.int32)))
+            yield pa.StructArray.from_arrays([lists, pa.array(scores, pa.float64())], ["ids", "score"])
 
     is_long = F.length(text_or_empty()) >= chunk
-    short = docs.filter(~is_long).withColumn("_scan", at_once("text")).select(*docs.columns, "_scan.ids", "_scan.score")
-    long = written(docs.filter(is_long).withColumn("_scan_uid", F.monotonically_increasing_id()), "scan-long")
-    got = _long(long.select(F.col("_scan_uid").alias("uid"), "text"), model, chunk).withColumnRenamed("uid", "_scan_uid")
-    return short.unionByName(long.join(got, "_scan_uid").select(*docs.columns, "ids", "score"))
-
-
-def merged(docs: DataFrame, model: bytes | None = None) -> DataFrame:
-    """docs with ids (array<int>) and score (double), the ids being the library's."""
-    model = model or model_bytes()
-
-    @F.pandas_udf("struct<ids:array<int>,score:double>")
-    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        merges = Merges(model)
-        for texts in batches:
-            got = [merges.encode(t) for t in texts]
-            yield pd.DataFrame({"ids": [g[1] for g in got], "score": [g[0] for g in got]})
-
-    return docs.withColumn("_scan", scan("text")).select(*docs.columns, "_scan.ids", "_scan.score")
+    short = docs.filter(~is_long).withColumn("_scan", at_once("text")).select(*[c for c in docs.columns if c not in ("ids", "score")], "_scan.ids", "_scan.score")
+    long = written(docs.filter(is_long).drop("ids", "score").withColumn("_scan_uid", F.monotonically_increasing_id()), "scan-long")
+    got = _long(long.select(F.col("_scan_uid").alias("uid"), "text"), model, chunk, split).withColumnRenamed("uid", "_scan_uid")
+    return short.unionByName(long.join(got, "_scan_uid").select(*short.columns))
 
 
 def decode(rows: DataFrame, model: bytes | None = None, name: str = "decoded") -> DataFrame:
     """Rows with ids, and their text in the column `name`; null ids give null."""
     model = model or model_bytes()
+    split = splittable(model)
 
-    @F.pandas_udf("string")
-    def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        pieces = Pieces(model)
-        for b in batches:
-            yield b.map(pieces.decode, na_action="ignore")
+    @F.arrow_udf("string")
+    def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        pieces = Pieces(model, split)
+        for lists in batches:
+            flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(pa.compute.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)))
+            out = [pieces.decode(flat[a:b]) for a, b in zip(ends, ends[1:])]
+            yield pa.array(out, pa.string(), mask=lists.is_null().to_numpy(zero_copy_only=False))
 
     return rows.withColumn(name, text("ids"))
 
 
 def op1_piece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, score, ids_sha256 (ids in decimal, comma-joined) and round_trip: decoding gives the text, word marks read as blanks."""
-    docs = decode(merged(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    docs = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
     ids = F.array_join("ids", ",")
     return docs.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), "score", F.sha2(ids, 256).alias("ids_sha256"),

@@ -2,102 +2,107 @@ import hashlib
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
-import sentencepiece
-from sentencepiece import sentencepiece_model_pb2 as proto
 
 from fieldspark.llm import piece_scan, token_counts
 
 
-@pytest.fixture(scope="module")
-def pieces():
-    return piece_scan.Pieces(token_counts.model_bytes())
+@pytest.fixture(scope="module", params=[True, False], ids=["split", "whole"])
+def pieces(request):
+    """With and without the places that every path passes."""
+    return piece_scan.Pieces(token_counts.model_bytes(), request.param)
 
 
 @pytest.fixture(scope="module")
 def library():
-    """The library's own lattice over the same pieces and scores."""
-    m = proto.ModelProto()
-    m.ParseFromString(token_counts.model_bytes())
-    m.trainer_spec.model_type = 1
-    sp = sentencepiece.SentencePieceProcessor()
-    sp.LoadFromSerializedProto(m.SerializeToString())
-    return sp
+    return token_counts.library(token_counts.model_bytes())
 
 
-ODD = ["", " ", "a", "Hello  world 日本語 \x00 x", "ünïcode ☃ \U0001f9ff", "thequickbrownfoxjumpsoverthelazydog", "a▁b", "<s>x</s>", "tab\tline\n"]
+ODD = ["", " ", "a", "Hello  world 日本語 \x00 x", "ünïcode ☃ \U0001f9ff", "thequickbrownfoxjumpsoverthelazydog", "a▁b", "<s>x</s>", "tab\tline\n", "        x         "]
+ALPHABETS = ["abcdethe ", "internationalisation of 日本☃ ", "  a▁b", "aab", "   ", "0123 .,;:!?-_/=+", "ünïcodé ß éàç", "<s></s>\n\t\x00"]
 
 
 @pytest.mark.parametrize("text", ODD)
 def test_equals_the_library(pieces, library, text):
-    ids = pieces.between(piece_scan.marked(text))[1]
-    if text and not set(ids) & set(pieces.byte_of):  # beside an unknown character's score, single precision hides other differences
-        assert ids == library.nbest_encode_as_ids(text, 2)[0]
-    assert pieces.decode(ids) == text.replace("▁", " ") == library.decode(ids)
-
-
-@pytest.mark.parametrize("text", ["the☃en", "ab\U0001f9ff in", "tin can", "日本語のx"])
-def test_no_segmentation_scores_more(pieces, text):
-    s = piece_scan.marked(text)
-
-    def every(rest):
-        if not rest:
-            yield 0.0
-        for k in range(1, len(rest) + 1):
-            v = pieces.known.get(rest[:k], (pieces.miss if k == 1 else None,))[0]
-            if v is not None:
-                yield from (v + more for more in every(rest[k:]))
-
-    assert pieces.between(s)[0] == max(every(s))
+    ids = list(pieces.encode(text))
+    assert ids == library.encode(text)
+    assert pieces.decode(np.array(ids, np.int32)) == text.replace("▁", " ") == library.decode(ids)
+
+
+def scanned(pieces, text, chunk):
+    """Ids and score by chunks, without Spark."""
+    parts = list(piece_scan.chunks_of(pieces, text, chunk))
+    ms, out = [pieces.matrix(*p) for p in parts], None
+    for m in ms:
+        out = m if out is None else piece_scan.product(out, m)
+    ends = [(o, v) for o, v in zip(out[1], out[2][0]) if o % (pieces.longest + 1) == 0 and v > piece_scan.NONE]
+    assert len(ends) == 1
+    rows = pd.DataFrame({"uid": 0, "idx": range(len(ms)), "ins": [m[0] for m in ms], "outs": [m[1] for m in ms], "m": [m[2].ravel() for m in ms]})
+    states = piece_scan.spread(pd.DataFrame({"s_in": [0], "s_out": [ends[0][0]]}), rows)
+    return [i for p, a, b in zip(parts, states["s_in"], states["s_out"]) for i in pieces.ids(*p, a, b)], ends[0][1]
+
+
+@pytest.mark.parametrize("chunk", range(1, 21))
+def test_ids_do_not_depend_on_the_chunks(pieces, library, chunk):
+    r = random.Random(chunk)
+    for alphabet in ALPHABETS:
+        for _ in range(6):
+            text = "".join(r.choice(alphabet) for _ in range(r.randrange(1, 90)))
+            ids, score = scanned(pieces, text, chunk)
+            assert ids == library.encode(text) and score == pytest.approx(pieces.score(ids))
 
 
-def cut(pieces, text, chunk):
+@pytest.mark.parametrize("text", ["the☃en", "ab\U0001f9ff in", "tin can", "aaaaa", "日本語のx"])
+def test_one_path_alone_is_left(pieces, library, text):
+    """Of all ways to cut a text into pieces one has neighbours that stay as they are when merged alone."""
     s = piece_scan.marked(text)
-    return [(s[a:a + chunk + pieces.longest - 1], min(chunk, len(s) - a)) for a in range(0, len(s), chunk)]
 
+    def every(i, h):
+        if i == len(s):
+            yield []
+        for j in pieces.ends(s, i):
+            if pieces.follows(s[h:i], s[i:j]):
+                yield from (pieces.ids_of(s[i:j]) + more for more in every(j, i))
 
-@pytest.mark.parametrize("chunk", [1, 3, 7, 20])
-def test_matrices_give_the_score_of_the_whole(pieces, chunk):
-    r = random.Random(chunk)
-    for _ in range(20):
-        text = "".join(r.choice("the internationalisation of 日本☃ ") for _ in range(r.randrange(1, 90)))
-        out = None
-        for part in cut(pieces, text, chunk):
-            m = pieces.matrix(*part)
-            out = m if out is None else piece_scan.product(out, m)
-        assert out[0, 0] == pieces.walk(piece_scan.marked(text), 0, len(text) + 1, len(text) + 1)[0][-1]
+    assert list(every(0, 0)) == [library.encode(text)]
 
 
 def test_product_is_associative():
     r = np.random.default_rng(3)
-    a, b, c = (np.where(r.random((5, 5)) < 0.3, -np.inf, r.integers(-9, 9, (5, 5))) for _ in range(3))
-    assert (piece_scan.product(piece_scan.product(a, b), c) == piece_scan.product(a, piece_scan.product(b, c))).all()
+    at = np.arange(5)
+    a, b, c = ((at, at, np.where(r.random((5, 5)) < 0.3, -np.inf, r.integers(-9, 9, (5, 5)))) for _ in range(3))
+    left, right = piece_scan.product(piece_scan.product(a, b), c), piece_scan.product(a, piece_scan.product(b, c))
+    assert all((x == y).all() for x, y in zip(left, right))
 
 
-def test_chunks_in_spark(spark, pieces, monkeypatch):
+def test_chunks_in_spark(spark, library, monkeypatch):
     r = random.Random(5)
     texts = [None, *ODD] + ["".join(r.choice("abcde the日☃ ") for _ in range(n)) for n in (5, 15, 16, 17, 200, 900)] + ["x" * 300]
-    rows = [(i, t, "extra") for i, t in enumerate(texts)] + [(16, texts[16], "extra")]
+    rows = [(i, t, "extra", "taken") for i, t in enumerate(texts)] + [(16, texts[16], "extra", "taken")]
     monkeypatch.setattr(piece_scan, "FAN", 4)
-    docs = spark.createDataFrame(rows, "doc_id long, text string, uid string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, uid string, ids string")
     got = piece_scan.decode(piece_scan.encode(docs, chunk=16)).collect()
     assert len(got) == len(rows)
     for x in got:
-        score, _ = pieces.between(piece_scan.marked(x["text"]))
-        assert x["score"] == score and x["decoded"] == (x["text"] or "").replace("▁", " ") and x["uid"] == "extra"
+        assert x["ids"] == (library.encode(x["text"]) if x["text"] else []) and x["decoded"] == (x["text"] or "").replace("▁", " ") and x["uid"] == "extra"
     assert piece_scan.encode(docs.limit(0)).count() == 0
 
 
-def test_op1_gives_the_ids_of_the_library(spark, tmp_path):
-    """The model as it is, by merges; texts without a break longer than a chunk too."""
-    sp = sentencepiece.SentencePieceProcessor()
-    sp.LoadFromSerializedProto(token_counts.model_bytes())
+def test_null_ids_give_null(spark):
+    rows = spark.createDataFrame([([305], 1), (None, 2), ([], 3), ([2], 4)], "ids array<int>, k int")
+    text = token_counts.library(token_counts.model_bytes()).id_to_piece(305).replace("▁", " ").removeprefix(" ")
+    assert {x["k"]: x["decoded"] for x in piece_scan.decode(rows).collect()} == {1: text, 2: None, 3: "", 4: ""}
+
+
+def test_op1_gives_the_ids_of_the_library(spark, tmp_path, library):
+    """Texts longer than a chunk, with and without a break, are scanned."""
     r = random.Random(7)
     texts = [None, *ODD, "the tin can", "  two  blanks ", "word " * 3] + ["".join(r.choice("abcde the日☃ ") for _ in range(n)) for n in (50, 900)]
-    texts += ["".join(r.choice("abcdethe日☃") for _ in range(piece_scan.CHUNK + 99))]
+    texts += ["".join(r.choice(a) for _ in range(piece_scan.CHUNK * 2 + 99)) for a in ("abcdethe日☃", "abcde the日☃ ")]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {x["doc_id"]: x for x in piece_scan.op1_piece_scan(spark, f"file://{tmp_path}").collect()}
     for i, text in enumerate(texts):
-        ids = sp.encode(text) if text else []
+        ids = library.encode(text) if text else []
         assert got[i]["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest() and got[i]["n_tokens"] == len(ids)
         assert got[i]["round_trip"] or "\x00" in text
