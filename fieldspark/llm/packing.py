@@ -2,7 +2,12 @@
 
 Lengths are tokens as operator 5 counts them (at least 1) unless a length column is named. The histogram has every length that
 occurs, so the driver sees as many rows as there are different lengths, never more than the longest row has tokens.
-Inside a bucket, rows are dealt to shards of about SHARD rows and batches form per shard. Null text has length 1.
+Inside a bucket, rows are dealt to shards of about SHARD rows and batches form per shard: as many rows as the budget holds when each is
+padded to the bucket's bound.
+
+A row longer than the budget is a batch of its own, beyond it. Null and empty texts have length 1; null and repeated doc_ids and
+repeated rows are packed one by one like all others; very long texts are taken whole; an empty table gives an empty result; extra columns
+stay, but for `n_tokens`, `bucket`, `batch_id` and `padding`, which are overwritten, and names that start with `_pack`, which are taken.
 """
 from __future__ import annotations
 
@@ -53,23 +58,26 @@ def boundaries(lengths: list[int], counts: list[int], k: int) -> list[int]:
 
 
 def pack(docs: DataFrame, length: Column | None = None, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
-    """doc_id, n_tokens, bucket (its upper bound), batch_id, padding, for every row."""
+    """docs with n_tokens, bucket (its upper bound), batch_id and padding."""
     if length is None:
-        docs, length = count_tokens(docs.select("doc_id", "text")), F.greatest("n_tokens", F.lit(1))
-    rows = written(docs.select("doc_id", length.cast("long").alias("n_tokens")), "packing-lengths")
-    hist = rows.groupBy(F.col("n_tokens").alias("c")).count().orderBy("c").collect()  # bounded by the longest length
+        docs, length = count_tokens(docs), F.greatest("n_tokens", F.lit(1))
+    names = [c for c in docs.columns if c not in ("n_tokens", "bucket", "batch_id", "padding")]
+    rows = docs.withColumn("_pack_n", length.cast("long")).withColumn("_pack_row", F.monotonically_increasing_id())
+    rows = written(rows.select(*names, "_pack_n", "_pack_row"), "packing-lengths")
+    hist = rows.groupBy(F.col("_pack_n").alias("c")).count().orderBy("c").collect()  # bounded by the longest length
     bounds = boundaries([r["c"] for r in hist], [r["count"] for r in hist], buckets) or [1]
     sizes = [max(1, sum(r["count"] for r in hist if a < r["c"] <= b)) for a, b in zip([0, *bounds], bounds)]
     array = lambda v: F.array(*[F.lit(int(i)).cast("long") for i in v])
-    rows = rows.withColumn("b", F.size(F.filter(array(bounds), lambda x: x < F.col("n_tokens"))))
-    rows = rows.withColumn("bucket", F.element_at(array(bounds), F.col("b") + 1))
-    shards = F.element_at(array([-(-s // SHARD) for s in sizes]), F.col("b") + 1)
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id"), shards))
+    rows = rows.withColumn("_pack_b", F.size(F.filter(array(bounds), lambda x: x < F.col("_pack_n"))))
+    rows = rows.withColumn("bucket", F.element_at(array(bounds), F.col("_pack_b") + 1))
+    shards = F.element_at(array([-(-s // SHARD) for s in sizes]), F.col("_pack_b") + 1)
+    rows = rows.withColumn("_pack_shard", F.pmod(F.xxhash64("_pack_row"), shards))
     per = F.greatest(F.floor(F.lit(budget) / F.col("bucket")), F.lit(1))
-    rank = F.row_number().over(Window.partitionBy("b", "shard").orderBy("doc_id", "n_tokens"))
-    return rows.withColumn("slot", F.floor((rank - 1) / per)).select(
-        "doc_id", "n_tokens", "bucket", F.concat_ws("-", "b", "shard", "slot").alias("batch_id"), (F.col("bucket") - F.col("n_tokens")).alias("padding"))
+    rank = F.row_number().over(Window.partitionBy("_pack_b", "_pack_shard").orderBy("_pack_row"))
+    return rows.withColumn("_pack_slot", F.floor((rank - 1) / per)).select(
+        *names, F.col("_pack_n").alias("n_tokens"), "bucket", F.concat_ws("-", "_pack_b", "_pack_shard", "_pack_slot").alias("batch_id"), (F.col("bucket") - F.col("_pack_n")).alias("padding"))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    counted = count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pack(counted.select("doc_id", "n_tokens"), F.greatest("n_tokens", F.lit(1)))

@@ -169,6 +169,50 @@ def test_packing_uses_tokens_and_exact_lengths(spark):
         assert (got[i]["n_tokens"], got[i]["bucket"], got[i]["padding"]) == (n, n, 0)  # as many buckets as lengths
 
 
+def packed_well(rows, lengths, buckets, budget):
+    """Every row once; buckets as few bounds with the least padding of all choices; batches within the budget and full but for the last of a shard."""
+    assert sorted(x["n_tokens"] for x in rows) == sorted(lengths)
+    xs = sorted(set(lengths))
+    cost = lambda bs: sum(min(b for b in bs if b >= v) - v for v in lengths)
+    best = min(cost([*p, xs[-1]]) for m in range(min(buckets, len(xs))) for p in itertools.combinations(xs[:-1], m))
+    assert sum(x["padding"] for x in rows) == best and all(x["bucket"] - x["n_tokens"] == x["padding"] >= 0 for x in rows)
+    batches = {}
+    for x in rows:
+        batches.setdefault(x["batch_id"], []).append(x["bucket"])
+    shards = {}
+    for k, b in batches.items():
+        assert len(set(b)) == 1 and (sum(b) <= budget or len(b) == 1)
+        shards.setdefault(k.rsplit("-", 1)[0], []).append((int(k.rsplit("-", 1)[1]), len(b), b[0]))
+    for s in shards.values():
+        assert [x[0] for x in sorted(s)] == list(range(len(s)))
+        assert all(n == max(1, budget // bound) for _, n, bound in sorted(s)[:-1])
+
+
+def test_packing_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD", 40)
+    r = random.Random(12)
+    lengths = [r.choice([1, 2, 3, 5, 8, 13, 40, 90]) for _ in range(300)]
+    docs = spark.createDataFrame([(r.choice([None, 1, i]), n, f"t{i}", "x", "y") for i, n in enumerate(lengths)], "doc_id long, n_tokens long, text string, bucket string, part string")
+    got = packing.pack(docs, length=packing.F.col("n_tokens"), buckets=4, budget=64)
+    assert got.columns == ["doc_id", "text", "part", "n_tokens", "bucket", "batch_id", "padding"]
+    rows = got.collect()
+    packed_well(rows, lengths, 4, 64)
+    assert {(x["text"], x["n_tokens"]) for x in rows} == {(f"t{i}", n) for i, n in enumerate(lengths)}
+    assert packing.pack(docs.limit(0)).count() == 0
+
+
+def test_op7_against_brute_force(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD", 7)
+    r = random.Random(13)
+    texts = [None, "", *("word " * r.choice([1, 2, 3, 9, 30]) + "x" * r.choice([0, 1]) for _ in range(60)), "a b " * 40_000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    sp = token_counts.library(token_counts.model_bytes())
+    rows = packing.op7_packing(spark, f"file://{tmp_path}").collect()
+    lengths = [max(1, len(sp.encode(t))) if t else 1 for t in texts]
+    assert {x["doc_id"]: x["n_tokens"] for x in rows} == dict(enumerate(lengths)) and max(lengths) > packing.BUDGET
+    packed_well(rows, lengths, packing.BUCKETS, packing.BUDGET)
+
+
 @pytest.mark.parametrize("text", ["", " ", "  a", "a▁b  c", "x\n  y\t", "日本 語 ß", "<s> hi </s>", "a \x00b", "word " * 3])
 def test_token_counts_equal_the_library(text):
     counts = token_counts.Counts(token_counts.model_bytes())
