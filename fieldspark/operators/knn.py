@@ -1,42 +1,121 @@
-"""Exact nearest neighbours by grid-keyed equi-joins."""
+"""Exact nearest neighbours, per set of keys, by a quadtree of cells.
+
+Points of one spot are folded to the k + 1 least ids, for no one has more neighbours there. Cells are halved where they hold more than LEAF points,
+so that dense places have small cells. A point looks at the 3 x 3 block round its cell: its k nearest there are its
+nearest of all when the k-th is no farther than the block's border. As the parent of a cell holds more than LEAF points and lies in the
+block, every point finds k, and those not sure yet look once more, in cells as wide as their k-th distance.
+
+Each cell is a task's group with at most SLICE points of the block and as many seekers; larger ones are sliced and their nearest merged.
+"""
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import written
-
-def knn(points: DataFrame, k: int, target: int = 16) -> DataFrame:
-    """(id, other, rank, d2) of the k nearest others in the plane, ties by id, for rows (id, x, y).
-
-    A row is final when its k-th distance fits in the cell size, for every point that near lies in the 3 x 3 block; the others
-    go on with doubled cells, until one cell spans all.
-    """
-    points = written(points.select("id", "x", "y"), "knn-points")
-    box = points.agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("x", "y")]).first()
-    if box["n"] < 2:
-        return points.select("id", F.col("id").alias("other"), F.lit(1).alias("rank"), F.lit(0.0).alias("d2")).limit(0)
-    width, height = box["max_x"] - box["min_x"], box["max_y"] - box["min_y"]
-    extent = max(width, height, 0.05)
-    cell = min(extent, max(0.05, math.sqrt(max(width * height, extent * 0.05) * target / box["n"])))
-    want, todo, out = min(k, box["n"] - 1), points.select("id", "x", "y"), None
+from ..sources.shared import forget, written
+
+LEAF, SLICE, ROWS, LEVELS = 96, 20_000, 256, 26
+
+
+def nearest(seek: np.ndarray, have: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, d2, id) of the k nearest of `have` to each of `seek`, ties by id; `ids` rise, `own` is never one's neighbour."""
+    out = []
+    for a in range(0, len(seek), ROWS):
+        s = seek[a:a + ROWS]
+        d2 = (s[:, :1] - have[None, :, 0]) ** 2 + (s[:, 1:] - have[None, :, 1]) ** 2
+        d2[own[a:a + ROWS, None] == ids[None, :]] = np.inf
+        limit = np.partition(d2, k - 1, axis=1)[:, k - 1] if d2.shape[1] > k else np.full(len(s), np.inf)
+        row, col = np.nonzero((d2 <= limit[:, None]) & np.isfinite(d2))
+        order = np.lexsort((col, d2[row, col], row))
+        row, col = row[order], col[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        row, col = row[rank < k], col[rank < k]
+        out.append((row + a, d2[row, col], ids[col]))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, int), np.zeros(0), np.zeros(0, int))
+
+
+def _cell(c: str, level: Column) -> Column:
+    return F.floor((F.col(c) - F.col(f"{c}0")) / F.col("extent") * F.pow(F.lit(2.0), level)).cast("long")
+
+
+def _search(seekers: DataFrame, right: DataFrame, counts: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """keys, id, near (k nearest of the block round the seeker's cell of its level, as (d2, other)), border (distance to the block's border)."""
+    cell = [*keys, "level", "cx", "cy"]
+    at = lambda df, level: df.withColumn("cx", _cell("x", level)).withColumn("cy", _cell("y", level))
+    seekers = at(seekers, F.col("level"))
     steps = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    while True:
-        at = lambda c: F.floor(F.col(c) / cell)
-        right = points.select(F.col("id").alias("other"), F.col("x").alias("x2"), F.col("y").alias("y2"), at("x").alias("cx"), at("y").alias("cy"))
-        left = todo.withColumn("i", F.explode(steps)).withColumn("j", F.explode(steps)).select("id", "x", "y", (at("x") + F.col("i")).alias("cx"), (at("y") + F.col("j")).alias("cy"))
-        d2 = (F.col("x") - F.col("x2")) ** 2 + (F.col("y") - F.col("y2")) ** 2
-        near = left.join(right, ["cx", "cy"]).filter("id <> other").withColumn("d2", d2)
-        near = near.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("d2", "other"))).filter(F.col("rank") <= want).select("id", "other", "rank", "d2")
-        near = written(near, "knn-near")
-        last = cell > extent
-        if not last:
-            final = near.filter((F.col("rank") == want) & (F.col("d2") <= cell * cell)).select("id")
-            near = near.join(final, "id", "left_semi")
-            todo = written(todo.join(final, "id", "left_anti"), "knn-todo")
-        out = near if out is None else out.unionByName(near)
-        if last or todo.isEmpty():
-            return out
-        cell *= 2 if cell * 2 <= extent else 2.1
+    need = seekers.groupBy(*cell).agg(F.count(F.lit(1)).alias("ns"))
+    need = need.withColumn("i", F.explode(steps)).withColumn("j", F.explode(steps)).withColumn("rx", F.col("cx") + F.col("i")).withColumn("ry", F.col("cy") + F.col("j"))
+    block = [*keys, "level", "rx", "ry"]
+    need = need.join(counts.select(*keys, "level", F.col("cx").alias("rx"), F.col("cy").alias("ry"), "n"), block)
+    size = need.groupBy(*cell).agg(F.ceil(F.sum("n") / SLICE).cast("int").alias("slices"), F.ceil(F.max("ns") / SLICE).cast("int").alias("parts"))
+    need = written(need.select(*block, "cx", "cy").join(size, cell), "knn-need")
+    levels = [r[0] for r in need.select("level").distinct().collect()]  # at most LEVELS
+    have = right.withColumn("level", F.explode(F.array(*[F.lit(v) for v in levels]).cast("array<int>")) if levels else F.lit(0))
+    have = at(have, F.col("level")).withColumnRenamed("cx", "rx").withColumnRenamed("cy", "ry").join(need, block)
+    part_of = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    have = have.select(*cell, "slices", part_of("slices").alias("slice"), every("parts").alias("part"), "id", "x", "y", F.lit(False).alias("seeks"))
+    who = seekers.join(size, cell).select(*cell, "slices", every("slices").alias("slice"), part_of("parts").alias("part"), "id", "x", "y", F.lit(True).alias("seeks"))
+
+    def local(g: pd.DataFrame) -> pd.DataFrame:
+        s, h = g[g["seeks"]], g[~g["seeks"]].sort_values("id")
+        row, d2, other = nearest(s[["x", "y"]].to_numpy(), h[["x", "y"]].to_numpy(), h["id"].to_numpy(), s["id"].to_numpy(), k)
+        ends = np.searchsorted(row, np.arange(len(s) + 1))
+        cut = lambda v: [v[a:b] for a, b in zip(ends, ends[1:])]
+        head = {c: np.repeat(g[c].iloc[0], len(s)) for c in keys}
+        return pd.DataFrame({**head, "id": s["id"].to_numpy(), "slices": np.repeat(g["slices"].iloc[0], len(s)), "d2": cut(d2), "other": cut(other)})
+
+    types = {f.name: f.dataType.simpleString() for f in right.schema}
+    schema = ", ".join([*[f"{c} {types[c]}" for c in keys], f"id {types['id']}", "slices int", "d2 array<double>", f"other array<{types['id']}>"])
+    found = who.unionByName(have).groupBy(*cell, "slice", "part").applyInPandas(local, schema)
+    found = written(found.select(*keys, "id", "slices", F.arrays_zip("d2", "other").alias("near")), "knn-found")
+    merged = found.filter("slices > 1").groupBy(*keys, "id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+    return found.filter("slices = 1").select(*keys, "id", "near").unionByName(merged)
+
+
+def knn(points: DataFrame, k: int, keys: list[str] | None = None, seekers: DataFrame | None = None) -> DataFrame:
+    """(keys, id, other, rank, d2) of the k nearest others of the same keys in the plane, ties by id, for rows (keys, id, x, y).
+
+    With `seekers`, rows like points whose ids are apart from theirs, the nearest points of each seeker."""
+    keys = keys or []
+    have = points.select(*keys, "id", "x", "y", F.lit(True).alias("is_point"), F.lit(seekers is None).alias("seeks"))
+    if seekers is not None:
+        have = have.unionByName(seekers.select(*keys, "id", "x", "y", F.lit(False).alias("is_point"), F.lit(True).alias("seeks")))
+    size = F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.lit(1e-6))
+    box = have.groupBy(*keys).agg(F.count_if("is_point").alias("n"), F.min("x").alias("x0"), F.min("y").alias("y0"), size.alias("extent"))
+    box = box.withColumn("want", F.least(F.lit(k), F.col("n") - (1 if seekers is None else 0)).cast("int")).filter("want > 0")
+    have = have.join(box, keys) if keys else have.crossJoin(F.broadcast(box))  # one row
+    have = written(have, "knn-points")
+    points, seekers, total = have.filter("is_point"), have.filter("seeks"), have.count()
+    if total < 1:
+        return have.select(*keys, "id", F.col("id").alias("other"), F.lit(1).alias("rank"), F.lit(0.0).alias("d2")).limit(0)
+    spot = Window.partitionBy(*keys, "x", "y").orderBy("id")
+    right = points.drop("is_point", "seeks").withColumn("r", F.row_number().over(spot)).filter(F.col("r") <= k + 1).drop("r")
+    right = written(right, "knn-right")
+    depth = min(LEVELS, 14 + math.ceil(math.log(total / LEAF + 1, 4)))
+    each = right.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(depth))))
+    counts = each.groupBy(*keys, "level", _cell("x", F.col("level")).alias("cx"), _cell("y", F.col("level")).alias("cy")).agg(F.count(F.lit(1)).alias("n"))
+    counts = written(counts, "knn-counts")
+    big = counts.filter((F.col("n") > LEAF) & (F.col("level") < depth)).select(*keys, "level", "cx", "cy")
+    tops = seekers.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(depth))))
+    tops = tops.withColumn("cx", _cell("x", F.col("level"))).withColumn("cy", _cell("y", F.col("level"))).join(big, [*keys, "level", "cx", "cy"])
+    tops = tops.groupBy(*keys, "id").agg((F.max("level") + 1).alias("level"))
+    seekers = written(seekers.join(tops, [*keys, "id"], "left").withColumn("level", F.coalesce("level", F.lit(0))), "knn-seekers")
+    first = written(_search(seekers, right, counts, keys, k).join(seekers.select(*keys, "id", "x", "y", "x0", "y0", "extent", "want", "level"), [*keys, "id"]), "knn-first")
+    width = F.col("extent") / F.pow(F.lit(2.0), F.col("level"))
+    edge = lambda c: F.pmod(F.col(c) - F.col(f"{c}0"), width)
+    border = F.least(edge("x"), edge("y"), width - edge("x"), width - edge("y")) + width
+    kth = F.when(F.size("near") >= F.col("want"), F.try_element_at("near", F.greatest("want", F.lit(1)))["d2"])
+    sure = (F.col("level") == 0) | ((F.size("near") >= F.col("want")) & (F.coalesce(kth, F.lit(0.0)) <= border * border * (1 - 1e-9)))
+    again = first.filter(~sure).withColumn("level", F.when(kth.isNull(), 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(depth), F.floor(F.log2(F.col("extent") / (F.sqrt(kth) * (1 + 1e-9) + 1e-12)))))).cast("int"))
+    again = written(again.drop("near"), "knn-again")
+    out = first.filter(sure).select(*keys, "id", "near")
+    if not again.isEmpty():
+        out = out.unionByName(_search(again, right, counts, keys, k))
+    forget(seekers, have)
+    return out.select(*keys, "id", F.posexplode("near").alias("p", "e")).select(*keys, "id", "e.other", (F.col("p") + 1).alias("rank"), "e.d2")

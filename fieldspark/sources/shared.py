@@ -1,19 +1,53 @@
-"""Cutting lineage through the folder that the cluster shares."""
+"""The folder that the cluster shares: cutting lineage, and results kept by content."""
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def base_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where that is unset, the warehouse's folder, which executors share too."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+
+
+def _path(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """Write under spark.checkpoint.dir and read again; a temporary folder only where that is unset, as in tests."""
+    """Write to the shared folder and read again."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="fieldspark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{base_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove tables made by `written` that no plan reads any more."""
+    for t in tables:
+        path, fs = _path(t.sparkSession, t.kept_at)
+        fs.delete(path, True)
+
+
+def fingerprint(df: DataFrame) -> str:
+    """Content of a table, whatever the order of its rows: count, and exclusive or and sum of row hashes."""
+    row = F.xxhash64(*df.columns)
+    got = df.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(row).alias("x"), F.sum(F.pmod(row, F.lit(2**31 - 1))).alias("s")).first()
+    return "-".join(str(v if v is not None else 0) for v in got)
+
+
+def kept(source: DataFrame, label: str, params, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """build(source), kept in the shared folder by the source's content, its columns and the parameters, and read from there the next time."""
+    spark = source.sparkSession
+    mark = spark.createDataFrame([(repr(params), ",".join(source.columns))]).select(F.sha2(F.concat_ws("|", "_1", "_2"), 256)).first()[0][:16]
+    at = f"{base_dir(spark)}/kept-{label}-{fingerprint(source)}-{mark}"
+    done, fs = _path(spark, f"{at}/_SUCCESS")
+    if not fs.exists(done):
+        build(source).write.mode("overwrite").parquet(at)
+    return spark.read.parquet(at)
