@@ -6,11 +6,11 @@ away, and a component keeps its earliest time, so two signatures agree with the
 components give buckets. Every candidate is verified by exact multiset overlap, whose links' components are the classes:
 
 1. In every bucket all are compared with the least representative; the links' components are the first classes.
-2. Buckets that still hold several classes: up to SMALL members, each two of different classes are compared.
-3. Larger ones go on by rounds of PIVOTS members that all others are compared with. Who is like a pivot leaves the bucket, the rest
-   goes on. Distance (1 - likeness) is a metric, so one that is like a pivot can be like one that is not only where the latter's
-   distance from the pivot is within twice the limit and the two distances differ by no more than it; such pairs are compared last,
-   where their classes are not one already. So no bucket tears a class, whatever its size, and no bucket's pairs are all made.
+2. In buckets that still hold several classes, of up to SMALL members, each two of different classes are compared, but for those whose
+   likeness to the least one differs by more than a link allows (1 - likeness is a metric).
+3. Larger ones are dealt to blocks of bounded size, the members of the class that weighs most apart from the others. Each two blocks meet
+   once in a task, but for two of that class, and only links that join classes leave it. So a bucket's work grows with its members times
+   those outside its largest class, whatever the size of that class, no pair becomes a row, and no class is torn.
 
 Texts of fewer than five words are one shingle; null and empty texts are copies of one another; texts without
 letters or digits are copies only where equal; repeated rows repeat; null doc_id sorts last;
@@ -22,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,8 +31,8 @@ from .common import dealt, forget, let, salt_of, salts_used, table, text_or_empt
 from .exact_dedup import one_per
 from .fingerprints import shingles, word_hashes
 
-BANDS, ROWS, SMALL, PIVOTS, LIKE = 32, 5, 32, 16, 0.8
-M, LOT = BANDS * ROWS, 1 << 17
+BANDS, ROWS, SMALL, LIKE = 32, 5, 32, 0.8
+M, LOT, SLOTS, BLOCK, LEAST, STEP = BANDS * ROWS, 1 << 17, 1 << 21, 400_000, 256, 4096
 PROFILE = "doc_id long, text_hash long, key binary, n int, bands array<long>"
 
 
@@ -120,7 +121,7 @@ def banded(bands: int, rows: int) -> Callable:
 
 
 def bagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (rep, s) to (rep, bag): shingles made distinct by their number of occurrence, so that set overlap is multiset overlap."""
+    """Rows (rep, s) to (rep, n, bag, codes): shingles made distinct by their number of occurrence, so that set overlap is multiset overlap, and their low halves."""
     for b in batches:
         out = []
         for flat, doc, _ in lots(b.column("s")):
@@ -129,7 +130,10 @@ def bagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out.append(_mix(np.repeat(h, w) + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
         bags = np.concatenate(out) if out else np.zeros(0, np.uint64)
         ends = b.column("s").offsets.to_numpy()
-        yield pa.RecordBatch.from_arrays([b.column("rep"), pa.ListArray.from_arrays(pa.array(ends - ends[0], pa.int32()), pa.array(bags.view(np.int64)))], ["rep", "bag"])
+        ends = pa.array(ends - ends[0], pa.int32())
+        codes = pa.array((bags & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))
+        n = pa.array(np.diff(ends.to_numpy()), pa.int32())
+        yield pa.RecordBatch.from_arrays([b.column("rep"), n, pa.ListArray.from_arrays(ends, pa.array(bags.view(np.int64))), pa.ListArray.from_arrays(ends, codes)], ["rep", "n", "bag", "codes"])
 
 
 def _key(words: Column) -> Column:
@@ -160,23 +164,45 @@ def met(reps: DataFrame) -> DataFrame:
 
 
 def bags_of(docs: DataFrame, reps: DataFrame, wanted: DataFrame) -> DataFrame:
-    """rep, bag of the wanted reps, from the text of the row that each took."""
+    """rep, n, bag, codes of the wanted reps, from the text of the row that each took.
+
+    Texts whose hash falls in none of SLOTS that wanted ones take are not shuffled; the broadcast holds at most SLOTS numbers."""
     at = written(reps.select("rep", "at_id", F.col("text_hash").alias("at_hash")).join(wanted, "rep", "left_semi"), "near-at")
+    slot = lambda c: F.pmod(F.col(c), F.lit(SLOTS)).cast("int").alias("slot")
     texts = docs.select("doc_id", "text", F.xxhash64(text_or_empty()).alias("text_hash"))
+    texts = texts.withColumn("slot", slot("text_hash")).join(F.broadcast(at.select(slot("at_hash")).distinct()), "slot", "left_semi")
     texts = texts.join(at, (F.col("text_hash") == F.col("at_hash")) & F.col("doc_id").eqNullSafe(F.col("at_id")))
-    bags = texts.select("rep", shingles(word_hashes(text_or_empty())).alias("s")).mapInArrow(bagged, f"rep long, bag array<long>")
-    bags = written(bags.groupBy("rep").agg(F.first("bag").alias("bag")), "near-bags")  # a row may repeat
+    bags = texts.select("rep", shingles(word_hashes(text_or_empty())).alias("s")).mapInArrow(bagged, "rep long, n int, bag array<long>, codes array<int>")
+    bags = written(bags.groupBy("rep").agg(F.first(F.struct("n", "bag", "codes")).alias("b")).select("rep", "b.*"), "near-bags")  # a row may repeat
     forget(at)
     return bags
 
 
-def verified(pairs: DataFrame, bags: DataFrame, like: float) -> DataFrame:
-    """Of the distinct pairs (a, b) those at least so like, with their likeness; a hot `a` is spread by salts."""
-    pairs = pairs.withColumn("salt", salt_of("b"))
-    left = pairs.select("a", "salt").distinct().join(bags.select(F.col("rep").alias("a"), F.col("bag").alias("bag_a")), "a")
-    both = pairs.join(bags.select(F.col("rep").alias("b"), F.col("bag").alias("bag_b")), "b").join(left, ["a", "salt"])
-    whole = F.size("bag_a") + F.size("bag_b") - F.col("_c")
-    return both.withColumn("_c", F.size(F.array_intersect("bag_a", "bag_b"))).withColumn("like", F.col("_c") / whole).filter(F.col("_c") >= like * whole).select("a", "b", "like")
+def compared(pairs: DataFrame, bags: DataFrame, codes: str) -> DataFrame:
+    """a, b, na, nb and how many codes each distinct pair (a, b) shares; a hot `a` is spread by salts."""
+    pairs = pairs.select("a", "b", salt_of("b").alias("salt"))
+    side = lambda x: bags.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col(codes).alias(f"bag_{x}"))
+    left = pairs.select("a", "salt").distinct().join(side("a"), "a")
+    both = pairs.join(side("b"), "b").join(left, ["a", "salt"])
+    return both.select("a", "b", "na", "nb", F.size(F.array_intersect("bag_a", "bag_b")).alias("common"))
+
+
+def scored(pairs: DataFrame, bags: DataFrame, like: float) -> DataFrame:
+    """Of the pairs those that may be so alike, with lo and hi, bounds of their likeness, by the halves of their shingles' hashes.
+
+    Halves of different hashes are equal now and then: as a Poisson number of mean na * nb / 2**32, which passes 3 + 6 means in no one of 10**15 pairs."""
+    out = compared(pairs, bags, "codes").withColumn("slack", 3 + F.col("na").cast("double") * F.col("nb") * (6 / 2**32))
+    of = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c / (F.col("na") + F.col("nb") - c)))
+    most = F.least(F.least("na", "nb").cast("double"), F.col("common") + F.col("slack"))
+    out = out.withColumn("lo", of(F.col("common") - F.col("slack"))).withColumn("hi", of(most))
+    return out.filter(F.col("hi") >= like - 1e-9).select("a", "b", "lo", "hi")
+
+
+def settled(pairs: DataFrame, bags: DataFrame, like: float) -> DataFrame:
+    """Links (a, b) among scored pairs: those surely so alike, and those that are by the whole hashes."""
+    close = compared(pairs.filter((F.col("lo") < like + 1e-9) & (F.col("hi") >= like - 1e-9)), bags, "bag")
+    exact = close.filter(F.col("common") >= like * (F.col("na") + F.col("nb") - F.col("common")))
+    return pairs.filter(F.col("lo") >= like + 1e-9).select("a", "b").unionByName(exact.select("a", "b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -211,73 +237,96 @@ def similar_size(x: str, y: str, like: float) -> Column:
     return F.least(x, y) >= F.greatest(x, y) * like - 1e-9
 
 
-def within(rows: DataFrame, like: float) -> DataFrame:
-    """Pairs of different classes in small buckets; those of the bucket's least rep are known."""
-    groups = rows.filter(F.col("rep") != F.col("a")).groupBy("bucket").agg(F.collect_list(F.struct("rep", "n", "class")).alias("m"))
+def within(rows: DataFrame, known: DataFrame, like: float) -> DataFrame:
+    """Pairs of different classes in small buckets; those of the bucket's least rep are known, as is how like it the others are, where that matters."""
+    rows = rows.filter(F.col("rep") != F.col("a")).join(known.withColumnRenamed("b", "rep"), ["a", "rep"], "left")
+    low = 2 * like - 1  # or less
+    rows = rows.withColumn("lo", F.coalesce("lo", F.lit(0.0))).withColumn("hi", F.coalesce("hi", F.lit(low)))
+    groups = rows.groupBy("bucket").agg(F.collect_list(F.struct("rep", "n", "class", "lo", "hi")).alias("m"))
     pairs = groups.select(F.explode("m").alias("x"), "m").select("x", F.explode("m").alias("y")).filter((F.col("x.rep") < F.col("y.rep")) & (F.col("x.class") != F.col("y.class")))
-    return pairs.filter(similar_size("x.n", "y.n", like)).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-
-
-def by_pivots(rows: DataFrame, bags: DataFrame, like: float) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) of large buckets and, for every pivot met there, who is how like it (bucket, pivot, rep, n, like)."""
-    left, found, near = rows.select("bucket", "rep", "n", "salt"), None, None
-    part = F.pmod("salt", F.lit(PIVOTS))
-    while True:
-        pivots = left.groupBy("bucket").agg(F.array_compact(F.array(*[F.min(F.when(part == i, F.struct("rep", "n"))) for i in range(PIVOTS)])).alias("p"), salts_used().alias("salts"))
-        met = written(left.join(dealt(pivots), ["bucket", "salt"]), "near-round")
-        each = met.select("bucket", "rep", "n", F.explode("p").alias("p")).select("bucket", "rep", "n", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pn"))
-        each = each.filter((F.col("rep") != F.col("pivot")) & similar_size("n", "pn", 2 * like - 1)).select("bucket", "pivot", "rep", "n")
-        pairs = each.select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct()
-        scored = written(verified(pairs, bags, 2 * like - 1 - 1e-9), "near-scored")
-        each = each.withColumn("a", F.least("pivot", "rep")).withColumn("b", F.greatest("pivot", "rep")).join(scored, ["a", "b"])
-        seen = written(each.select("bucket", "pivot", "rep", "n", "like", salt_of("rep").alias("salt")), "near-seen")
-        good = scored.filter(F.col("like") >= like).select("a", "b")
-        found = good if found is None else found.unionByName(good)
-        near = seen if near is None else near.unionByName(seen)
-        gone = seen.filter(F.col("like") >= like).select("bucket", "rep").distinct()
-        rest = met.filter(~F.exists("p", lambda p: p["rep"] == F.col("rep"))).select("bucket", "rep", "n", "salt").join(gone, ["bucket", "rep"], "left_anti")
-        left = written(rest, "near-rest")
-        forget(met)
-        if left.isEmpty():
-            return found.distinct(), near
-
-
-def across(near: DataFrame, label: DataFrame, like: float) -> DataFrame:
-    """Pairs of a bucket that may be alike although just one of the two is like a pivot, where their classes differ."""
-    of = lambda name: label.select(F.col("a").alias(name), F.col("class").alias(f"class_{name}"))
-    ring = near.filter(F.col("like") < like).select("bucket", "pivot", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("like").alias("ly"))
-    ring = ring.join(of("y"), "y", "left").join(of("pivot"), "pivot", "left").filter(F.coalesce("class_y", "y") != F.coalesce("class_pivot", "pivot"))
-    ring = ring.select("bucket", "pivot", "y", "ny", "ly", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("salt"))
-    inside = near.filter(F.col("like") >= like).select("bucket", "pivot", F.pmod("salt", F.lit(8)).alias("salt"), F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("like").alias("lx"))
-    pairs = inside.join(ring, ["bucket", "pivot", "salt"]).filter((F.col("lx") - F.col("ly") <= 1 - like + 1e-9) & similar_size("nx", "ny", like))
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    near = F.greatest(F.col("x.lo") - F.col("y.hi"), F.col("y.lo") - F.col("x.hi")) <= 1 - like + 1e-9
+    return pairs.filter(similar_size("x.n", "y.n", like) & near).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+
+
+def _joins(rows: pd.DataFrame, like: float) -> pd.DataFrame:
+    """Links between classes of block i and block j, as many as join what links join."""
+    first, second = (rows[rows["side"] == k] for k in (0, 1))
+    if rows["i"].iloc[0] == rows["j"].iloc[0]:
+        second = first
+    none = pd.DataFrame({"a": np.array([], np.int64), "b": np.array([], np.int64)})
+    if not len(first) or not len(second):
+        return none
+    sizes = [b["bag"].map(len).to_numpy() for b in (first, second)]
+    flat = [np.concatenate(b["bag"].to_numpy()) for b in (first, second)]
+    shared = np.intersect1d(*flat)
+    if not len(shared):
+        return none
+    at = [np.minimum(np.searchsorted(shared, f), len(shared) - 1) for f in flat]
+    on = [shared[a] == f for a, f in zip(at, flat)]
+    owner = [np.repeat(np.arange(len(n)), n)[o] for n, o in zip(sizes, on)]
+    at = [a[o] for a, o in zip(at, on)]
+    common = np.zeros((len(first), len(second)), np.float32)  # whole numbers below 2**24 are exact in single precision
+    for x in range(0, len(shared), STEP):
+        part = [np.zeros((len(n), min(STEP, len(shared) - x)), np.float32) for n in sizes]
+        for m, a, w in zip(part, at, owner):
+            pick = (a >= x) & (a < x + STEP)
+            m[w[pick], a[pick] - x] = 1
+        common += part[0] @ part[1].T
+    whole = sizes[0][:, None] + sizes[1][None, :] - common.astype(np.float64)
+    kinds = [b["class"].to_numpy() for b in (first, second)]
+    x, y = np.nonzero((common >= like * whole) & (kinds[0][:, None] != kinds[1][None, :]))
+    up: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while (far := up.get(c, c)) != c:
+            up[c] = c = up.get(far, far)
+        return c
+
+    keep = []
+    for k, (c, d) in enumerate(zip(kinds[0][x].tolist(), kinds[1][y].tolist())):
+        c, d = root(c), root(d)
+        if c != d:
+            up[c] = d
+            keep.append(k)
+    return pd.DataFrame({"a": first["rep"].to_numpy()[x[keep]], "b": second["rep"].to_numpy()[y[keep]]})
+
+
+def by_blocks(rows: DataFrame, bags: DataFrame, like: float) -> DataFrame:
+    """Links (a, b) that join classes within large buckets, for rows (bucket, rep, n, class, salt)."""
+    weight = F.sum(F.greatest("n", F.lit(LEAST))).alias("w")
+    per = rows.groupBy("bucket", "class").agg(weight, salts_used().alias("salts"))
+    per = per.groupBy("bucket").agg(F.max(F.struct("w", "class")).alias("top"), F.sum("w").alias("w"), F.bit_or("salts").alias("salts"))
+    blocks = lambda w: F.greatest(F.lit(1), F.ceil(w / BLOCK)).cast("int")
+    per = per.select("bucket", "salts", F.col("top.class").alias("main"), blocks(F.col("top.w")).alias("t"), blocks(F.col("w") - F.col("top.w")).alias("r"))
+    rows = rows.join(dealt(per), ["bucket", "salt"]).withColumn("is_main", F.col("class") == F.col("main"))
+    deal = lambda n: F.pmod(F.xxhash64("rep", F.lit(7)), F.col(n)).cast("int")
+    rows = rows.withColumn("own", F.when(F.col("is_main"), deal("t")).otherwise(F.col("t") + deal("r")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.when(F.col("is_main"), F.col("t")).otherwise(F.lit(0)), F.col("t") + F.col("r") - 1)))
+    rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "rep", "class")
+    return rows.join(bags.select("rep", "bag"), "rep").groupBy("bucket", "i", "j").applyInPandas(lambda g: _joins(g, like), "a long, b long").distinct()
 
 
 def classes(docs: DataFrame, reps: DataFrame, like: float) -> DataFrame:
     """a, class for every rep that is like another."""
     rows = met(reps)
     bags = bags_of(docs, reps, rows.select("rep").distinct())
-    star = rows.filter(F.col("rep") != F.col("a")).select("a", F.col("rep").alias("b")).distinct()
-    links = written(verified(star, bags, like).select("a", "b"), "near-links")
-    label = components(links)
-    forget(links)
-    known = lambda: label.select("a", F.col("class").alias("b")).filter("a <> b")
+    star = rows.filter(F.col("rep") != F.col("a")).select("a", F.col("rep").alias("b"), F.col("n").alias("nb")).distinct()
+    star = star.join(reps.select(F.col("rep").alias("a"), F.col("n").alias("na")), "a").filter(similar_size("na", "nb", 2 * like - 1))
+    known = written(scored(star, bags, 2 * like - 1), "near-scored")
+    label = components(written(settled(known, bags, like), "near-links"))
+    joined = lambda links: components(label.select("a", F.col("class").alias("b")).filter("a <> b").unionByName(links))
     todo = written(mixed(rows.filter("met > 2"), label), "near-mixed")
     forget(rows)
-    links = written(verified(within(todo.filter(F.col("met") <= SMALL), like), bags, like).select("a", "b"), "near-links")
+    links = written(settled(scored(within(todo.filter(F.col("met") <= SMALL), known, like), bags, like), bags, like), "near-links")
     if not links.isEmpty():
-        label = components(known().unionByName(links))
-    forget(links)
+        label = joined(links)
+    forget(links, known)
     large = written(mixed(todo.filter(F.col("met") > SMALL).drop("class"), label), "near-large")
     forget(todo)
-    if not large.isEmpty():
-        found, near = by_pivots(large, bags, like)
-        label = components(known().unionByName(found))
-        links = written(verified(across(near, label, like), bags, like).select("a", "b"), "near-links")
-        if not links.isEmpty():
-            label = components(known().unionByName(links))
-        forget(links)
-    forget(large, bags)
+    links = written(by_blocks(large, bags, like), "near-links")
+    if not links.isEmpty():
+        label = joined(links)
+    forget(links, large, bags)
     return label
 
 

@@ -55,7 +55,7 @@ def test_large_buckets_lose_no_class(spark, monkeypatch, small):
     """Every text in one bucket: classes equal those of all pairs, although many texts are unlike the least id."""
     monkeypatch.setattr(near_dedup, "BANDS", 1)
     monkeypatch.setattr(near_dedup, "ROWS", 0)
-    monkeypatch.setattr(near_dedup, "PIVOTS", 3)
+    monkeypatch.setattr(near_dedup, "BLOCK", 9 * near_dedup.LEAST)
     monkeypatch.setattr(near_dedup, "SMALL", small)
     r = random.Random(4)
     base = [f"w{i}" for i in range(60)]
