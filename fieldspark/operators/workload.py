@@ -29,8 +29,9 @@ def with_travel(points: DataFrame, p: Params = Params(), keys: list[str] = SUBSE
     Areas and landmasses are modelled apart: each has its own mean latitude and neighbours. A client alone in its set has no hop
     and makes one visit a trip.
     """
-    pts = written(projected(with_visit_load(points), keys).withColumn("mpk", min_per_km(p)), "travel-points")
-    near = written(knn(pts.select(*keys, "id", "x", "y"), 30, keys).select("id", "other", "rank", "d2"), "travel-near")
+    points = points.withColumn("_set", F.to_json(F.struct(*keys)))  # a null key is a set of its own
+    pts = written(projected(with_visit_load(points), ["_set"]).withColumn("mpk", min_per_km(p)), "travel-points")
+    near = written(knn(pts.select("_set", "id", "x", "y"), 30, ["_set"]).select("id", "other", "rank", "d2"), "travel-near")
     hop = near.filter("rank <= 3").groupBy("id").agg(F.avg(F.sqrt("d2")).alias("hop_km"))
     pts = written(pts.join(hop, "id", "left").withColumn("hop", F.coalesce("hop_km", F.lit(0.0)) * F.col("mpk")), "travel-hops")
     of = pts.select(F.col("id").alias("other"), "v", (F.col("v") * (F.col("m") + F.col("hop"))).alias("w"))
@@ -38,7 +39,7 @@ def with_travel(points: DataFrame, p: Params = Params(), keys: list[str] = SUBSE
     day = p.capacity_hours * 60 / p.work_days
     out = pts.join(cost, "id", "left")
     per_day = F.greatest(F.lit(1.0), F.lit(float(day)) / F.greatest((F.col("v") * (F.col("m") + F.col("hop")) + F.col("nw")) / (F.col("v") + F.col("nv")), F.lit(1e-6)))
-    return out.withColumn("per_day", F.when(F.col("hop_km").isNull(), 1.0).otherwise(per_day)).withColumn("tpk", 2 * F.col("mpk") / F.col("per_day")).drop("hop_km", "nv", "nw")
+    return out.withColumn("per_day", F.when(F.col("hop_km").isNull(), 1.0).otherwise(per_day)).withColumn("tpk", 2 * F.col("mpk") / F.col("per_day")).drop("hop_km", "nv", "nw", "_set")
 
 
 def weight() -> Column:
