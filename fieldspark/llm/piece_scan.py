@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, text_or_empty, written
-from .token_counts import MARK, MEMO, PRE, Words, library, model_bytes, plain_pieces, pre_tokens, splittable
+from .token_counts import MARK, MEMO, PRE, Words, ids_of_words, library, lots, model_bytes, plain_pieces, pre_tokens, splittable
 
 CHUNK, FAN = 1 << 16, 256
 NONE = -np.inf
@@ -58,21 +58,18 @@ class Pieces:
         self.longest = max(map(len, self.known))
         self.prefixes = {p[:k] for p in self.known for k in range(1, len(p) + 1)}
         self.split = splittable(model) if split is None else split
-        self.words = Words(self._word)
+        self.words = Words(lambda new: list(map(tuple, ids_of_words(self.sp, new))))
         self.pairs: dict[tuple[str, str], bool] = {}
         silent = {i for i in range(n) if sp.is_control(i)}
         self.shown = ["" if i in silent else " ⁇ " if sp.is_unknown(i) else t.replace(MARK, " ") for i, t in enumerate(self.text)]
 
-    def _word(self, word: str) -> tuple[int, ...]:
-        return tuple(self.sp.encode(word.replace(MARK, " "))) if word else (self.known[MARK],)
-
     def score(self, ids) -> float:
         return float(self.value[ids].sum()) if len(ids) else 0.0
 
-    def encode(self, text: str | None) -> array:
-        if not text:
-            return array("i")
-        return array("i", chain.from_iterable(map(self.words.__getitem__, pre_tokens(text))) if self.split else self.sp.encode(text))
+    def encode(self, texts: list[str]) -> list[array]:
+        if not self.split:
+            return [array("i", ids) for ids in self.sp.encode(texts, num_threads=1)]
+        return [array("i", chain.from_iterable(ids)) for ids in self.words.values_of([pre_tokens(t) if t else [] for t in texts])]
 
     def ids_of(self, piece: str) -> list[int]:
         i = self.known.get(piece)
@@ -120,7 +117,7 @@ class Pieces:
 
     def between(self, s: str) -> array:
         """Ids of a stretch between two places that every path passes."""
-        return array("i", chain.from_iterable(self.words[p[1:]] for p in PRE.findall(s)))
+        return array("i", chain.from_iterable(self.words.values_of([[p[1:] for p in PRE.findall(s)]])[0]))
 
     def passes(self, s: str, start: int, end: int) -> tuple[int, int] | None:
         """First and last place after start and before end that every path passes."""
@@ -270,28 +267,31 @@ def _long(docs: DataFrame, model: bytes, chunk: int, split: bool) -> DataFrame:
     return whole.select("uid", F.flatten("x.ids").alias("ids"), "score")
 
 
-def encode(docs: DataFrame, model: bytes | None = None, chunk: int = CHUNK) -> DataFrame:
-    """docs with ids (array<int>), the library's own, and score (double)."""
+def encode(docs: DataFrame, model: bytes | None = None, chunk: int = CHUNK, back: str | None = None) -> DataFrame:
+    """docs with ids (array<int>), the library's own, and score (double); with the name `back`, a column of what the ids decode to, made in the same pass."""
     model = model or model_bytes()
     split = splittable(model)
 
-    @F.arrow_udf("struct<ids:array<int>,score:double>")
+    @F.arrow_udf("struct<ids:array<int>,score:double,back:string>")
     def at_once(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         pieces = Pieces(model, split)
         for texts in batches:
-            ids, ends, scores = array("i"), [0], []
-            for text in texts.to_pylist():
-                got = pieces.encode(text)
+            ids, ends, scores, shown = array("i"), [0], [], []
+            for got in (got for lot in lots(t.as_py() for t in texts) for got in pieces.encode(lot)):
                 ids += got
                 ends.append(len(ids))
                 scores.append(pieces.score(got))
+                shown.append(pieces.decode(got) if back else None)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, np.int32)))
-            yield pa.StructArray.from_arrays([lists, pa.array(scores, pa.float64())], ["ids", "score"])
+            yield pa.StructArray.from_arrays([lists, pa.array(scores, pa.float64()), pa.array(shown, pa.string())], ["ids", "score", "back"])
 
     is_long = F.length(text_or_empty()) >= chunk
-    short = docs.filter(~is_long).withColumn("_scan", at_once("text")).select(*[c for c in docs.columns if c not in ("ids", "score")], "_scan.ids", "_scan.score")
-    long = written(docs.filter(is_long).drop("ids", "score").withColumn("_scan_uid", F.monotonically_increasing_id()), "scan-long")
+    names = [c for c in docs.columns if c not in ("ids", "score", back)]
+    more = ["_scan.ids", "_scan.score"] + ([F.col("_scan.back").alias(back)] if back else [])
+    short = docs.filter(~is_long).withColumn("_scan", at_once("text")).select(*names, *more)
+    long = written(docs.filter(is_long).select(*names).withColumn("_scan_uid", F.monotonically_increasing_id()), "scan-long")
     got = _long(long.select(F.col("_scan_uid").alias("uid"), "text"), model, chunk, split).withColumnRenamed("uid", "_scan_uid")
+    got = decode(got, model, back) if back else got
     return short.unionByName(long.join(got, "_scan_uid").select(*short.columns))
 
 
@@ -313,7 +313,7 @@ def decode(rows: DataFrame, model: bytes | None = None, name: str = "decoded") -
 
 def op1_piece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, score, ids_sha256 (ids in decimal, comma-joined) and round_trip: decoding gives the text, word marks read as blanks."""
-    docs = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    docs = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), back="decoded")
     ids = F.array_join("ids", ",")
     return docs.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), "score", F.sha2(ids, 256).alias("ids_sha256"),

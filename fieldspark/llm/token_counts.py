@@ -11,9 +11,9 @@ extra columns stay, but `n_tokens` is overwritten.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +21,7 @@ from .common import table
 
 MARK = "▁"
 PRE = re.compile(f"{MARK}+[^{MARK}]*")
-MODEL, LIMIT, MEMO, LONGEST = "piece_bpe_32k.model", 4096, 100_000, 64
+MODEL, LIMIT, MEMO, LONGEST, LOT = "piece_bpe_32k.model", 4096, 100_000, 64, 1 << 20
 
 
 def library(model: bytes):
@@ -63,32 +63,55 @@ def pre_tokens(text: str) -> list[str]:
 
 
 class Words(dict):
-    """What `of` gives for a pre-token; short ones are remembered, up to MEMO."""
+    """What `of` gives for pre-tokens, asked for many at a time; short ones are remembered, up to MEMO."""
 
-    def __init__(self, of: Callable, known=()):
+    def __init__(self, of: Callable[[list[str]], list], known=()):
         super().__init__(known)
         self.of = of
 
-    def __missing__(self, word: str):
-        value = self.of(word)
-        if len(word) < LONGEST and len(self) < MEMO:
-            self[word] = value
-        return value
+    def values_of(self, lists: list[list[str]]) -> list[list]:
+        new = list(set().union(*lists) - self.keys())
+        self.update(zip(new, self.of(new)))
+        out = [list(map(self.__getitem__, words)) for words in lists]
+        full = len(self) > MEMO
+        for w in new:
+            if full or len(w) >= LONGEST:
+                del self[w]
+        return out
+
+
+def lots(texts: Iterable[str | None]) -> Iterator[list[str]]:
+    """Texts (null as empty) in lists of about LOT characters."""
+    lot, size = [], 0
+    for text in texts:
+        lot.append(text or "")
+        size += len(lot[-1])
+        if size >= LOT:
+            yield lot
+            lot, size = [], 0
+    yield lot
+
+
+def ids_of_words(sp, words: list[str]) -> list[list[int]]:
+    """Ids of pre-tokens given without their first mark."""
+    mark = [sp.piece_to_id(MARK)]
+    return [ids if w else mark for w, ids in zip(words, sp.encode([w.replace(MARK, " ") for w in words], num_threads=1))] if words else []
 
 
 class Counts:
     def __init__(self, model: bytes, split: bool | None = None, whole: list[str] | None = None):
         self.sp = library(model)
         self.split = splittable(model) if split is None else split
-        self.words = Words(self._merged, dict.fromkeys(whole_words(model) if whole is None else whole, 1))
+        known = dict.fromkeys(whole_words(model) if whole is None else whole, 1)
+        self.words = Words(lambda new: list(map(len, ids_of_words(self.sp, new))), known)
 
-    def _merged(self, word: str) -> int:
-        return len(self.sp.encode(word.replace(MARK, " "))) if word else 1
+    def counts(self, texts: list[str]) -> list[int]:
+        if not self.split:
+            return [len(ids) for ids in self.sp.encode(texts, num_threads=1)]
+        return list(map(sum, self.words.values_of([pre_tokens(t) if t else [] for t in texts])))
 
     def count(self, text: str) -> int:
-        if not text or not self.split:
-            return len(self.sp.encode(text)) if text else 0
-        return sum(map(self.words.__getitem__, pre_tokens(text)))
+        return self.counts([text])[0]
 
 
 def model_bytes(path: str | None = None) -> bytes:
@@ -106,11 +129,11 @@ def count_tokens(docs: DataFrame, model: bytes | None = None) -> DataFrame:
     model = model or model_bytes()
     split, whole = splittable(model), whole_words(model)
 
-    @F.pandas_udf("long")
-    def n_tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("long")
+    def n_tokens(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         counts = Counts(model, split, whole)
         for texts in batches:
-            yield texts.fillna("").map(counts.count).astype("int64")
+            yield pa.array([n for lot in lots(t.as_py() for t in texts) for n in counts.counts(lot)], pa.int64())
 
     return docs.withColumn("n_tokens", n_tokens("text"))
 
