@@ -2,9 +2,11 @@
 
 Base patterns find assignments, access keys and hex strings. Beyond them, long unbroken strings in a sensitive context are
 compressed with the surrounding text and common identifiers as dictionary; those that stay incompressible, by the byte or beside
-random strings of their own alphabet and length, are reported as `novel`. Of a string that holds a base span, what lies
-outside it is tested, where it has LONG's 20 characters. Offsets are code points of the whole text, end exclusive. Null text is empty and has no spans; repeated rows
-give repeated results; other columns are ignored by `scan` and kept by `redact`.
+random strings of their own alphabet and length, are reported as `novel`, but for strings that read as joined words. Of a string that
+holds a base span, what lies outside it is tested, where it has LONG's 20 characters. Offsets are code points of the whole text, end exclusive.
+
+Null text is empty and has no spans; very long texts and strings are taken whole; repeated rows give repeated results; an empty table
+gives an empty result; other columns stay, but `scan` overwrites `secrets`; `redact` keeps null texts and sets n_chars where there is one.
 """
 from __future__ import annotations
 
@@ -31,6 +33,7 @@ AROUND, MIN_NOVELTY, MIN_RATIO, LEAST = 200, 0.75, 0.93, 20
 D, L, U = string.digits, string.ascii_lowercase, string.ascii_uppercase
 ALPHABETS = (D, D + "ABCDEF", D + "abcdef", U, L, U + "234567", L + "234567", D + U, D + L, U + L, D + U + L)
 MARKS = "+/_=-"
+WORD, NO_VOWEL = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])"), re.compile(r"[^aeiouy]+")
 SPAN = "array<struct<kind:string,start:int,end:int>>"
 
 
@@ -56,7 +59,18 @@ def alphabet_of(candidate: str) -> str:
     return next(a for a in ALPHABETS if used - set(marks) <= set(a)) + marks
 
 
+def wordy(candidate: str) -> bool:
+    """Whether it reads as words, joined by marks or capitals, with few digits: compression cannot tell unusual words from chance letters."""
+    words = [w for w in WORD.findall(candidate) if len(w) > 1]
+    letters = "".join(words).lower()
+    if not words or len(letters) < 0.7 * len(candidate) or sum(c.isdigit() for c in candidate) > 0.15 * len(candidate) or len(letters) < 4 * len(words):
+        return False
+    return sum(c in "aeiouy" for c in letters) >= 0.28 * len(letters) and all(len(run) <= 5 for w in words for run in NO_VOWEL.findall(w.lower()))
+
+
 def is_novel(candidate: str, around: str) -> bool:
+    if wordy(candidate):
+        return False
     value = novelty(candidate, around)
     return value >= MIN_NOVELTY or value >= MIN_RATIO * random_cost(alphabet_of(candidate), len(candidate))
 
@@ -76,9 +90,14 @@ def spans_of(text: str | None) -> list[tuple[str, int, int]]:
     found = [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
     found += [("access", *m.span()) for m in ACCESS.finditer(text)]
     found += [("hex", *m.span()) for m in HEX.finditer(text)]
-    taken = sorted(s[1:] for s in found)
+    taken, at = sorted(s[1:] for s in found), 0
     for m in LONG.finditer(text):
-        for s, e in outside(*m.span(), taken):
+        while at < len(taken) and taken[at][1] <= m.start():
+            at += 1
+        near = at
+        while near < len(taken) and taken[near][0] < m.end():
+            near += 1
+        for s, e in outside(*m.span(), taken[at:near]):
             if CONTEXT.search(text, max(0, m.start() - 60), s) and is_novel(text[s:e], text[max(0, s - AROUND):s] + text[e:e + AROUND]):
                 found.append(("novel", s, e))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
@@ -109,8 +128,9 @@ def _redacted(texts: pd.Series) -> pd.Series:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """Every document stays; secrets in its text are replaced by their kind and n_chars follows."""
-    return docs.withColumn("text", F.pandas_udf(_redacted, "string")(F.col("text"))).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    """Every document stays; secrets in its text are replaced by their kind and n_chars, if there is one, follows."""
+    out = docs.withColumn("text", F.pandas_udf(_redacted, "string")(F.col("text")))
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
