@@ -1,8 +1,12 @@
 """Language by sparse multinomial logistic regression on TF-IDF character n-grams (operator 8).
 
 Training: at most PER_LANG documents of each language, chosen by hash, from those with crc32(doc_id) mod 3 other than 1; document frequencies
-come from all such documents. FTRL with elastic net fits the weights, a fifth of the sample sets the temperature. Texts without a
-letter (null and empty too) are `und` with score 0; no usable training row makes every text `und`.
+come from all such documents. FTRL with elastic net fits the weights, a fifth of the sample sets the temperature. The driver gets the sample's
+n-gram counts, at most DIM a row, and holds DIM weights for each language.
+
+Texts without a letter (null and empty too) are `und` with score 0; no usable training row makes every text `und`; very long texts are taken
+whole; repeated rows repeat, in training too; of languages equally likely the first by name is predicted; an empty table gives an empty
+result; extra columns stay, but for `lang_pred` and `score`, which are overwritten, and `_g`, which is taken.
 """
 from __future__ import annotations
 
@@ -15,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-BITS, PER_LANG, EPOCHS = 14, 600, 3
+BITS, PER_LANG, EPOCHS, SALTS = 14, 600, 3, 32
 DIM = 1 << BITS
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-3, 1e-4
 PRIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
@@ -41,8 +45,8 @@ def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return at, count[at].astype(float)
 
 
-def features(text: str | None, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at, n = grams(text)
+def weighed(at: np.ndarray, n: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and TF-IDF values of unit length."""
     v = (1 + np.log(n)) * idf[at] if len(at) else n
     return at, v / max(np.linalg.norm(v), 1e-12)
 
@@ -88,11 +92,22 @@ def train(docs: DataFrame, per_lang: int = PER_LANG):
     rows = docs.filter("lang is not null and text is not null and doc_id is not null")
     n, df = frequencies(rows.select("text"))
     idf = np.log((1 + n) / (1 + df)) + 1
-    ids = rows.select("doc_id", "lang").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))).filter(F.col("r") <= per_lang)
-    got = rows.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", "text", "lang").collect()
-    got.sort(key=lambda r: (r["doc_id"], r["lang"], r["text"]))
+    order = (F.xxhash64("doc_id"), F.col("doc_id"))
+    ids = rows.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(SALTS)).alias("salt"))
+    for by in (["lang", "salt"], ["lang"]):  # a part of each language first, so that a frequent one is many tasks
+        ids = ids.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("r") <= per_lang)
+    some = rows.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", "text", "lang")
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            got = [grams(t) for t in b["text"]]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "lang": b["lang"], "at": [g[0] for g in got], "n": [g[1] for g in got]})
+
+    got = some.mapInPandas(counted, "doc_id long, lang string, at array<long>, n array<double>").collect()
+    got.sort(key=lambda r: (r["doc_id"], r["lang"], len(r["at"]), r["at"], r["n"]))
     langs = sorted({r["lang"] for r in got})
-    x, y = [features(r["text"], idf) for r in got], np.array([langs.index(r["lang"]) for r in got], int)
+    x = [weighed(np.array(r["at"], np.int64), np.array(r["n"], float), idf) for r in got]
+    y = np.array([langs.index(r["lang"]) for r in got], int)
     held = np.arange(len(x)) % 5 == 4
     w = ftrl([a for a, h in zip(x, held) if not h], y[~held], len(langs)) if langs else np.zeros((DIM, 0))
     logits = [v @ w[at] for (at, v), h in zip(x, held) if h]
@@ -113,7 +128,7 @@ def predict(docs: DataFrame, model) -> DataFrame:
         langs, idf, w, t = shared.value
         out = []
         for text in texts:
-            at, v = features(text, idf)
+            at, v = weighed(*grams(text), idf)
             if not len(at) or not langs:
                 out.append(("und", 0.0))
                 continue
@@ -122,7 +137,7 @@ def predict(docs: DataFrame, model) -> DataFrame:
             out.append((langs[int(z.argmax())], float(p.max() / p.sum())))
         return pd.DataFrame(out, columns=["lang_pred", "score"])
 
-    return docs.withColumn("_g", guess("text")).select(*docs.columns, "_g.lang_pred", "_g.score")
+    return docs.withColumn("_g", guess("text")).select(*[c for c in docs.columns if c not in ("lang_pred", "score")], "_g.lang_pred", "_g.score")
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
