@@ -3,7 +3,8 @@
 Each five-word shingle is hashed once; its top bits name the bin, the bin keeps its least hash. An empty bin copies the filled bin
 that comes first in its own random order of bins (2-universal, so equal for equal sets). LOW bits per bin are stored as hex;
 likeness corrects the share of equal bins for chance. A text of fewer than five words is one shingle; an empty text (or null)
-has the empty fingerprint, like only to itself. Repeated rows repeat; a null doc_id sorts first.
+has the empty fingerprint, like only to itself, as has a text without letters or digits. Very long texts are taken whole; repeated rows
+repeat; rows of null doc_id come first; extra columns are ignored; an empty table gives an empty result.
 """
 from __future__ import annotations
 
@@ -50,11 +51,20 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).when((a == "") | (b == ""), 0.0).otherwise(F.greatest(F.lit(0.0), (same(a, b) / BINS - chance) / (1 - chance)))
 
 
-def with_next(docs: DataFrame, cols: list[str], parts: int = 200) -> DataFrame:
-    """Each row with `next_<col>` of the next row by doc_id, the first after the last: a window per range of ids, joined at the seams."""
+RANGE = 4096
+
+
+def with_next(docs: DataFrame, cols: list[str], parts: int | None = None) -> DataFrame:
+    """Each row with `next_<col>` of the next row by doc_id, the first after the last: a window per range of ids, joined at the seams.
+
+    Ranges hold about RANGE rows, up to 2,000 ranges, whose cuts the driver holds. Null ids come first, dealt by their columns' hashes; equal ids go by
+    the hash too."""
+    if parts is None:
+        parts = max(1, min(2_000, docs.count() // RANGE))
     cuts = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10000).alias("q")).first()["q"] or []
     bounds = F.array(*[F.lit(int(q)).cast("long") for q in sorted(set(cuts))]) if cuts else F.array().cast("array<long>")
-    rows = docs.withColumn("part", F.when(F.col("doc_id").isNull(), -1).otherwise(F.size(F.filter(bounds, lambda q: q < F.col("doc_id")))))
+    nulls = -1 - F.pmod(F.xxhash64(*cols), F.lit(parts)).cast("int")
+    rows = docs.withColumn("part", F.when(F.col("doc_id").isNull(), nulls).otherwise(F.size(F.filter(bounds, lambda q: q < F.col("doc_id")))))
     following = F.struct(*cols)
     ordered = Window.partitionBy("part").orderBy("doc_id", F.xxhash64(*cols))
     out = rows.withColumn("next", F.lead(following).over(ordered))
