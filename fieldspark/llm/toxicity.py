@@ -1,9 +1,14 @@
 """Toxicity by a chain of sparse logistic models (operator 4).
 
 Two categories in order, `poor` (quality 0) and `toxic`; the second model also takes the first one's probability, in training from
-out-of-fold predictions. Models are fitted on at most SAMPLE labelled rows, chosen by hash; their words are the FEATURES most telling ones
-and an L1 penalty leaves few. All documents are scored over their whole text by DataFrame functions. Null or empty texts hold no word and
-get the intercept's probability; without labels of both classes a model predicts the base rate; extra columns stay.
+out-of-fold predictions. Features are the words of a text and, for words that are inflected, their first 4, 5 and 6 letters. Models are fitted on at most
+SAMPLE labelled rows, chosen by hash; the FEATURES most telling ones go in, an L1 penalty leaves few, and those are fitted again without it,
+so that few labels give no weight to chance words and the weights kept are whole.
+
+All documents are scored over their whole text by DataFrame functions. Null or empty texts hold no word and get the intercept's probability;
+labels that contradict one another for a doc_id count as poor, as toxic; rows with null labels or ids are not learned from; without labels of both
+classes a model predicts the base rate; repeated rows repeat; an empty table gives an empty result; extra columns stay, but for
+`p_poor`, `p_toxic` and `is_toxic`, which are overwritten, and names that start with `_tox`, which are taken.
 """
 from __future__ import annotations
 
@@ -13,9 +18,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty
+from .common import forget, table, text_or_empty, written
 
-SAMPLE, FEATURES, L1, FOLDS, THRESHOLD = 6000, 1500, 0.001, 3, 0.5
+SAMPLE, FEATURES, L1, L2, LEAST, FOLDS, THRESHOLD = 6000, 1500, 0.3, 1e-4, 3, 3, 0.5
+STEMS = (4, 5, 6)
 
 
 @dataclass
@@ -38,7 +44,9 @@ class Linear:
 
 
 def words_of(text: Column) -> Column:
-    return F.array_distinct(F.transform(F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != ""), lambda w: F.xxhash64(w)))
+    words = F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != ""))
+    stem = lambda w, k: F.when(F.length(w) >= k, F.xxhash64(F.substring(w, 1, k), F.lit(k)))
+    return F.array_distinct(F.array_compact(F.flatten(F.transform(words, lambda w: F.array(F.xxhash64(w), *[stem(w, k) for k in STEMS])))))
 
 
 def fit(rows: list[np.ndarray], y: np.ndarray, earlier: np.ndarray, steps: int = 300) -> Linear:
@@ -50,15 +58,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, earlier: np.ndarray, steps: int =
     vocab, col = np.unique(np.concatenate(rows), return_inverse=True)
     if len(vocab) == 0:
         return out
-    df, pos = np.bincount(col), np.bincount(col, y[at])
-    gain = np.abs(pos - df * y.mean()) / np.sqrt(df * y.mean() * (1 - y.mean()) * (1 - df / (n + 1.0)) + 1e-9) * (df >= 3)
-    best = np.lexsort((vocab, -gain))[:FEATURES]
-    best = best[gain[best] > 0]
-    place = np.full(len(vocab), -1)
-    place[best] = np.arange(len(best))
-    keep = place[col] >= 0
-    at, col = at[keep], place[col[keep]]
-    k = len(best)
+    k = len(vocab)
     mul = lambda v: np.bincount(at, v[col], n) + v[k] + v[k + 1] * earlier
     tmul = lambda r: np.concatenate([np.bincount(col, r[at], k), [r.sum(), (r * earlier).sum()]])
     v = np.ones(k + 2)
@@ -67,25 +67,50 @@ def fit(rows: list[np.ndarray], y: np.ndarray, earlier: np.ndarray, steps: int =
         norm = np.linalg.norm(v)
         v /= norm
     step = 4 * n / (norm * 1.1)
+
+    def descend(w: np.ndarray, on: np.ndarray, l1: float, l2: float) -> np.ndarray:
+        """Accelerated proximal steps over the features `on`; the intercept and the earlier probability are free."""
+        free = np.concatenate([on, [True, True]])
+        cut, shrink = np.concatenate([np.full(k, step * l1), [0, 0]]), np.concatenate([np.full(k, l2), [0, 0]])
+        z, t = w.copy(), 1.0
+        for _ in range(steps):
+            g = (tmul(1 / (1 + np.exp(-mul(z))) - y) / n + shrink * z) * free
+            new = z - step * g
+            new = np.sign(new) * np.maximum(np.abs(new) - cut, 0)
+            t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
+            z, w, t = new + (t - 1) / t2 * (new - w), new, t2
+        return w
+
     w = np.zeros(k + 2)
     w[k] = out.bias
-    z, t, cut = w.copy(), 1.0, np.concatenate([np.full(k, step * L1), [0, 0]])
-    for _ in range(steps):
-        g = tmul(1 / (1 + np.exp(-mul(z))) - y) / n
-        new = z - step * g
-        new = np.sign(new) * np.maximum(np.abs(new) - cut, 0)
-        t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        z, w, t = new + (t - 1) / t2 * (new - w), new, t2
-    return Linear(float(w[k]), {int(vocab[b]): float(x) for b, x in zip(best, w[:k]) if abs(x) > 1e-6}, float(w[k + 1]))
+    w = descend(w, np.ones(k, bool), L1 / n**0.5, 0.0)  # chance words fade with the root of the rows
+    w = descend(w, np.abs(w[:k]) > 1e-6, 0.0, L2)
+    return Linear(float(w[k]), {int(v): float(x) for v, x in zip(vocab, w[:k]) if abs(x) > 1e-6}, float(w[k + 1]))
+
+
+def telling(words: DataFrame, sample: DataFrame, label: str) -> DataFrame:
+    """w: the FEATURES words whose share of rows with the label is farthest from the whole's, in standard deviations."""
+    whole = sample.agg(F.count(F.lit(1)).alias("n"), F.avg(label).alias("p"))
+    per = words.groupBy("w").agg(F.count(F.lit(1)).alias("df"), F.sum(label).alias("pos")).filter(F.col("df") >= LEAST).crossJoin(F.broadcast(whole))  # one row
+    spread = F.sqrt(F.col("df") * F.col("p") * (1 - F.col("p")) * (1 - F.col("df") / (F.col("n") + 1)) + 1e-9)
+    return per.withColumn("gain", F.abs(F.col("pos") - F.col("df") * F.col("p")) / spread).filter("gain > 0").orderBy(F.desc("gain"), "w").limit(FEATURES).select("w")
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Linear, Linear]:
-    labels = labels.filter("quality is not null and toxic is not null").select("doc_id", "quality", "toxic").dropDuplicates(["doc_id"])
+    """The models of `poor` and `toxic`. The driver gets the telling words of the sample alone, twice FEATURES at most, and which rows hold them."""
+    labels = labels.filter("doc_id is not null and quality is not null and toxic is not null")
+    labels = labels.groupBy("doc_id").agg((1 - F.min("quality")).cast("double").alias("poor"), F.max("toxic").cast("double").alias("toxic"))
     labels = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    got = docs.select("doc_id", "text").join(F.broadcast(labels), "doc_id").select("doc_id", words_of(text_or_empty()).alias("w"), "quality", "toxic").collect()
-    got.sort(key=lambda r: r["doc_id"])
-    rows = [np.array(r["w"], np.int64) for r in got]
-    poor, toxic = np.array([1.0 - r["quality"] for r in got]), np.array([float(r["toxic"]) for r in got])
+    got = docs.select("doc_id", "text").join(F.broadcast(labels), "doc_id").groupBy("doc_id", "poor", "toxic").agg(F.max("text").alias("text"))
+    got = written(got.select("doc_id", words_of(text_or_empty()).alias("w"), "poor", "toxic"), "toxicity-sample")
+    words = got.select("doc_id", F.explode("w").alias("w"), "poor", "toxic")
+    vocab = written(telling(words, got, "poor").union(telling(words, got, "toxic")).distinct(), "toxicity-words")
+    held = words.join(F.broadcast(vocab), "w").groupBy("doc_id").agg(F.sort_array(F.collect_list("w")).alias("w"))
+    got_rows = got.select("doc_id", "poor", "toxic").join(held, "doc_id", "left").collect()
+    forget(got, vocab)
+    got = sorted(got_rows, key=lambda r: r["doc_id"])
+    rows = [np.array(r["w"] or [], np.int64) for r in got]
+    poor, toxic = np.array([r["poor"] for r in got]), np.array([r["toxic"] for r in got])
     none, oof = np.zeros(len(got)), np.zeros(len(got))
     fold = np.arange(len(got)) % FOLDS
     for f in range(FOLDS if len(got) else 0):
@@ -96,10 +121,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Lin
 
 def score(docs: DataFrame, models: tuple[Linear, Linear]) -> DataFrame:
     """docs with p_poor, p_toxic (0 to 1) and is_toxic."""
-    docs = docs.withColumn("_words", words_of(text_or_empty()))
-    docs = docs.withColumn("p_poor", models[0].column(F.col("_words"), F.lit(0.0)))
-    docs = docs.withColumn("p_toxic", models[1].column(F.col("_words"), F.col("p_poor")))
-    return docs.withColumn("is_toxic", F.col("p_toxic") > THRESHOLD).drop("_words")
+    docs = docs.withColumn("_tox_words", words_of(text_or_empty()))
+    docs = docs.withColumn("p_poor", models[0].column(F.col("_tox_words"), F.lit(0.0)))
+    docs = docs.withColumn("p_toxic", models[1].column(F.col("_tox_words"), F.col("p_poor")))
+    return docs.withColumn("is_toxic", F.col("p_toxic") > THRESHOLD).drop("_tox_words")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
