@@ -3,8 +3,12 @@
 Every DOM node gets its link-adjusted characters per tag; the node whose children's densities sum highest is the article, and
 the least density on its path to body is the threshold below which link-heavy parts inside it are left out. Other nodes that
 reach the least of the path up to body, by density or by unlinked characters per tag (which do not grow with a node's size), are
-the article's too, with what lies between them below their lowest common parent. Menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles and comments are never text. Null, empty or text-free html gives ''.
+the article's too, with what lies between them below their lowest common parent. Tags and names that can only be menus, headers, footers,
+sidebars, notices, adverts, forms, scripts, styles or readers' comments are never text. Where a name says both (class "story share"),
+density decides: such a node goes when it is below the threshold or mostly links. Any tag that no head may hold ends the head.
+
+Null, empty or text-free html gives ''; deep and long pages are read whole, without recursion; repeated rows repeat; an empty table gives an
+empty result; other columns are ignored.
 """
 from __future__ import annotations
 
@@ -20,46 +24,65 @@ from .common import table
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 OUT = frozenset("head script style noscript template nav header footer aside form button select textarea iframe svg".split())
-OUT_NAMES = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|sidebar|menu|nav|footer|comments?|cookie\w*|notice|promo|share|social|related|newsletter|subscribe)(?:$|[\s_-])", re.I)
+HEAD = frozenset("head title base link meta style script noscript template".split())
+OUT_NAMES = re.compile(r"(?:^|[_-])(?:ad|ads|advert\w*|banner|breadcrumbs?|sidebar|masthead|menu|nav|navbar|header|footer|comments?|cookie\w*|notice|popup|promo|share|social|sponsor\w*|related|newsletter|subscribe)(?:$|[_-])", re.I)
+HEADERS = re.compile(r"(?:^|[_-])(?:article|entry|post|story)[_-]header$", re.I)
+CONTENT = re.compile(r"(?:^|[_-])(?:article|content|entry|main|post|prose|story|text)$", re.I)
 AROUND_NAMES = re.compile(r"(?:^|[_-])(?:has|is|no|not|with|without|hide|hides)[_-]", re.I)
 BLOCK = frozenset("html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th tbody thead blockquote pre figure figcaption".split())
 
 
-def named_out(names: str) -> bool:
-    """Whether a class, id or role names boilerplate, and not a page that has or lacks some (has-sidebar, no-ads)."""
-    return any(OUT_NAMES.search(x) and not AROUND_NAMES.search(x) for x in names.split())
+def named(names: str) -> tuple[bool, bool]:
+    """Whether a class, id or role names boilerplate, and not a page that has or lacks some (has-sidebar, no-ads) or an article's own header; and whether it names content too."""
+    names = names.split()
+    out = any(OUT_NAMES.search(x) and not AROUND_NAMES.search(x) and not HEADERS.search(x) for x in names)
+    return out, out and any(CONTENT.search(x) and not OUT_NAMES.search(x) for x in names)
 
 
 class Node:
-    __slots__ = ("tag", "up", "parts", "out", "chars", "link_chars", "tags", "link_tags", "density", "total")
+    __slots__ = ("tag", "up", "parts", "out", "doubt", "chars", "link_chars", "tags", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, up: "Node | None", out: bool):
-        self.tag, self.up, self.parts, self.out = tag, up, [], out
+    def __init__(self, tag: str, up: "Node | None", out: bool, doubt: bool = False):
+        self.tag, self.up, self.parts, self.out, self.doubt = tag, up, [], out, doubt
 
 
 class Tree(HTMLParser):
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("html", None, False)
+        self.head = self.body = None
         self.order = [self.root]
         self.feed(html)
         self.close()
 
     def handle_starttag(self, tag, attrs):
+        if self.head is not None and tag not in HEAD:
+            self.at, self.head = self.head.up, None
         if tag in VOID:
             self.at.parts.append(" ")
             return
-        if tag in ("html", "body") and self.at.up is None and tag == "html":
+        if tag == "html" or tag == "body" and self.body is not None:
             return
         if tag in BLOCK:
             self._close_open("p", BLOCK - {"p"})
         if tag == "li":
             self._close_open("li", {"ul", "ol"})
-        names = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role"))
-        node = Node(tag, self.at, self.at.out or tag in OUT or tag not in ("body", "article", "main") and named_out(names))
+        out, both = named(" ".join(v or "" for k, v in attrs if k in ("class", "id", "role"))) if tag not in ("body", "article", "main") else (False, False)
+        own = tag == "header" and self._within(("article", "main"))
+        node = Node(tag, self.at, self.at.out or tag in OUT and not own or out and not both, both)
         self.at.parts.append(node)
         self.order.append(node)
         self.at = node
+        if tag == "head":
+            self.head = node
+        elif tag == "body":
+            self.body = node
+
+    def _within(self, tags) -> bool:
+        n = self.at
+        while n is not None and n.tag not in tags:
+            n = n.up
+        return n is not None
 
     def _close_open(self, tag, stop):
         n = self.at
@@ -75,6 +98,8 @@ class Tree(HTMLParser):
             n = n.up
         if n is not None and n.up is not None:
             self.at = n.up
+            if n is self.head:
+                self.head = None
 
     def handle_data(self, data):
         self.at.parts.append(data)
@@ -164,7 +189,9 @@ def main_text(html: str | None) -> str:
                 flush()
         elif isinstance(part, str):
             now.append(part)
-        elif not part.out and not (part.tag in BLOCK and part.density < threshold and part.link_chars * 2 > part.chars):
+        elif part.out or part.doubt and (part.density < threshold or part.link_chars * 2 > part.chars):
+            continue
+        elif not (part.tag in BLOCK and part.density < threshold and part.link_chars * 2 > part.chars):
             if part.tag in BLOCK:
                 flush()
             stack.append((part, iter(part.parts)))

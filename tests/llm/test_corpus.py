@@ -270,3 +270,86 @@ def test_main_text_spread_over_siblings():
         page = f"<body>{menu}" + wrap.format(f"<section>{part('a', 20)}</section><h2>more</h2><section>{part('b', 10)}</section>") + "<div class=sidebar><p>side</p></div></body>"
         got = html_text.main_text(page)
         assert [b.split()[0] for b in got.split("\n\n")] == [f"a{i}" for i in range(20)] + ["more"] + [f"b{i}" for i in range(10)]
+
+
+P = "<p>" + "a plain sentence of the story itself, long enough to count. " * 4 + "</p>"
+TEXT = html_text.main_text(f"<article>{P}</article>")
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<html><head><title>t</title><body><article><h1>T</h1>{P}</article>", f"T\n\n{TEXT}"),  # a head that nothing closes
+    (f"<title>t</title><article>{P}</article>", TEXT),
+    (f"<body><div class=header>logo and motto</div><div class='site-header x'>more</div><article>{P}</article></body>", TEXT),
+    (f"<body><header>site</header><article><header><h1>T</h1></header>{P}<footer>by</footer></article></body>", f"T\n\n{TEXT}"),
+    (f"<body><article><div class='post-header'><h1>T</h1></div>{P}</article></body>", f"T\n\n{TEXT}"),
+    (f"<body><article>{P}<div class='story share'>{P}</div><div class='story share'><a href=x>tell</a></div></article></body>", f"{TEXT}\n\n{TEXT}"),
+    (f"<body><article>{P}</article><div class='post-comments'>{P}</div><div id=comments>{P}</div><form>{P}</form></body>", TEXT),
+    (f"<body>{'<div>' * 3000}<article>{P}</article>{'</div>' * 3000}</body>", TEXT),
+    ("<body><nav><a href=x>a</a></nav></body>", ""),
+])
+def test_main_text_of_odd_pages(page, want):
+    assert html_text.main_text(page) == want
+
+
+LINKS = "<div>" + "".join(f"<a href=x>unrelated headline number {i}</a> " for i in range(30)) + "</div>"
+
+
+@pytest.mark.parametrize("page", [f"<body><div>{P * 6}</div>{LINKS}</body>", f"<body>{LINKS}<div><div>{P * 3}</div>{LINKS}<div>{P * 3}</div></div></body>", f"<body><article>{P * 3}{LINKS}{P * 3}</article></body>"])
+def test_density_tells_unnamed_links_from_text(page, monkeypatch):
+    """No tag or name gives the links away: by tags and names alone, without densities, they stay."""
+    want = "\n\n".join([TEXT] * 6)
+    assert html_text.main_text(page) == want
+    measure = html_text.measure
+
+    def flat(tree):
+        measure(tree)
+        for n in tree.order:
+            n.density = n.total = 0.0
+        return next(n for n in tree.order if n.tag == "body")
+
+    monkeypatch.setattr(html_text, "measure", flat)
+    monkeypatch.setattr(html_text, "siblings", lambda tree, top: (top, []))
+    assert "unrelated headline" in html_text.main_text(page)
+
+
+def test_density_against_brute_force():
+    """Counts of every node by walking its subtree, and the formula of link-adjusted characters per tag."""
+    import math
+
+    tree = html_text.Tree(f"<body><div>{P * 2}<ul><li><a href=x>link <b>one</b></a><li>two</ul></div>{LINKS}<section>{P}</section></body>")
+    html_text.measure(tree)
+
+    def walk(n):
+        yield n
+        for k in n.parts:
+            if isinstance(k, html_text.Node) and not k.out:
+                yield from walk(k)
+
+    count = lambda n: sum(len(p.strip()) for m in walk(n) for p in m.parts if isinstance(p, str))
+    links = lambda n: sum(count(m) for m in walk(n) if m.tag == "a")
+    body = next(n for n in tree.order if n.tag == "body")
+    share = links(body) / count(body)
+    for n in tree.order:
+        c, lc, t = count(n), links(n), max(len(list(walk(n))) - 1, 1)
+        lt = max(sum(m.tag == "a" for m in walk(n)) - (n.tag == "a"), 1)
+        base = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
+        want = c / t * math.log(max(c / max(lc, 1) * t / lt, 1)) / math.log(max(base, 1.0001)) if c else 0.0
+        assert n.density == pytest.approx(want)
+        assert n.total == pytest.approx(sum(k.density for k in n.parts if isinstance(k, html_text.Node) and not k.out))
+
+
+@pytest.mark.parametrize("text", ["internationalisation_of_the_whole_thing", "authenticationProviderConfiguration", "path/to/some/private/certificate/folder", "SESSION_TOKEN_EXPIRY_MINUTES_DEFAULT"])
+def test_plain_long_identifiers_are_no_secrets(text):
+    assert secrets.spans_of(f"auth key {text} end") == []
+
+
+def test_secrets_of_very_long_texts_equal_a_plain_scan():
+    r = random.Random(11)
+    parts = []
+    for i in range(4000):
+        parts.append(r.choice(["plain words here", f"token={''.join(r.choices('abcdef0123456789XYZ', k=20))}", "".join(r.choices("0123456789abcdef", k=18)), "AKIA" + "".join(r.choices("ABCDEF012", k=16)), "secret: short"]))
+    text = " ".join(parts)
+    got = [s for s in secrets.spans_of(text) if s[0] != "novel"]
+    want = [("assign", m.start(), m.end()) for m in re.finditer(r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text) if len(m[2]) >= 12]
+    want += [("access", m.start(), m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 18] + [("hex", m.start(), m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 16]
+    assert got == sorted(want, key=lambda x: (x[1], secrets.KINDS.index(x[0])))
