@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+VERSION = 1  # of kept results: raise it when an operator gives other rows
+
+
 def base_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where that is unset, the warehouse's folder, which executors share too."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+    """spark.checkpoint.dir; where that is unset, a folder of this application beside the warehouse's tables, which executors share too."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    return base.rstrip("/") if base else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
 def _path(spark: SparkSession, name: str):
@@ -45,7 +49,7 @@ def fingerprint(df: DataFrame) -> str:
 def kept(source: DataFrame, label: str, params, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """build(source), kept in the shared folder by the source's content, its columns and the parameters, and read from there the next time."""
     spark = source.sparkSession
-    mark = spark.createDataFrame([(repr(params), ",".join(source.columns))]).select(F.sha2(F.concat_ws("|", "_1", "_2"), 256)).first()[0][:16]
+    mark = spark.createDataFrame([(repr((VERSION, params)), ",".join(source.columns))]).select(F.sha2(F.concat_ws("|", "_1", "_2"), 256)).first()[0][:16]
     at = f"{base_dir(spark)}/kept-{label}-{fingerprint(source)}-{mark}"
     done, fs = _path(spark, f"{at}/_SUCCESS")
     if not fs.exists(done):
