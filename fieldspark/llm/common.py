@@ -12,8 +12,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder under spark.checkpoint.dir; where that is unset, beside the warehouse's tables, which executors share too."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A fresh folder under spark.checkpoint.dir; where that is unset, of this application beside the warehouse's tables, which executors share too."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{spark.sparkContext.applicationId}"
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 

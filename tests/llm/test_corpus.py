@@ -50,7 +50,7 @@ def brute_classes(texts):
     return up
 
 
-@pytest.mark.parametrize("small", [0, 12, 100])
+@pytest.mark.parametrize("small", [0, 100])
 def test_large_buckets_lose_no_class(spark, monkeypatch, small):
     """Every text in one bucket: classes equal those of all pairs, although many texts are unlike the least id."""
     monkeypatch.setattr(near_dedup, "BANDS", 1)
