@@ -25,12 +25,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table, text_or_empty
 
 LEAST, EXPONENT, LOT = 24, 3, 1 << 18
 ADDED = ("n_words", "runs", "collapsed")
-RUNS = "array<struct<start:long,length:long,period:long>>"
+RUNS = T.ArrayType(T.StructType([T.StructField(c, T.LongType()) for c in ("start", "length", "period")]))
 
 
 def codes_of(words: list) -> list[int]:
@@ -230,18 +231,17 @@ def periodic_runs(docs: DataFrame, least: int = LEAST, exponent: int = EXPONENT,
     """docs with n_words, runs (start, length, period in words, by start, then period) and collapsed: the words left when each run keeps its first period only, joined by a space."""
     if exponent < 3:
         raise ValueError("the exponent is 3 at least")
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())]))
-
-    @F.arrow_udf(f"struct<n_words:long,runs:{RUNS},collapsed:string>")
-    def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            rows = [x for lot in lots_of(t.as_py() for t in texts) for x in examined(lot, least, exponent)]
-            keys = ("start", "length", "period")
-            columns = pa.array([n for n, _, _ in rows], pa.int64()), pa.array([[dict(zip(keys, r)) for r in runs] for _, runs, _ in rows], kind), pa.array([t for _, _, t in rows], pa.string())
-            yield pa.StructArray.from_arrays(columns, list(ADDED))
-
-    names = [F.col(f"`{c}`") for c in docs.columns if c not in ADDED]
-    return docs.withColumn("_runs", find(text)).select(*names, *[F.col("_runs")[c].alias(c) for c in ADDED])
+    kinds = {"n_words": pa.int64(), "runs": pa.list_(pa.struct([(c, pa.int64()) for c in ("start", "length", "period")])), "collapsed": pa.string()}
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [x for lot in lots_of(t.as_py() for t in b[text]) for x in examined(lot, least, exponent)]
+            new = [n for n, _, _ in rows], [[dict(zip(("start", "length", "period"), r)) for r in runs] for _, runs, _ in rows], [t for _, _, t in rows]
+            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(c, k) for c, k in zip(new, kinds.values())]], [*b.schema.names, *kinds])
+
+    rows = docs.drop(*ADDED)
+    schema = T.StructType([*rows.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("runs", RUNS), T.StructField("collapsed", T.StringType())])
+    return rows.mapInArrow(find, schema)
 
 
 def top_run(runs: Column) -> Column:
