@@ -192,6 +192,9 @@ def _trees(suffixes: DataFrame, carried: str) -> DataFrame:
     return rows.mapInArrow(_grown, f"hi int, {carried}, mask long")
 
 
+ROOT = ["root", "root_same", "root_hi"]
+
+
 def _halves(level: DataFrame) -> DataFrame:
     """Suffixes of groups (a, b: their range of offsets) in groups of half the range each, under the longer prefix."""
     mid = F.floor((F.col("a") + F.col("b")) / 2).cast("int")
@@ -201,25 +204,34 @@ def _halves(level: DataFrame) -> DataFrame:
     cut = lambda start, n: F.array_join(F.slice(words, start.cast("int"), n.cast("int")), " ")
     out = out.withColumn("prefix", cut(F.col("hi") - F.col("r.a") + 1, WINDOW - F.col("r.b") + F.col("r.a")))
     out = out.withColumn("span", cut(F.col("hi") - F.col("hi2") + 1, WINDOW + F.col("hi2") - F.col("lo2")))
-    return out.select(*ID, "at", F.xxhash64("group", "r.a", "r.b", "prefix").alias("group"), F.col("r.a").alias("a"), F.col("r.b").alias("b"), F.col("lo2").alias("lo"), F.col("hi2").alias("hi"), "span", "salt")
+    return out.select(*ROOT, F.xxhash64("group", "r.a", "r.b", "prefix").alias("group"), F.col("r.a").alias("a"), F.col("r.b").alias("b"), F.col("lo2").alias("lo"), F.col("hi2").alias("hi"), "span", "copies", "salt")
+
+
+def _counted(rows: DataFrame, copies) -> DataFrame:
+    """Equal suffixes of a group as one: group, same, lo, hi, span, copies and the salts of their rows."""
+    return rows.groupBy("group", "same", "lo", "hi", "span").agg(copies.alias("copies"), salts_used().alias("salts"))
 
 
-def _hot(level: DataFrame) -> DataFrame:
-    """Windows that repeat (id, at, hi, mask) of suffixes in groups of any size: equal ones are counted, large groups split further."""
-    out, deals = None, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+def _hot(suffixes: DataFrame) -> DataFrame:
+    """Windows that repeat (ID, at, hi, mask) of suffixes in groups of any size: equal ones are counted and go on as one, large groups are split further."""
+    suffixes = suffixes.withColumn("same", F.xxhash64("span", "hi")).withColumn("salt", salt_of(*ID, "at"))
+    roots = written(_counted(suffixes, F.count(F.lit(1))), "substring-roots")
+    level = roots.select(F.col("group").alias("root"), F.col("same").alias("root_same"), F.col("hi").alias("root_hi"), "group", F.lit(0).alias("a"), F.lit(OFFSETS - 1).alias("b"), "lo", "hi", "span", "copies")
+    level, out, deals = level.withColumn("salt", salt_of("root_same")), None, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     while True:
         level = written(level.withColumn("same", F.xxhash64("span", "hi")), "substring-level")
-        each = level.groupBy("group", "same", "lo", "hi", "span").agg(F.count(F.lit(1)).alias("copies"), salts_used().alias("salts"))
-        each = written(each.withColumn("salt", salt_of("same")), "substring-each")
+        each = written(_counted(level, F.sum("copies")).withColumn("salt", salt_of("same")), "substring-each")
         large = written(each.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > GROUP).select("group"), "substring-large")
         none_large = large.isEmpty()
         small = each if none_large else each.join(large.withColumn("salt", deals), ["group", "salt"], "left_anti")
-        masks = dealt(_trees(small.withColumn("own", F.col("group")), "own long, same long, salts long")).withColumnRenamed("own", "group")
-        found = level.join(masks.drop("hi"), ["group", "same", "salt"]).select(*ID, "at", "hi", "mask")
+        masks = dealt(_trees(small.withColumn("own", F.col("group")), "own long, same long, salts long").drop("hi")).withColumnRenamed("own", "group")
+        found = level.join(masks, ["group", "same", "salt"]).select(*ROOT, F.expr("shiftleft(mask, root_hi - hi)").alias("mask"))
         out = found if out is None else out.unionByName(found)
         if none_large:
-            return out
+            break
         level = _halves(level.join(large.withColumn("salt", deals), ["group", "salt"], "left_semi"))
+    whole = out.groupBy("root", "root_same").agg(F.bit_or("mask").alias("mask")).withColumnsRenamed({"root": "group", "root_same": "same"})
+    return suffixes.join(dealt(roots.select("group", "same", "salts").join(whole, ["group", "same"])), ["group", "same", "salt"]).select(*ID, "at", "hi", "mask")
 
 
 def identified(docs: DataFrame) -> DataFrame:
@@ -239,7 +251,7 @@ def repeats(rows: DataFrame) -> DataFrame:
     spanned = written(spanned.withColumnRenamed("gram", "group"), "substring-spans")
     forget(all_)
     few = _trees(spanned.filter("not many").withColumn("copies", F.lit(1)), f"{ID[0]} long, {ID[1]} long, at long").select(*ID, "at", "hi", "mask")
-    many = spanned.filter("many").drop("many").withColumn("a", F.lit(0)).withColumn("b", F.lit(OFFSETS - 1)).withColumn("salt", salt_of(*ID, "at"))
+    many = spanned.filter("many").drop("many")
     found = few if many.isEmpty() else few.unionByName(_hot(many))
     return found.groupBy(*ID).agg(F.collect_set(F.struct((F.col("at") - F.col("hi")).alias("start"), "mask")).alias("windows"))
 
