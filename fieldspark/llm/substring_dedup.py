@@ -216,20 +216,23 @@ def _hot(suffixes: DataFrame) -> DataFrame:
     """Windows that repeat (ID, at, hi, mask) of suffixes in groups of any size: equal ones are counted and go on as one, large groups are split further."""
     suffixes = suffixes.withColumn("same", F.xxhash64("span", "hi")).withColumn("salt", salt_of(*ID, "at"))
     roots = written(_counted(suffixes, F.count(F.lit(1))), "substring-roots")
-    level = roots.select(F.col("group").alias("root"), F.col("same").alias("root_same"), F.col("hi").alias("root_hi"), "group", F.lit(0).alias("a"), F.lit(OFFSETS - 1).alias("b"), "lo", "hi", "span", "copies")
-    level, out, deals = level.withColumn("salt", salt_of("root_same")), None, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    level = roots.select(F.col("group").alias("root"), F.col("same").alias("root_same"), F.col("hi").alias("root_hi"), "group", "same", F.lit(0).alias("a"), F.lit(OFFSETS - 1).alias("b"), "lo", "hi", "span", "copies")
+    level, each, out, deals = level.withColumn("salt", salt_of("same")), roots, None, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     while True:
-        level = written(level.withColumn("same", F.xxhash64("span", "hi")), "substring-level")
-        each = written(_counted(level, F.sum("copies")).withColumn("salt", salt_of("same")), "substring-each")
+        each = each.withColumn("salt", salt_of("same"))
         large = written(each.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > GROUP).select("group"), "substring-large")
         none_large = large.isEmpty()
         small = each if none_large else each.join(large.withColumn("salt", deals), ["group", "salt"], "left_anti")
-        masks = dealt(_trees(small.withColumn("own", F.col("group")), "own long, same long, salts long").drop("hi")).withColumnRenamed("own", "group")
-        found = level.join(masks, ["group", "same", "salt"]).select(*ROOT, F.expr("shiftleft(mask, root_hi - hi)").alias("mask"))
-        out = found if out is None else out.unionByName(found)
+        masks = _trees(small.withColumn("own", F.col("group")), "own long, same long, salts long").drop("hi").withColumnRenamed("own", "group")
+        if out is None:  # the roots themselves
+            out = masks.select(F.col("group").alias("root"), F.col("same").alias("root_same"), "mask")
+        else:
+            out = out.unionByName(level.join(dealt(masks), ["group", "same", "salt"]).select("root", "root_same", F.expr("shiftleft(mask, root_hi - hi)").alias("mask")))
         if none_large:
             break
         level = _halves(level.join(large.withColumn("salt", deals), ["group", "salt"], "left_semi"))
+        level = written(level.withColumn("same", F.xxhash64("span", "hi")), "substring-level")
+        each = written(_counted(level, F.sum("copies")), "substring-each")
     whole = out.groupBy("root", "root_same").agg(F.bit_or("mask").alias("mask")).withColumnsRenamed({"root": "group", "root_same": "same"})
     return suffixes.join(dealt(roots.select("group", "same", "salts").join(whole, ["group", "same"])), ["group", "same", "salt"]).select(*ID, "at", "hi", "mask")
 
