@@ -45,7 +45,7 @@ def _near(spark, sf, k: int) -> DataFrame:
 
 
 def _regions(spark, sf) -> DataFrame:
-    return kept(_pts(spark, sf), "regions", sf, lambda p: regions.with_regions(p, regions.demo_rings(spark, sf)))
+    return kept([_pts(spark, sf), regions.demo_rings(spark, sf)], "regions", None, regions.with_regions)
 
 
 def _model(spark, sf) -> DataFrame:
@@ -56,12 +56,13 @@ def _model(spark, sf) -> DataFrame:
 def _replay(spark, sf) -> DataFrame:
     """A given assignment: nations as territories with given centres, their regions as areas; one client in 53 has none."""
 
-    def build(p: DataFrame) -> DataFrame:
-        of = spark.read.parquet(f"{sf}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("nk"), F.col("n_regionkey").cast("int").alias("area_id"))
+    of = spark.read.parquet(f"{sf}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("nk"), F.col("n_regionkey").cast("int").alias("area_id"))
+
+    def build(p: DataFrame, of: DataFrame, rings: DataFrame) -> DataFrame:
         has = p.withColumn("territory", F.when(F.col("k") % 53 != 0, F.col("nk"))).drop("area")
         assigned = has.filter("territory is not null").join(of, "nk").withColumn("area", F.concat(F.lit("R"), F.col("area_id").cast("string")))
         model = workload.postal_starts(with_travel(assigned, P), P)
-        base = regions.demo_rings(spark, sf).select(F.col("state_id").cast("long").alias("territory"), F.col("ring")[0].alias("a"), F.col("ring")[2].alias("b"))
+        base = rings.select(F.col("state_id").cast("long").alias("territory"), F.col("ring")[0].alias("a"), F.col("ring")[2].alias("b"))
         base = base.select("territory", ((F.col("a.lat") + F.col("b.lat")) / 2).alias("base_lat"), ((F.col("a.lon") + F.col("b.lon")) / 2).alias("base_lon"))
         out = workload.with_load(model, "territory", base)
         whole = workload.with_load(model, "territory", base, "from_lat", "from_lon").select("id", F.col("load").alias("load_postal"))
@@ -69,7 +70,7 @@ def _replay(spark, sf) -> DataFrame:
         rest = rest.withColumn("load", F.col("visit_load")).withColumn("load_postal", F.col("visit_load"))
         return out.join(whole, "id").unionByName(rest, allowMissingColumns=True)
 
-    return kept(_regions(spark, sf), "replay", P, build)
+    return kept([_regions(spark, sf), of, regions.demo_rings(spark, sf)], "replay", P, build)
 
 
 @query
@@ -384,8 +385,8 @@ def stray_vote(spark, sf):
 
 
 def _auto(spark, sf) -> DataFrame:
-    build = lambda u: areas.automatic(u, _unit_points(spark, sf), regions.demo_adjacency(spark, sf), regions.demo_rings(spark, sf), 5)
-    return kept(_units(spark, sf), "auto", (sf, 5), build)
+    build = lambda *tables: areas.automatic(*tables, 5)
+    return kept([_units(spark, sf), _unit_points(spark, sf), regions.demo_adjacency(spark, sf), regions.demo_rings(spark, sf)], "auto", 5, build)
 
 
 @query

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from fieldspark.functions.geo import hull
 from fieldspark.operators import areas, outputs, territories, units
+from fieldspark.operators import knn as knn_module
 from fieldspark.operators.components import components
 from fieldspark.operators.knn import knn
 from fieldspark.operators.outliers import with_outliers
@@ -15,7 +16,8 @@ from fieldspark.operators.workload import with_travel
 from fieldspark.plans import registry
 from fieldspark.plans.params import Params
 from fieldspark.sources.points import valid
-from fieldspark.sources.shared import fingerprint, kept
+from fieldspark.sources import shared
+from fieldspark.sources.shared import fingerprint, kept, written
 
 SF = "/root/testdata/sf0.001"
 
@@ -30,8 +32,10 @@ def neighbours(p, k, keys):
     return out
 
 
+@pytest.mark.parametrize("block", [4000, 90])
 @pytest.mark.parametrize("name", ["dense and sparse", "equal places", "fewer than k", "one"])
-def test_knn_equals_brute_force(spark, name):
+def test_knn_equals_brute_force(spark, monkeypatch, name, block):
+    monkeypatch.setattr(knn_module, "BLOCK", block)
     r = np.random.default_rng(1)
     n, k, keys = {"dense and sparse": (900, 30, ["a", "b"]), "equal places": (700, 5, []), "fewer than k": (7, 30, ["a"]), "one": (1, 3, [])}[name]
     x = r.normal(size=(n, 2)) ** 3 * 50
@@ -43,6 +47,21 @@ def test_knn_equals_brute_force(spark, name):
     assert got == neighbours(p, k, keys)
 
 
+def test_seekers_far_from_all_points_and_blocks_without_points(spark, monkeypatch):
+    monkeypatch.setattr(knn_module, "BLOCK", 60)
+    r = np.random.default_rng(4)
+    x = np.concatenate([r.normal(size=(80, 2)), r.normal(size=(80, 2)) + 500, r.normal(size=(3, 2)) - 900])
+    far = np.concatenate([r.normal(size=(150, 2)) - 900, r.normal(size=(40, 2)) * 300])
+    p = pd.DataFrame({"id": np.arange(len(x)), "x": x[:, 0], "y": x[:, 1]})
+    s = pd.DataFrame({"id": -1 - np.arange(len(far)), "x": far[:, 0], "y": far[:, 1]})
+    got = {(t["id"], t["other"], t["rank"]) for t in knn(spark.createDataFrame(p), 7, seekers=spark.createDataFrame(s)).collect()}
+    want = set()
+    for i, q in zip(s["id"], far):
+        d = (q[0] - x[:, 0]) ** 2 + (q[1] - x[:, 1]) ** 2
+        want |= {(i, int(j), n + 1) for n, j in enumerate(np.lexsort((p["id"], d))[:7])}
+    assert got == want
+
+
 def test_knn_of_thousands_on_one_spot(spark):
     r = np.random.default_rng(2)
     x = np.concatenate([np.zeros((5000, 2)), r.normal(size=(300, 2))])
@@ -176,5 +195,31 @@ def test_results_are_kept_by_content(spark):
     assert kept(p.repartition(3), "t", 1, build).count() == first.count() == 10 and len(ran) == 1
     kept(p.filter("id <> 5"), "t", 1, build)
     kept(p, "t", 2, build)
+    kept([p, p.filter("id <> 5")], "t", 1, lambda a, b: build(a.unionByName(written(b, "made-inside"))))
+    assert len(ran) == 4 and not [x for x in shared._made if "made-inside" in x]
+    kept([p, p.filter("id <> 6")], "t", 1, lambda a, b: build(a))
+    assert len(ran) == 5
+    ran.remove(1), ran.remove(1)
     assert len(ran) == 3 and fingerprint(p) != fingerprint(p.withColumn("id", F.col("id") + 1))
     assert math.isfinite(first.agg(F.sum("twice")).first()[0])
+
+
+def test_kept_results_follow_every_table_that_they_read(spark, tmp_path):
+    """Other regions for the same points: areas follow."""
+    for t in ("orders", "customer", "nation", "region"):
+        df = spark.read.parquet(f"{SF}/{t}.parquet")
+        if t == "nation":
+            df = df.withColumn("n_regionkey", F.when(F.col("n_regionkey") == 0, 4).when(F.col("n_regionkey") == 4, 0).otherwise(F.col("n_regionkey")).cast(df.schema["n_regionkey"].dataType))
+        if t == "region":
+            df = df.withColumn("r_regionkey", F.when(F.col("r_regionkey") == 0, 4).when(F.col("r_regionkey") == 4, 0).otherwise(F.col("r_regionkey")).cast(df.schema["r_regionkey"].dataType))
+        df.write.parquet(str(tmp_path / f"{t}.parquet"))
+    one, two = ({t["area"]: t["hours"] for t in registry.area_sizing(spark, at).collect()} for at in (SF, str(tmp_path)))
+    assert one["R0"] == two["R4"] and one["R4"] == two["R0"] and one["R0"] != one["R4"]
+
+
+def test_folders_go_when_released(spark):
+    table = written(spark.range(3), "release-me")
+    path, fs = shared._path(spark, table.kept_at)
+    assert fs.exists(path)
+    shared.release(spark)
+    assert not fs.exists(path) and not shared._made
