@@ -111,7 +111,7 @@ def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _spanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The words that the windows of every suffix span."""
-    kind = {**{c: pa.int64() for c in ID}, "at": pa.int64(), "lo": pa.int32(), "hi": pa.int32(), "gram": pa.int64(), "many": pa.bool_(), "span": pa.string()}
+    kind = {**{c: pa.int64() for c in ID}, "at": pa.int64(), "lo": pa.int32(), "hi": pa.int32(), "gram": pa.int64(), "span": pa.string()}
     held: list[tuple] = []
 
     def batch() -> pa.RecordBatch:
@@ -122,7 +122,7 @@ def _spanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = words_of(text.as_py())
             for x in found.as_py():
                 at, lo, hi = x["at"], x["lo"], x["hi"]
-                held.append((own, other, at, lo, hi, x["gram"], x["many"], b" ".join(words[at - hi:at - lo + WINDOW]).decode()))
+                held.append((own, other, at, lo, hi, x["gram"], b" ".join(words[at - hi:at - lo + WINDOW]).decode()))
                 if len(held) >= ROWS:
                     yield batch()
                     held.clear()
@@ -212,9 +212,8 @@ def _counted(rows: DataFrame, copies) -> DataFrame:
     return rows.groupBy("group", "same", "lo", "hi", "span").agg(copies.alias("copies"), salts_used().alias("salts"))
 
 
-def _hot(suffixes: DataFrame) -> DataFrame:
-    """Windows that repeat (ID, at, hi, mask) of suffixes in groups of any size: equal ones are counted and go on as one, large groups are split further."""
-    suffixes = suffixes.withColumn("same", F.xxhash64("span", "hi")).withColumn("salt", salt_of(*ID, "at"))
+def _repeating(suffixes: DataFrame) -> DataFrame:
+    """Windows that repeat (ID, at, hi, mask) of suffixes (ID, at, lo, hi, group, same, salt, span): equal ones are counted and go on as one, groups that stay large are split further."""
     roots = written(_counted(suffixes, F.count(F.lit(1))), "substring-roots")
     level = roots.select(F.col("group").alias("root"), F.col("same").alias("root_same"), F.col("hi").alias("root_hi"), "group", "same", F.lit(0).alias("a"), F.lit(OFFSETS - 1).alias("b"), "lo", "hi", "span", "copies")
     level, each, out, deals = level.withColumn("salt", salt_of("same")), roots, None, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
@@ -248,14 +247,13 @@ def repeats(rows: DataFrame) -> DataFrame:
     all_ = text.mapInArrow(_anchored, ", ".join(f"{c} long" for c in ID) + ", at long, lo int, hi int, gram long").withColumn("salt", salt_of(*ID, "at"))
     all_ = written(all_, "substring-anchors")
     twice = all_.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), salts_used().alias("salts")).filter("n > 1")
-    again = all_.join(dealt(twice), ["gram", "salt"]).withColumn("many", F.col("n") > GROUP)
-    again = again.groupBy(*ID).agg(F.collect_set(F.struct("at", "lo", "hi", "gram", "many")).alias("found"))
-    spanned = text.join(again, ID).mapInArrow(_spanned, ", ".join(f"{c} long" for c in ID) + ", at long, lo int, hi int, gram long, many boolean, span string")
-    spanned = written(spanned.withColumnRenamed("gram", "group"), "substring-spans")
+    again = all_.join(dealt(twice), ["gram", "salt"])
+    again = again.groupBy(*ID).agg(F.collect_set(F.struct("at", "lo", "hi", "gram")).alias("found"))
+    spanned = text.join(again, ID).mapInArrow(_spanned, ", ".join(f"{c} long" for c in ID) + ", at long, lo int, hi int, gram long, span string")
+    spanned = spanned.withColumnRenamed("gram", "group").withColumn("same", F.xxhash64("span", "hi")).withColumn("salt", salt_of(*ID, "at"))
+    spanned = written(spanned, "substring-spans")
     forget(all_)
-    few = _trees(spanned.filter("not many").withColumn("copies", F.lit(1)), f"{ID[0]} long, {ID[1]} long, at long").select(*ID, "at", "hi", "mask")
-    many = spanned.filter("many").drop("many")
-    found = few if many.isEmpty() else few.unionByName(_hot(many))
+    found = _repeating(spanned)
     return found.groupBy(*ID).agg(F.collect_set(F.struct((F.col("at") - F.col("hi")).alias("start"), "mask")).alias("windows"))
 
 
