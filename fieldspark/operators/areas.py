@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from ..sources.regions import touching
 from ..sources.shared import forget, written
 from .components import components
-from .knn import knn
+from .proximity import gabriel, nearest_where
 
-RESTARTS, STEPS, SAMPLE, ROUNDS = 24, 50, 4096, 30
-SMALL_UNIT, VOTERS, SHARE, NEAR_KM = 30, 10, 0.6, 120.0
+RESTARTS, STEPS, SAMPLE, ROUNDS, PASSES = 24, 50, 4096, 30, 5
+SMALL_UNIT, VOTERS, SHARE, NEAR_KM, CLOSE_KM = 30, 10, 0.6, 120.0, 10.0
 
 
 def field_areas(points: DataFrame, label: str = "area") -> DataFrame:
@@ -95,13 +95,13 @@ def kmeans(units: DataFrame, k: int) -> DataFrame:
     return units.select("unit", F.array_min(F.array(*d))["i"].alias("area"))
 
 
-def unit_edges(points: DataFrame, adjacency: DataFrame, k: int = 8) -> DataFrame:
-    """u, v (u < v), km: units whose clients are among one another's k nearest, where their states touch, with their clients' least distance."""
-    near = knn(points, k).select("id", "other", "d2")
-    of = lambda i, u: points.select(F.col("id").alias(i), F.col("unit").alias(u), F.col("state_id").cast("int").alias(f"s_{u}"))
-    pairs = near.join(of("id", "p"), "id").join(of("other", "q"), "other").filter("p <> q")
-    pairs = touching(pairs.withColumn("s", F.col("s_p")).withColumn("t", F.col("s_q")), adjacency).filter("touch")
-    return pairs.groupBy(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v")).agg(F.sqrt(F.min("d2")).alias("km"))
+def unit_edges(points: DataFrame, units: DataFrame, adjacency: DataFrame) -> DataFrame:
+    """u, v (u < v), km: units with clients that are neighbours in the Gabriel graph, where the units' states touch, with their clients' least distance."""
+    of = lambda i, u: points.select(F.col("id").alias(i), F.col("unit").alias(u))
+    pairs = gabriel(points).join(of("id", "p"), "id").join(of("other", "q"), "other").filter("p <> q")
+    pairs = pairs.groupBy(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v")).agg(F.sqrt(F.min("d2")).alias("km"))
+    state = lambda u, s: units.select(F.col("unit").alias(u), F.col("state_id").cast("int").alias(s))
+    return touching(pairs.join(state("u", "s"), "u").join(state("v", "t"), "v"), adjacency).filter("touch").select("u", "v", "km")
 
 
 def pieces(units: DataFrame, edges: DataFrame) -> DataFrame:
@@ -119,20 +119,41 @@ def cut_edges(units: DataFrame, edges: DataFrame) -> DataFrame:
     return both.groupBy(F.least("au", "av").alias("area"), F.greatest("au", "av").alias("other")).agg(F.count(F.lit(1)).alias("edges"))
 
 
-def repair(units: DataFrame, edges: DataFrame) -> DataFrame:
-    """unit, area, weight with every area in one piece where its loose pieces border another area: they move whole to the area with most border.
+def homes_of(lost: DataFrame, at: DataFrame, places: DataFrame, adjacency: DataFrame) -> DataFrame:
+    """piece, area, to: for pieces (unit, area, piece) without a border the area of the nearest unit outside whose state is the same or touches, else of one of the same land.
 
-    In a round at most one piece, the least, moves between two areas, so that no two trade places; a piece without a border stays."""
+    Units of islands and of the mainland do not mix, and a unit of no known state seeks none. `at` has every unit's area and piece, `places` their x, y, state_id, group_id, is_island."""
+    all_ = written(places.join(at.select("unit", "area", "piece"), "unit").withColumn("id", F.monotonically_increasing_id()), "homes-units")
+    seek = lost.join(all_.drop("area", "piece"), "unit").filter("state_id >= 0").withColumn("id", -1 - F.col("id"))
+    seek = written(seek, "homes-seekers")
+    own = seek.select("id", F.col("piece").alias("_piece"), F.col("is_island").alias("_island"), F.col("group_id").alias("_group"), F.col("state_id").cast("int").alias("s"))
+    theirs = all_.select(F.col("id").alias("other"), "piece", "is_island", "group_id", F.col("state_id").cast("int").alias("t"), F.col("area").alias("to"))
+    outside = lambda near: near.join(own, "id").join(theirs, "other").filter("piece <> _piece and is_island = _island")
+    by_land = lambda near: touching(outside(near), adjacency).filter("touch").select("id", "other", "d2", "to")
+    by_group = lambda near: outside(near).filter("group_id = _group").select("id", "other", "d2", "to")
+    found = [nearest_where(all_, 1, seek, rule).withColumn("rule", F.lit(i)) for i, rule in enumerate((by_land, by_group))]
+    near = found[0].unionByName(found[1]).join(seek.select("id", "piece", "area"), "id")
+    return near.groupBy("piece", "area").agg(F.min(F.struct("rule", "d2", "other", "to")).alias("m")).select("piece", "area", F.col("m.to").alias("to")).filter("to <> area")
+
+
+def repair(units: DataFrame, edges: DataFrame, places: DataFrame | None = None, adjacency: DataFrame | None = None) -> DataFrame:
+    """unit, area, weight with every area in one piece: loose pieces move whole to the area with most border, those without a border, where `places` is given, as `homes_of` says.
+
+    In a round at most one piece, the least, moves between two areas, so that no two trade places; a piece without a home stays."""
     units = written(units.select("unit", "area", "weight"), "repair-units")
     for _ in range(ROUNDS):
         at = written(pieces(units, edges), "repair-pieces")
         size = at.groupBy("area", "piece").agg(F.round(F.sum("weight"), 6).alias("w"))
         heaviest = size.groupBy("area").agg(F.min(F.struct((-F.col("w")).alias("w"), "piece")).alias("m")).select("area", F.col("m.piece").alias("main"))
-        loose = at.join(heaviest, "area").filter("piece <> main").select("unit", "area", "piece")
+        loose = written(at.join(heaviest, "area").filter("piece <> main").select("unit", "area", "piece"), "repair-loose")
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         border = loose.withColumnRenamed("unit", "u").join(both, "u").join(at.select(F.col("unit").alias("v"), F.col("area").alias("to")), "v").filter("to <> area")
         count = border.groupBy("piece", "area", "to").agg(F.count(F.lit(1)).alias("n"))
         best = count.groupBy("piece", "area").agg(F.min(F.struct((-F.col("n")).alias("n"), "to")).alias("b")).select("piece", "area", F.col("b.to").alias("to"))
+        best = written(best, "repair-best")
+        lost = loose.join(best.select("piece"), "piece", "left_anti")
+        if places is not None and not lost.isEmpty():
+            best = best.unionByName(homes_of(lost, at, places, adjacency))
         moves = best.groupBy(F.least("area", "to").alias("p"), F.greatest("area", "to").alias("q")).agg(F.min(F.struct("piece", "to")).alias("m"))
         moves = written(moves.select("m.piece", F.col("m.to").alias("to")), "repair-moves")
         if moves.isEmpty():
@@ -144,36 +165,56 @@ def repair(units: DataFrame, edges: DataFrame) -> DataFrame:
     return units
 
 
-def stray_vote(units: DataFrame, points: DataFrame, adjacency: DataFrame) -> DataFrame:
-    """unit, area, vote, share of small units off no island: the area with most of the inverse distance, 1 / (km + 0.5), of the VOTERS nearest clients
-    of other units whose states touch, within NEAR_KM of the unit's centre; ties go to the own area, then to the least.
-
-    points: id (a number of 0 and more), unit, x, y, state_id. A unit seeks VOTERS and as many more as a small unit and foreign lands may take: 2 * (SMALL_UNIT + VOTERS)."""
+def voters(units: DataFrame, among: DataFrame, points: DataFrame, adjacency: DataFrame) -> DataFrame:
+    """unit, other_unit, km: of every small one of `units` the VOTERS nearest clients, within NEAR_KM of its centre, of other units `among` whose states touch."""
     small = written(units.filter(F.col("n") <= SMALL_UNIT).withColumn("id", -1 - F.monotonically_increasing_id()), "vote-units")
-    near = knn(points, 2 * (SMALL_UNIT + VOTERS), seekers=small).withColumn("km", F.sqrt("d2")).filter(F.col("km") <= NEAR_KM)
-    near = near.join(small.select("id", "unit", "area", F.col("state_id").cast("int").alias("s")), "id").join(points.select(F.col("id").alias("other"), F.col("unit").alias("other_unit"), F.col("state_id").cast("int").alias("t")), "other")
-    near = touching(near.filter("unit <> other_unit"), adjacency).filter("touch")
-    near = near.withColumn("r", F.row_number().over(Window.partitionBy("unit").orderBy("d2", "other"))).filter(F.col("r") <= VOTERS)
-    near = near.join(units.select(F.col("unit").alias("other_unit"), F.col("area").alias("vote")), "other_unit")
+    own = small.select("id", "unit", F.col("state_id").cast("int").alias("s"))
+    other = points.select(F.col("id").alias("other"), F.col("unit").alias("other_unit")).join(among.select(F.col("unit").alias("other_unit"), F.col("state_id").cast("int").alias("t")), "other_unit")
+    allowed = lambda near: touching(near.join(own, "id").join(other, "other").filter("unit <> other_unit"), adjacency).filter("touch").drop("s", "t", "touch")
+    near = nearest_where(points, VOTERS, small, allowed, NEAR_KM)
+    return near.select("unit", "other_unit", F.sqrt("d2").alias("km"))
+
+
+def vote(units: DataFrame, heard: DataFrame) -> DataFrame:
+    """unit, area, vote, share: the area with most of the voters' inverse distance, 1 / (km + 0.5); ties go to the own area, then to the least."""
+    at = units.select("unit", "area")
+    near = heard.join(at, "unit").join(at.select(F.col("unit").alias("other_unit"), F.col("area").alias("vote")), "other_unit")
     per = near.groupBy("unit", "area", "vote").agg(F.sum(1 / (F.col("km") + 0.5)).alias("w"))
     best = per.groupBy("unit", "area").agg(F.min(F.struct((-F.round("w", 9)).alias("w"), (F.col("vote") != F.col("area")).alias("other"), "vote")).alias("b"), F.sum("w").alias("total"))
     return best.select("unit", "area", F.col("b.vote").alias("vote"), (-F.col("b.w") / F.col("total")).alias("share"))
 
 
+def stray_vote(units: DataFrame, points: DataFrame, adjacency: DataFrame) -> DataFrame:
+    """unit, area, vote, share of small units."""
+    return vote(units, voters(units, units, points, adjacency))
+
+
+def settled(units: DataFrame, edges: DataFrame, heard: DataFrame, below: int, places: DataFrame, adjacency: DataFrame) -> DataFrame:
+    """unit, area, weight after at most PASSES votes of strays, each followed by a repair. A unit moves to an area under `below` with more than SHARE of its voters; voters within CLOSE_KM count as neighbours."""
+    close = heard.filter(F.col("km") <= CLOSE_KM).select(F.least("unit", "other_unit").alias("u"), F.greatest("unit", "other_unit").alias("v"), "km")
+    edges = written(edges.unionByName(close).groupBy("u", "v").agg(F.min("km").alias("km")), "area-edges")
+    for _ in range(PASSES):
+        strays = written(vote(units, heard).filter((F.col("share") > SHARE) & (F.col("vote") != F.col("area")) & (F.col("vote") < below)), "area-strays")
+        if strays.isEmpty():
+            break
+        moved = units.join(strays.select("unit", "vote"), "unit", "left").withColumn("area", F.coalesce("vote", "area")).drop("vote")
+        units = repair(moved, edges, places, adjacency)
+    return units
+
+
 def automatic(units: DataFrame, points: DataFrame, adjacency: DataFrame, names: DataFrame, n_areas: int) -> DataFrame:
-    """unit, area_id, area (name): k-means on the mainland, an area per island, one piece each, strays moved once; numbered mainland first, from north to south."""
+    """unit, area_id, area (name): k-means on the mainland, an area per island, one piece each, strays moved; numbered mainland first, from north to south."""
     groups = main_group(units)
     off = written(islands(units, names), "area-islands")
     land = units.join(groups.select("group_id", "is_main"), "group_id", "left").withColumn("is_island", ~F.coalesce("is_main", F.lit(True)))
     land = written(land, "area-land")
     k = max(1, min(n_areas, land.filter("not is_island").count()))
     start = kmeans(land.filter("not is_island"), k).unionByName(land.filter("is_island").join(off, "group_id").select("unit", (F.col("island") + k).cast("int").alias("area")))
-    edges = written(unit_edges(points, adjacency), "area-edges")
-    first = repair(units.join(start, "unit"), edges)
-    whole = written(units.join(first.select("unit", "area"), "unit"), "area-first")
-    strays = stray_vote(whole.join(land.filter("not is_island").select("unit"), "unit", "left_semi"), points, adjacency).filter((F.col("share") > SHARE) & (F.col("vote") != F.col("area")) & (F.col("vote") < k))
-    moved = whole.join(strays.select("unit", "vote"), "unit", "left").withColumn("area", F.coalesce("vote", "area")).drop("vote")
-    out = units.join(repair(moved, edges).select("unit", "area"), "unit")
+    edges = written(unit_edges(points, units, adjacency), "area-edges")
+    places = land.select("unit", "x", "y", "state_id", "group_id", "is_island")
+    first = repair(units.join(start, "unit"), edges, places, adjacency)
+    heard = written(voters(land.filter("not is_island"), units, points, adjacency), "area-voters")
+    out = units.join(settled(first, edges, heard, k, places, adjacency).select("unit", "area"), "unit")
     order = out.groupBy("area").agg((F.sum(F.col("y") * F.col("weight")) / F.sum("weight")).alias("north"))
     order = order.withColumn("area_id", (F.row_number().over(Window.orderBy(F.col("area") >= k, F.desc("north"), "area")) - 1).cast("int"))  # a row per area
     order = order.join(off.select((F.col("island") + k).alias("area"), "name"), "area", "left")

@@ -58,8 +58,13 @@ lg AS (SELECT state_id, min(t) AS group_id FROM (WITH RECURSIVE c AS (SELECT sta
 un AS (SELECT u.*, state_id, group_id, state_id%4 AS area FROM u JOIN us USING (unit) JOIN lg USING (state_id)),
 gl AS (SELECT group_id, round(sum(weight),6) AS load FROM un GROUP BY group_id),
 mg AS (SELECT group_id AS main FROM gl ORDER BY load DESC, group_id LIMIT 1),
-ue AS (SELECT least(p.unit,q.unit) AS u, greatest(p.unit,q.unit) AS v, min(sqrt(d2)) AS km FROM nn JOIN (SELECT k, postal AS unit, r.state_id FROM pts JOIN reg r USING (k)) p ON p.k=nn.id JOIN (SELECT k, postal AS unit, r.state_id FROM pts JOIN reg r USING (k)) q ON q.k=nn.other
-  WHERE rank<=8 AND p.unit<>q.unit AND (p.state_id=q.state_id OR EXISTS (SELECT 1 FROM adj WHERE s=p.state_id AND t=q.state_id)) GROUP BY 1,2),
+sp AS (SELECT x, y, min(k) AS k FROM x GROUP BY x, y),
+sn AS (SELECT * FROM (SELECT a.k AS id, b.x AS cx, b.y AS cy, row_number() OVER (PARTITION BY a.k ORDER BY (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y), b.k) AS rank FROM sp a JOIN sp b ON a.k<>b.k) WHERE rank<=12),
+g1 AS (SELECT a.k AS p, b.k AS q, a.x AS px, a.y AS py, b.x AS qx, b.y AS qy FROM sp a JOIN sp b ON a.k<b.k WHERE NOT EXISTS (SELECT 1 FROM sn WHERE sn.id=a.k AND (cx-a.x)*(cx-b.x)+(cy-a.y)*(cy-b.y)<0)),
+ge AS (SELECT p, q, (px-qx)*(px-qx)+(py-qy)*(py-qy) AS d2 FROM g1 WHERE NOT EXISTS (SELECT 1 FROM sp c WHERE (c.x-px)*(c.x-qx)+(c.y-py)*(c.y-qy)<0)
+  UNION ALL SELECT sp.k, x.k, 0 FROM x JOIN sp ON sp.x=x.x AND sp.y=x.y AND sp.k<>x.k),
+ue AS (SELECT u, v, km FROM (SELECT least(a.postal,b.postal) AS u, greatest(a.postal,b.postal) AS v, sqrt(min(d2)) AS km FROM ge JOIN pts a ON a.k=ge.p JOIN pts b ON b.k=ge.q WHERE a.postal<>b.postal GROUP BY 1,2) JOIN us a ON a.unit=u JOIN us b ON b.unit=v
+  WHERE a.state_id=b.state_id OR EXISTS (SELECT 1 FROM adj WHERE s=a.state_id AND t=b.state_id)),
 md AS (SELECT sqrt(d2) AS d, row_number() OVER (ORDER BY d2)-1 AS i, count(*) OVER () AS n FROM nn WHERE rank=5),
 mo AS (SELECT area_id, land_id, count(*) AS n, sum(q) AS sw, sum(q*x)/sum(q) AS gx, sum(q*y)/sum(q) AS gy FROM (SELECT *, v*(m+hop)+1e-9 AS q FROM ft) GROUP BY 1,2),
 sc AS (SELECT mo.*, sxx, sxy, syy, sl FROM mo JOIN (SELECT area_id, land_id, sum((v*(m+hop)+1e-9)*(x-gx)*(x-gx)) AS sxx, sum((v*(m+hop)+1e-9)*(x-gx)*(y-gy)) AS sxy, sum((v*(m+hop)+1e-9)*(y-gy)*(y-gy)) AS syy,
@@ -142,8 +147,9 @@ SQL = {n: f"WITH {BASE} {q}" for n, q in {
     "area_pieces": "SELECT CAST(area AS INT) AS area, piece, count(*) AS units FROM (SELECT n.unit, n.area, least(n.unit, coalesce(min(t),n.unit)) AS piece FROM un n LEFT JOIN (WITH RECURSIVE e AS MATERIALIZED (SELECT u AS a, v AS b FROM ue JOIN un p ON p.unit=u JOIN un q ON q.unit=v WHERE p.area=q.area UNION ALL SELECT v, u FROM ue JOIN un p ON p.unit=u JOIN un q ON q.unit=v WHERE p.area=q.area), c AS (SELECT a AS s, b AS t FROM e UNION SELECT c.s, e.b FROM c JOIN e ON e.a=c.t) SELECT * FROM c) q ON q.s=n.unit GROUP BY n.unit, n.area) GROUP BY 1,2",
     "stray_vote": """SELECT unit, area, vote, round(wt/total,6) AS share, wt/total>0.6 AS moves FROM (SELECT unit, area, vote, wt, sum(wt) OVER (PARTITION BY unit) AS total, row_number() OVER (PARTITION BY unit ORDER BY round(wt,9) DESC, vote<>area, vote) AS n FROM (
   SELECT unit, area, vote, sum(1/(sqrt(d2)+0.5)) AS wt FROM (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY d2, k) AS n FROM (
-  SELECT un.unit, CAST(un.area AS INT) AS area, CAST(o.area AS INT) AS vote, p.k, p.postal, (un.x-p.x)*(un.x-p.x)+(un.y-p.y)*(un.y-p.y) AS d2, un.state_id AS su, r.state_id AS tu, row_number() OVER (PARTITION BY un.unit ORDER BY (un.x-p.x)*(un.x-p.x)+(un.y-p.y)*(un.y-p.y), p.k) AS near
-  FROM un, x p JOIN reg r ON r.k=p.k JOIN un o ON o.unit=p.postal WHERE un.n<=30) WHERE near<=80 AND d2<=14400 AND postal<>unit AND (su=tu OR EXISTS (SELECT 1 FROM adj WHERE adj.s=su AND adj.t=tu))) WHERE n<=10 GROUP BY 1,2,3)) WHERE n=1""",
+  SELECT un.unit, CAST(un.area AS INT) AS area, CAST(o.area AS INT) AS vote, p.k, (un.x-p.x)*(un.x-p.x)+(un.y-p.y)*(un.y-p.y) AS d2
+  FROM un, x p JOIN un o ON o.unit=p.postal WHERE un.n<=30 AND o.unit<>un.unit AND (un.state_id=o.state_id OR EXISTS (SELECT 1 FROM adj WHERE adj.s=un.state_id AND adj.t=o.state_id))) WHERE d2<=14400) WHERE n<=10 GROUP BY 1,2,3)) WHERE n=1""",
+    "proximity_edges": "SELECT least(p,q) AS id, greatest(p,q) AS other, round(sqrt(d2),4) AS km FROM ge",
     "principal_axis": "SELECT area_id, land_id, n, round(gx,3) AS gx, round(gy,3) AS gy, round(atan(ay/ax),6) AS angle FROM ax WHERE n>1",
     "bisection_round1": "SELECT k AS id, coalesce(before,0)>=goal OR nth=n AS second FROM (SELECT *, sum(share) OVER (PARTITION BY area_id, land_id ORDER BY proj, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, row_number() OVER (PARTITION BY area_id, land_id ORDER BY proj, k) AS nth, sum(share) OVER (PARTITION BY area_id, land_id)*floor(m2/2)/m2 AS goal FROM cu)",
     "client_detail": "SELECT customer_id, ra AS area, territory+1 AS territory, postal, round(load/60,3) AS load_hours, round(visit_load/60,3) AS visit_hours, round(greatest(0,(load-visit_load)/60),3) AS travel_hours FROM l",

@@ -9,6 +9,7 @@ from ..operators import areas, focus, outputs, territories, units, workload
 from ..operators.components import components
 from ..operators.knn import knn
 from ..operators.outliers import with_outliers
+from ..operators.proximity import gabriel
 from ..operators.ranking import ranked, upper_median
 from ..operators.workload import SUBSET, min_per_km, with_travel, with_visit_load
 from ..sources import regions
@@ -362,19 +363,29 @@ def _unit_areas(spark, sf) -> DataFrame:
     return _units(spark, sf).withColumn("area", F.pmod("state_id", F.lit(4)).cast("int"))
 
 
+def _unit_edges(spark, sf) -> DataFrame:
+    return kept([_unit_points(spark, sf), _units(spark, sf), regions.demo_adjacency(spark, sf)], "unit-edges", None, areas.unit_edges)
+
+
+@query
+def proximity_edges(spark, sf):
+    """Gabriel graph of all clients, those of one spot linked to its least id."""
+    return gabriel(_global(spark, sf)).select("id", "other", r(F.sqrt("d2"), 4, "km"))
+
+
 @query
 def unit_adjacency(spark, sf):
-    return areas.unit_edges(_unit_points(spark, sf), regions.demo_adjacency(spark, sf)).select("u", "v", r("km"))
+    return _unit_edges(spark, sf).select("u", "v", r("km"))
 
 
 @query
 def cut_edges(spark, sf):
-    return areas.cut_edges(_unit_areas(spark, sf), areas.unit_edges(_unit_points(spark, sf), regions.demo_adjacency(spark, sf)))
+    return areas.cut_edges(_unit_areas(spark, sf), _unit_edges(spark, sf))
 
 
 @query
 def area_pieces(spark, sf):
-    at = areas.pieces(_unit_areas(spark, sf), areas.unit_edges(_unit_points(spark, sf), regions.demo_adjacency(spark, sf)))
+    at = areas.pieces(_unit_areas(spark, sf), _unit_edges(spark, sf))
     return at.groupBy("area", "piece").agg(F.count(F.lit(1)).alias("units"))
 
 
@@ -399,7 +410,7 @@ def auto_areas(spark, sf):
 def auto_area_repair(spark, sf):
     """Pieces of every automatic area after repair."""
     at = _units(spark, sf).join(_auto(spark, sf).select("unit", F.col("area_id").alias("area")), "unit")
-    got = areas.pieces(at, areas.unit_edges(_unit_points(spark, sf), regions.demo_adjacency(spark, sf)))
+    got = areas.pieces(at, _unit_edges(spark, sf))
     return got.groupBy("area").agg(F.countDistinct("piece").alias("pieces"))
 
 
