@@ -35,6 +35,11 @@ def forget(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def cleaned(spark: SparkSession) -> None:
+    """Let Spark remove shuffle files of finished steps now: it does so when the driver's garbage is collected, which may come long after the disk is full."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

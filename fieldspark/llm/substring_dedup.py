@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SALTS, dealt, forget, salt_of, salts_used, table, text_or_empty, written
+from .common import SALTS, cleaned, dealt, forget, salt_of, salts_used, table, text_or_empty, written
 
 WINDOW, KEY, GROUP = 35, 8, 2000
 OFFSETS = WINDOW - KEY + 1
@@ -215,6 +215,7 @@ def _counted(rows: DataFrame, copies) -> DataFrame:
 def _repeating(suffixes: DataFrame) -> DataFrame:
     """Windows that repeat (ID, at, hi, mask) of suffixes (ID, at, lo, hi, group, same, salt, span): equal ones are counted and go on as one, groups that stay large are split further."""
     roots = written(_counted(suffixes, F.count(F.lit(1))), "substring-roots")
+    cleaned(suffixes.sparkSession)
     level = roots.select(F.col("group").alias("root"), F.col("same").alias("root_same"), F.col("hi").alias("root_hi"), "group", "same", F.lit(0).alias("a"), F.lit(OFFSETS - 1).alias("b"), "lo", "hi", "span", "copies")
     level, each, out, deals = level.withColumn("salt", salt_of("same")), roots, None, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     while True:
@@ -253,6 +254,7 @@ def repeats(rows: DataFrame) -> DataFrame:
     spanned = spanned.withColumnRenamed("gram", "group").withColumn("same", F.xxhash64("span", "hi")).withColumn("salt", salt_of(*ID, "at"))
     spanned = written(spanned, "substring-spans")
     forget(all_)
+    cleaned(rows.sparkSession)
     found = _repeating(spanned)
     return found.groupBy(*ID).agg(F.collect_set(F.struct((F.col("at") - F.col("hi")).alias("start"), "mask")).alias("windows"))
 
