@@ -17,11 +17,11 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Cut lineage: write to the shared folder and read again."""
     spark = df.sparkSession
     path = shared_dir(spark, label)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").parquet(path, compression=compression)
     back = spark.read.schema(df.schema).parquet(path)
     back.kept_at = path
     return back

@@ -214,13 +214,13 @@ def _counted(rows: DataFrame, copies) -> DataFrame:
 
 def _repeating(suffixes: DataFrame) -> DataFrame:
     """Windows that repeat (ID, at, hi, mask) of suffixes (ID, at, lo, hi, group, same, salt, span): equal ones are counted and go on as one, groups that stay large are split further."""
-    roots = written(_counted(suffixes, F.count(F.lit(1))), "substring-roots")
+    roots = written(_counted(suffixes, F.count(F.lit(1))), "substring-roots", "zstd")
     cleaned(suffixes.sparkSession)
     level = roots.select(F.col("group").alias("root"), F.col("same").alias("root_same"), F.col("hi").alias("root_hi"), "group", "same", F.lit(0).alias("a"), F.lit(OFFSETS - 1).alias("b"), "lo", "hi", "span", "copies")
     level, each, out, deals = level.withColumn("salt", salt_of("same")), roots, None, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     while True:
         each = each.withColumn("salt", salt_of("same"))
-        large = written(each.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > GROUP).select("group"), "substring-large")
+        large = written(each.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > GROUP).select("group"), "substring-large", "zstd")
         none_large = large.isEmpty()
         small = each if none_large else each.join(large.withColumn("salt", deals), ["group", "salt"], "left_anti")
         masks = _trees(small.withColumn("own", F.col("group")), "own long, same long, salts long").drop("hi").withColumnRenamed("own", "group")
@@ -231,8 +231,8 @@ def _repeating(suffixes: DataFrame) -> DataFrame:
         if none_large:
             break
         level = _halves(level.join(large.withColumn("salt", deals), ["group", "salt"], "left_semi"))
-        level = written(level.withColumn("same", F.xxhash64("span", "hi")), "substring-level")
-        each = written(_counted(level, F.sum("copies")), "substring-each")
+        level = written(level.withColumn("same", F.xxhash64("span", "hi")), "substring-level", "zstd")
+        each = written(_counted(level, F.sum("copies")), "substring-each", "zstd")
     whole = out.groupBy("root", "root_same").agg(F.bit_or("mask").alias("mask")).withColumnsRenamed({"root": "group", "root_same": "same"})
     return suffixes.join(dealt(roots.select("group", "same", "salts").join(whole, ["group", "same"])), ["group", "same", "salt"]).select(*ID, "at", "hi", "mask")
 
@@ -246,13 +246,13 @@ def repeats(rows: DataFrame) -> DataFrame:
     """ID and windows (array of start and mask: a bit per window from there that repeats) of rows (ID, text) with any."""
     text = rows.select(*ID, "text")
     all_ = text.mapInArrow(_anchored, ", ".join(f"{c} long" for c in ID) + ", at long, lo int, hi int, gram long").withColumn("salt", salt_of(*ID, "at"))
-    all_ = written(all_, "substring-anchors")
+    all_ = written(all_, "substring-anchors", "zstd")
     twice = all_.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), salts_used().alias("salts")).filter("n > 1")
     again = all_.join(dealt(twice), ["gram", "salt"])
     again = again.groupBy(*ID).agg(F.collect_set(F.struct("at", "lo", "hi", "gram")).alias("found"))
     spanned = text.join(again, ID).mapInArrow(_spanned, ", ".join(f"{c} long" for c in ID) + ", at long, lo int, hi int, gram long, span string")
     spanned = spanned.withColumnRenamed("gram", "group").withColumn("same", F.xxhash64("span", "hi")).withColumn("salt", salt_of(*ID, "at"))
-    spanned = written(spanned, "substring-spans")
+    spanned = written(spanned, "substring-spans", "zstd")
     forget(all_)
     cleaned(rows.sparkSession)
     found = _repeating(spanned)
