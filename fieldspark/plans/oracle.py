@@ -72,6 +72,8 @@ sc AS (SELECT mo.*, sxx, sxy, syy, sl FROM mo JOIN (SELECT area_id, land_id, sum
 ax AS (SELECT *, CASE WHEN abs(sxy)+abs(l1-sxx)<1e-12 THEN 1.0 ELSE sxy END AS ax, CASE WHEN abs(sxy)+abs(l1-sxx)<1e-12 THEN 0.0 ELSE l1-sxx END AS ay FROM (SELECT *, (sxx+syy)/2+sqrt(greatest((sxx+syy)*(sxx+syy)/4-(sxx*syy-sxy*sxy),0)) AS l1 FROM sc)),
 cu AS (SELECT k, greatest(2,ceil(sl/(0.97*{CAP}))) AS m2, n, v*(m+hop)+v*tpk*sqrt((x-gx)*(x-gx)+(y-gy)*(y-gy))/greatest(2,ceil(sl/(0.97*{CAP}))) AS share, (x-gx)*ax+(y-gy)*ay AS proj, area_id, land_id FROM ft JOIN ax USING (area_id, land_id) WHERE sl>{CAP} AND n>1),
 ce AS (SELECT nk, avg(x) AS x, avg(y) AS y FROM x GROUP BY nk),
+prc AS (SELECT nk AS c, x AS gx, y AS gy, (nk%5)*300.0 AS w FROM ce),
+pa AS (SELECT id, c, p, d2 FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p, c) AS m FROM (SELECT k AS id, c, d2, d2+w AS p, row_number() OVER (PARTITION BY k ORDER BY d2, -c) AS n FROM (SELECT x.k, c, w, (x.x-gx)*(x.x-gx)+(x.y-gy)*(x.y-gy) AS d2 FROM x, prc)) WHERE n<=8) WHERE m=1),
 zb AS (SELECT min(lon) AS o0, max(lon) AS o1, min(lat) AS a0, max(lat) AS a1 FROM pts),
 zi AS (SELECT k, CAST(floor((lon-o0)*(65535.0/greatest(1e-9,o1-o0))+0.5) AS BIGINT) AS zx, CAST(floor((lat-a0)*(65535.0/greatest(1e-9,a1-a0))+0.5) AS BIGINT) AS zy FROM pts, zb),
 z AS (SELECT k AS id, CAST(list_sum([((zx>>i)&1)*(1::BIGINT<<(2*i))+((zy>>i)&1)*(2::BIGINT<<(2*i)) FOR i IN range(16)]) AS BIGINT) AS zkey FROM zi)
@@ -93,7 +95,7 @@ def reach(edges: str, nodes: str) -> str:
 TOWN_EDGES = "(SELECT a.k AS a, b.k AS b FROM x a JOIN x b ON a.k<>b.k AND sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))<=2)"
 EPS_EDGES = "(SELECT id AS a, other AS b FROM nn WHERE rank<=10 AND sqrt(d2)<=2*(SELECT d FROM md WHERE i=n//2) UNION SELECT other, id FROM nn WHERE rank<=10 AND sqrt(d2)<=2*(SELECT d FROM md WHERE i=n//2))"
 
-SQL = {n: f"WITH {BASE} {q}" for n, q in {
+SQL = {n: f"WITH RECURSIVE {BASE}, {q[15:]}" if q.startswith("WITH RECURSIVE ") else f"WITH {BASE} {q}" for n, q in {
     "points_valid": "SELECT * FROM pts",
     "points_ordered_topk": "SELECT k, customer_id FROM pts ORDER BY customer_id LIMIT 100",
     "workload_per_client": "SELECT k, v, m, round(visit_load,4) AS visit_load FROM w",
@@ -150,6 +152,21 @@ SQL = {n: f"WITH {BASE} {q}" for n, q in {
   SELECT un.unit, CAST(un.area AS INT) AS area, CAST(o.area AS INT) AS vote, p.k, (un.x-p.x)*(un.x-p.x)+(un.y-p.y)*(un.y-p.y) AS d2
   FROM un, x p JOIN un o ON o.unit=p.postal WHERE un.n<=30 AND o.unit<>un.unit AND (un.state_id=o.state_id OR EXISTS (SELECT 1 FROM adj WHERE adj.s=un.state_id AND adj.t=o.state_id))) WHERE d2<=14400) WHERE n<=10 GROUP BY 1,2,3)) WHERE n=1""",
     "proximity_edges": "SELECT least(p,q) AS id, greatest(p,q) AS other, round(sqrt(d2),4) AS km FROM ge",
+    "priced_assignment": "SELECT id, c, round(p,3) AS p FROM pa",
+    "ascent_step": """SELECT c, n, round(load,2) AS load, round(w+(scale+1e-9)*greatest(-0.5,least(0.5,(load-mean)/greatest(mean,1e-9))),3) AS price, round(CASE WHEN n>0 THEN gx+0.7*(mx-gx) ELSE gx END,4) AS gx, round(CASE WHEN n>0 THEN gy+0.7*(my-gy) ELSE gy END,4) AS gy
+  FROM (SELECT prc.c, w, gx, gy, coalesce(n,0) AS n, coalesce(load,0) AS load, coalesce(scale, avg(scale) OVER ()) AS scale, avg(coalesce(load,0)) OVER () AS mean, mx, my FROM prc LEFT JOIN (SELECT c, count(*) AS n, sum(visit_load+v*0.5*sqrt(d2)) AS load, avg(d2) AS scale,
+  sum(x*(visit_load+1e-9))/sum(visit_load+1e-9) AS mx, sum(y*(visit_load+1e-9))/sum(visit_load+1e-9) AS my FROM pa JOIN x ON x.k=pa.id GROUP BY c) t ON t.c=prc.c)""",
+    "chain_costs": """SELECT a, b, round(min(total),4) AS total FROM (WITH RECURSIVE o AS MATERIALIZED (SELECT k AS id, nk AS home, c, d2, visit_load+v*0.5*sqrt(d2) AS amount FROM (SELECT x.k, x.nk, x.v, x.visit_load, prc.c, (x.x-gx)*(x.x-gx)+(x.y-gy)*(x.y-gy) AS d2, row_number() OVER (PARTITION BY x.k ORDER BY (x.x-gx)*(x.x-gx)+(x.y-gy)*(x.y-gy), -prc.c) AS n FROM x, prc) WHERE n<=3 OR c=nk),
+  ld AS MATERIALIZED (SELECT home AS c, sum(amount) AS load FROM o WHERE c=home GROUP BY home), cp AS MATERIALIZED (SELECT avg(load)*1.02 AS cap FROM ld),
+  wy AS MATERIALIZED (SELECT * FROM (SELECT f.home AS a, t.c AS b, t.d2-f.d2 AS cost, f.id, f.amount AS own, t.amount AS next, row_number() OVER (PARTITION BY f.home, t.c ORDER BY t.d2-f.d2, f.id) AS n FROM o f JOIN o t ON t.id=f.id AND t.c<>f.home WHERE f.c=f.home) JOIN ld ON ld.c=b WHERE n=1),
+  ch AS (SELECT a, b, id, own, cost AS total, 1 AS steps FROM wy, cp WHERE load+next<=cap UNION ALL SELECT w.a, w.b, w.id, w.own, w.cost+ch.total, steps+1 FROM ch JOIN wy w ON w.b=ch.a, cp WHERE steps<6 AND w.id<>ch.id AND w.load-ch.own+w.next<=cap) SELECT * FROM ch) GROUP BY a, b""",
+    "town_need": f"""SELECT town, n, round(load/60,3) AS hours, load>={CAP}/2 AS is_town, CAST(greatest(1,ceil(load/(0.97*{CAP}))) AS INT) AS need FROM (SELECT town, count(*) AS n, sum(base+trip*sqrt((x-gx)*(x-gx)+(y-gy)*(y-gy))) AS load FROM (SELECT *, sum(x*(base+1e-9)) OVER t/sum(base+1e-9) OVER t AS gx, sum(y*(base+1e-9)) OVER t/sum(base+1e-9) OVER t AS gy
+  FROM (SELECT q.town, x.x, x.y, f.v*(f.m+f.hop) AS base, f.v*f.tpk AS trip FROM x JOIN ft f USING (k) JOIN ({reach(TOWN_EDGES, "x")}) q ON q.id=x.k) WINDOW t AS (PARTITION BY town)) GROUP BY town) WHERE n>1""",
+    "territory_colours": """WITH RECURSIVE ce2 AS MATERIALIZED (SELECT unit, area, x, y, CAST(row_number() OVER (ORDER BY md5(unit), unit) AS INT) AS i FROM un),
+  nr AS (SELECT a.i, b.i AS j, row_number() OVER (PARTITION BY a.i ORDER BY (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) AS n FROM ce2 a JOIN ce2 b ON a.area=b.area AND a.i<>b.i),
+  bf AS MATERIALIZED (SELECT i, list(j) AS js FROM (SELECT i, j FROM nr WHERE n<=6 UNION SELECT j, i FROM nr WHERE n<=6) WHERE j<i GROUP BY i),
+  st AS (SELECT 0 AS i, CAST([] AS INT[]) AS cs UNION ALL SELECT st.i+1, list_append(cs, (SELECT min(c) FROM range(40) t(c) WHERE NOT list_contains(list_transform(coalesce(bf.js,[]), lambda j: cs[j]), c))::INT) FROM st LEFT JOIN bf ON bf.i=st.i+1 WHERE st.i<(SELECT count(*) FROM ce2))
+  SELECT unit AS name, (SELECT cs FROM st ORDER BY i DESC LIMIT 1)[ce2.i] AS colour FROM ce2""",
     "principal_axis": "SELECT area_id, land_id, n, round(gx,3) AS gx, round(gy,3) AS gy, round(atan(ay/ax),6) AS angle FROM ax WHERE n>1",
     "bisection_round1": "SELECT k AS id, coalesce(before,0)>=goal OR nth=n AS second FROM (SELECT *, sum(share) OVER (PARTITION BY area_id, land_id ORDER BY proj, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, row_number() OVER (PARTITION BY area_id, land_id ORDER BY proj, k) AS nth, sum(share) OVER (PARTITION BY area_id, land_id)*floor(m2/2)/m2 AS goal FROM cu)",
     "client_detail": "SELECT customer_id, ra AS area, territory+1 AS territory, postal, round(load/60,3) AS load_hours, round(visit_load/60,3) AS visit_hours, round(greatest(0,(load-visit_load)/60),3) AS travel_hours FROM l",

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import distance, haversine, morton, projected
-from ..operators import areas, focus, outputs, territories, units, workload
+from ..operators import areas, chains, colouring, focus, outputs, power, territories, units, workload
 from ..operators.components import components
 from ..operators.knn import knn
 from ..operators.outliers import with_outliers
@@ -15,6 +15,7 @@ from ..operators.workload import SUBSET, min_per_km, with_travel, with_visit_loa
 from ..sources import regions
 from ..sources.points import demo_points, valid
 from ..sources.shared import kept, written
+from . import plan
 from .params import Params
 
 P = Params()
@@ -458,6 +459,104 @@ def area_sizing_bisect(spark, sf):
     return out.select("area", r("hours", 3), "territories", r("salespeople", 3))
 
 
+def _filled(spark, sf) -> DataFrame:
+    """Clients with their territory by the power diagram, its centre and load; clients of no territory are those set apart before."""
+
+    def build(model: DataFrame) -> DataFrame:
+        rows = written(power.solved(territories.clients(model, SUBSET), SUBSET, CAP), "filled-parts")
+        ids = ranked(rows.select(*SUBSET, "part").distinct(), *SUBSET, "part", name="territory").select("part", (F.col("territory") - 1).alias("territory"))
+        return model.join(rows.select("id", "part", "gx", "gy", "load").join(ids, "part"), "id").withColumn("is_outlier", F.lit(False))
+
+    return kept(_model(spark, sf), "filled", P, build)
+
+
+@query
+def territories_power(spark, sf):
+    out = workload.territory_stats(_filled(spark, sf), "territory", P.capacity_hours)
+    return out.select("territory", "n", r("hours", 3), r("visit_hours", 3), r("deviation_pct", 3))
+
+
+@query
+def area_sizing_power(spark, sf):
+    out = workload.area_sizing(_filled(spark, sf), P.capacity_hours)
+    return out.select("area", r("hours", 3), "territories", r("salespeople", 3))
+
+
+def _priced(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Clients with candidates, and the nations' centres with prices."""
+    pts = _global(spark, sf)
+    centres = pts.groupBy(F.col("nk").alias("c")).agg(F.avg("x").alias("gx"), F.avg("y").alias("gy")).withColumn("set", F.lit("")).withColumn("w", (F.col("c") % 5) * 300.0)
+    rows = pts.select(F.lit("").alias("set"), "id", "x", "y", F.col("visit_load").alias("base"), (F.col("v") * 0.5).alias("trip"))
+    return power.candidates(rows, centres), centres
+
+
+@query
+def priced_assignment(spark, sf):
+    """Of every client's eight nearest centres the one of least squared distance plus price."""
+    return power.priced(*_priced(spark, sf)).select("id", "c", r("p", 3))
+
+
+@query
+def ascent_step(spark, sf):
+    """Prices and places of the centres after one step of dual ascent."""
+    near, centres = _priced(spark, sf)
+    out = power.ascended(centres, power.totals(power.priced(near, centres)))
+    return out.select("c", "n", r("load", 2), r("w2", 3, "price"), r("gx2", 4, "gx"), r("gy2", 4, "gy"))
+
+
+@query
+def chain_costs(spark, sf):
+    """The cheapest chain of at most six clients from nation to nation, from each way out, that ends where there is room."""
+    pts = _global(spark, sf)
+    at = pts.groupBy(F.col("nk").alias("c")).agg(F.avg("x").alias("gx"), F.avg("y").alias("gy")).withColumn("set", F.lit(""))
+    rows = pts.select(F.lit("").alias("set"), "id", "x", "y", F.col("visit_load").alias("base"), (F.col("v") * 0.5).alias("trip"))
+    options = written(power.options_of(rows, at, pts.select("id", F.col("nk").alias("c")), 3), "chain-options")
+    moves, loads = chains.state(options, pts.select("id", F.col("nk").alias("c")))
+    cap = loads.agg(F.avg("load")).first()[0] * 1.02
+    return chains.chain_costs(chains.ways_out(moves), loads, cap).select("a", "b", r("total"))
+
+
+@query
+def town_need(spark, sf):
+    """Places of several clients with their load from their own centres: it is a town from half a capacity on; and how many territories it needs."""
+    model = _model(spark, sf).select("id", (F.col("v") * (F.col("m") + F.col("hop"))).alias("base"), (F.col("v") * F.col("tpk")).alias("trip"))
+    rows = written(_global(spark, sf).select("id", "x", "y").join(model, "id").join(units.towns(_global(spark, sf)), "id"), "town-rows")
+    load = territories.loads(rows, ["town"]).filter("n > 1")
+    return load.select("town", "n", r(F.col("load") / 60, 3, "hours"), (F.col("load") >= CAP / 2).alias("is_town"), F.greatest(F.lit(1), F.ceil(F.col("load") / (0.97 * CAP))).cast("int").alias("need"))
+
+
+@query
+def territory_colours(spark, sf):
+    """Codes as territories of their areas: no two of one area share a colour of which one is among the six nearest of the other."""
+    at = _unit_areas(spark, sf).select("area", F.col("unit").alias("name"), "x", "y")
+    return colouring.coloured(at, colouring.conflicts(at, ["area"])).select("name", "colour")
+
+
+@query
+def solved_assignment(spark, sf):
+    return outputs.assignment_lines(_planned(spark, sf))
+
+
+@query
+def solved_client_detail(spark, sf):
+    out = outputs.client_detail(_planned(spark, sf))
+    return out.select("customer_id", "area", "territory", "postal", *[r(c, 3) for c in ("load_hours", "visit_hours", "travel_hours")])
+
+
+@query
+def solved_diagnostics(spark, sf):
+    rows, pts = demo_points(spark, sf), _global(spark, sf)
+    out = outputs.diagnostics(rows, _planned(spark, sf), units.coherence(pts), units.extents(pts, ["postal"]).filter("extent > 25"))
+    return out.select("n_rows", "n_points", "n_dropped", "n_outliers", r("travel_share", 6), r("coherence", 6), "ignored", "postal_split")
+
+
+def _planned(spark, sf) -> DataFrame:
+    """The whole plan of the demo table: its columns by role, clients farther than 40 km from their third neighbour set apart, areas by the field, territories filled."""
+    raw = demo_points(spark, sf).withColumn("id", F.col("k"))
+    settings = Params(outlier_km=40)
+    return kept([raw, regions.demo_rings(spark, sf), regions.demo_adjacency(spark, sf)], "planned", settings, lambda *t: plan.planned(*t, settings))
+
+
 @query
 def territories_whole_postal(spark, sf):
     out = kept(_model(spark, sf), "postal", P, lambda m: territories.whole_postal(m, SUBSET, P.capacity_hours))

@@ -7,9 +7,12 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from fieldspark.operators import chains, matching, power, ranking, territories
+from fieldspark.operators import chains, colouring, matching, outputs, power, ranking, territories
+from fieldspark.plans import plan
+from fieldspark.plans.params import Params
+from fieldspark.sources import regions
 
-CAP = 8400.0
+CAP, SF = 8400.0, "/root/testdata/sf0.001"
 
 
 def test_running_totals_of_one_large_group(spark):
@@ -158,3 +161,41 @@ def test_filled_territories_hold_the_rules_and_are_fewer(spark):
     old = territories.territories(df, ["area_id"], CAP).select("part").distinct().count()
     least = sum(int(np.ceil(g["load"].sum() / CAP)) for _, g in got[got["id"] != 0].groupby("area_id"))
     assert got["part"].nunique() < old and got["part"].nunique() <= 1.15 * least + 1
+
+
+def test_colours_differ_where_territories_are_near(spark):
+    r = np.random.default_rng(6)
+    at = pd.DataFrame({"area": r.integers(0, 2, 120), "name": [f"t{i}" for i in range(120)], "x": r.normal(size=120), "y": r.normal(size=120)})
+    df = spark.createDataFrame(at)
+    pairs = colouring.conflicts(df, ["area"]).cache()
+    got = {t["name"]: t["colour"] for t in colouring.coloured(df, pairs).collect()}
+    assert len(got) == 120 and max(got.values()) < 10
+    assert all(got[t["a"]] != got[t["b"]] for t in pairs.collect())
+    for area, g in at.groupby("area"):
+        for t in g.itertuples():
+            d = (g["x"] - t.x) ** 2 + (g["y"] - t.y) ** 2
+            assert all(got[n] != got[t.name] for n in g.loc[d.sort_values().index[1:7], "name"])
+
+
+def user_table(spark, area="a"):
+    r = np.random.default_rng(1)
+    rows = [(f"c{i}", float(37 + r.normal() * 0.3), float(-6 + r.normal() * 0.3), "3", 40, f"p{i % 4}", area, f"tip{i}") for i in range(60)]
+    rows += [("far", 44.0, 1.0, "2", 30, "p9", area, "x"), ("bad", 99.0, 0.0, "1", 10, "p1", area, "x")]
+    return spark.createDataFrame(rows, "client string, latitude double, longitude double, calls string, minutes int, zip string, region string, note string")
+
+
+ROLES = {"customer_id": "client", "lat": "latitude", "lon": "longitude", "visits": "calls", "postal": "zip", "area": "region", "tooltips": ["note"]}
+
+
+def test_a_users_table_is_planned_end_to_end(spark):
+    rings, adjacency = regions.demo_rings(spark, SF), regions.demo_adjacency(spark, SF)
+    got = plan.planned(user_table(spark), rings, adjacency, Params(outlier_km=100), ROLES).toPandas().set_index("customer_id")
+    assert len(got) == 61 and "bad" not in got.index and got.loc["far", "is_outlier"] and np.isnan(got.loc["far", "territory"])
+    rest = got.drop("far")
+    assert rest["territory"].notna().all() and (rest.groupby("territory")["load"].sum() <= CAP + 1e-6).all() and (rest["load"] >= rest["visit_load"]).all()
+    d = np.hypot((rest["lon"] - rest["base_lon"]) * rest["kx"], (rest["lat"] - rest["base_lat"]) * 6371 * np.pi / 180)
+    assert np.allclose(rest["load"], rest["v"] * (rest["m"] + rest["hop"] + d * rest["tpk"])) and rest["tooltips"].iloc[0]["note"].startswith("tip")
+    lines = [t["line"] for t in outputs.assignment_lines(plan.planned(user_table(spark, ""), rings, adjacency, Params(), ROLES)).collect()]
+    assert len(lines) == 61 and all(",unassigned," in x for x in lines)  # nothing is divided while the areas are missing
+    with pytest.raises(ValueError, match="customer_id"):
+        plan.by_role(user_table(spark))
