@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import table, text_or_empty, written
 from .token_counts import MARK, MEMO, PRE, Words, ids_of_words, library, lots, model_bytes, plain_pieces, pre_tokens, splittable
 
-CHUNK, FAN = 1 << 16, 256
+CHUNK, FAN = 1 << 14, 256
 NONE = -np.inf
 MATRIX = "uid long, idx long, ins array<int>, outs array<int>, m array<double>"
 STATES = "uid long, idx long, s_in int, s_out int"
@@ -168,10 +168,12 @@ class Pieces:
         head, tail = self.walk(s, h, i, cuts[0]), self.walk(s, cuts[1], cuts[1], end)
         return self.back(s, head, i, head[cuts[0]][0], cuts[0]) + list(self.between(s[cuts[0]:cuts[1]])) + self.back(s, tail, cuts[1], last, stop)
 
-    def decode(self, ids) -> str:
+    def decode(self, ids, begins: bool = True) -> str:
+        """The text of ids; where a text begins with them, without the blank set before it. A character's bytes stay together in a chunk, so chunks decode apart."""
         ids = ids.tolist() if hasattr(ids, "tolist") else list(ids)
+        first = " " if begins else ""
         if self.bytes.keys().isdisjoint(ids):
-            return "".join(map(self.shown.__getitem__, ids)).removeprefix(" ")
+            return "".join(map(self.shown.__getitem__, ids)).removeprefix(first)
         out, run = [], bytearray()
         for i in ids:
             if i in self.bytes:
@@ -182,7 +184,7 @@ class Pieces:
                 run.clear()
             out.append(self.shown[i])
         out.append(run.decode("utf-8", "replace"))
-        return "".join(out).removeprefix(" ")
+        return "".join(out).removeprefix(first)
 
 
 def marked(text: str | None) -> str:
@@ -233,7 +235,7 @@ def spread(group: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _long(docs: DataFrame, model: bytes, chunk: int, split: bool) -> DataFrame:
-    """uid, ids, score of rows (uid, text)."""
+    """uid, ids, score and back (what the ids decode to, chunk by chunk) of rows (uid, text)."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pieces = Pieces(model, split)
@@ -247,7 +249,8 @@ def _long(docs: DataFrame, model: bytes, chunk: int, split: bool) -> DataFrame:
         pieces = Pieces(model, split)
         for b in batches:
             ids = [np.array(pieces.ids(*x), np.int32) for x in zip(b["s"], b["start"], b["n"], b["s_in"], b["s_out"])]
-            yield pd.DataFrame({"uid": b["uid"], "idx": b["idx"], "ids": ids, "score": [pieces.score(i) for i in ids]})
+            shown = [pieces.decode(i, k == 0) for i, k in zip(ids, b["idx"])]
+            yield pd.DataFrame({"uid": b["uid"], "idx": b["idx"], "ids": ids, "score": [pieces.score(i) for i in ids], "back": shown})
 
     width = Pieces(model, split).longest + 1
     chunks = written(docs.mapInPandas(cut, "uid long, idx long, start int, n int, s string, ins array<int>, outs array<int>, m array<double>"), "scan-chunks")
@@ -262,9 +265,9 @@ def _long(docs: DataFrame, model: bytes, chunk: int, split: bool) -> DataFrame:
         rows = rows.withColumn("g", F.floor(F.col("idx") / FAN))
         states = states.groupBy("uid", "idx").cogroup(rows.groupBy("uid", "g")).applyInPandas(lambda g, r: spread(g, r), STATES)
         states = written(states, "scan-states")
-    parts = chunks.select("uid", "idx", "start", "n", "s").join(states, ["uid", "idx"]).mapInPandas(back, "uid long, idx long, ids array<int>, score double")
-    whole = parts.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("idx", "ids"))).alias("x"), F.sum("score").alias("score"))
-    return whole.select("uid", F.flatten("x.ids").alias("ids"), "score")
+    parts = chunks.select("uid", "idx", "start", "n", "s").join(states, ["uid", "idx"]).mapInPandas(back, "uid long, idx long, ids array<int>, score double, back string")
+    whole = parts.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("idx", "ids", "back"))).alias("x"), F.sum("score").alias("score"))
+    return whole.select("uid", F.flatten("x.ids").alias("ids"), "score", F.array_join("x.back", "").alias("back"))
 
 
 def encode(docs: DataFrame, model: bytes | None = None, chunk: int = CHUNK, back: str | None = None) -> DataFrame:
@@ -291,7 +294,7 @@ def encode(docs: DataFrame, model: bytes | None = None, chunk: int = CHUNK, back
     short = docs.filter(~is_long).withColumn("_scan", at_once("text")).select(*names, *more)
     long = written(docs.filter(is_long).select(*names).withColumn("_scan_uid", F.monotonically_increasing_id()), "scan-long")
     got = _long(long.select(F.col("_scan_uid").alias("uid"), "text"), model, chunk, split).withColumnRenamed("uid", "_scan_uid")
-    got = decode(got, model, back) if back else got
+    got = got.withColumnRenamed("back", back) if back else got.drop("back")
     return short.unionByName(long.join(got, "_scan_uid").select(*short.columns))
 
 
