@@ -2,7 +2,7 @@
 
 Base patterns find assignments, access keys and hex strings. Beyond them, long unbroken strings in a sensitive context are
 compressed with the surrounding text and common identifiers as dictionary; those that stay incompressible, by the byte or beside
-random strings of their own alphabet and length, are reported as `novel`, but for strings that read as joined words. Of a string that
+random strings of their own alphabet and length, are reported as `novel`, but for strings that read as joined words or whose marks part words and numbers. Of a string that
 holds a base span, what lies outside it is tested, where it has LONG's 20 characters. Offsets are code points of the whole text, end exclusive.
 
 Null text is empty and has no spans; very long texts and strings are taken whole; repeated rows give repeated results; an empty table
@@ -27,7 +27,12 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 LONG = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-CONTEXT = re.compile(r"key|secret|token|passw|credential|auth|private|bearer", re.I | re.A)
+SENSITIVE = "api_?keys?|keys?|secrets?|tokens?|passw(?:or)?ds?|pwd|passphrase|credentials?|auth|authorization|authentication|private|bearer"
+# a whole word, a part between underscores and digits, or a part of a camelCase name: not "keyboard" or "author"
+CONTEXT = re.compile(rf"(?<![A-Za-z])(?i:{SENSITIVE})(?![a-z])|(?<=[a-z])(?:Keys?|Secrets?|Tokens?|Passw(?:or)?d|Credentials?|Auth|Authorization)(?![a-z])", re.A)
+UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
+PARTS, SHORT = re.compile(r"[+/_=-]+"), 4
+PLAIN = re.compile(r"\d+|\d+T\d+|[a-z]{1,11}|[A-Z]{1,11}|[A-Z][a-z]{1,10}|[A-Za-z]{1,3}\d{1,8}", re.A)
 IDENTIFIERS = b"configuration authorization password private_key access_token client_secret session_id username environment connection https://www.example.com/ function return import public static string "
 AROUND, MIN_NOVELTY, MIN_RATIO, LEAST = 200, 0.75, 0.93, 20
 D, L, U = string.digits, string.ascii_lowercase, string.ascii_uppercase
@@ -68,8 +73,16 @@ def wordy(candidate: str) -> bool:
     return sum(c in "aeiouy" for c in letters) >= 0.28 * len(letters) and all(len(run) <= 5 for w in words for run in NO_VOWEL.findall(w.lower()))
 
 
+def structured(candidate: str) -> bool:
+    """Whether marks cut it into parts that are all words of one case, numbers or short: paths, addresses, dates, models, versions, UUIDs. Parts of a random string mix letters and digits."""
+    if UUID.fullmatch(candidate):
+        return True
+    parts = [p for p in PARTS.split(candidate) if p]
+    return len(parts) > 2 and all(len(p) <= SHORT or PLAIN.fullmatch(p) or wordy(p) for p in parts)
+
+
 def is_novel(candidate: str, around: str) -> bool:
-    if wordy(candidate):
+    if wordy(candidate) or structured(candidate):
         return False
     value = novelty(candidate, around)
     return value >= MIN_NOVELTY or value >= MIN_RATIO * random_cost(alphabet_of(candidate), len(candidate))
