@@ -25,16 +25,20 @@ from .common import table
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 OUT = frozenset("head script style noscript template nav header footer aside form button select textarea iframe svg".split())
 HEAD = frozenset("head title base link meta style script noscript template".split())
-OUT_NAMES = re.compile(r"(?:^|[_-])(?:ad|ads|advert\w*|banner|breadcrumbs?|sidebar|masthead|menu|nav|navbar|header|footer|comments?|cookie\w*|notice|popup|promo|share|social|sponsor\w*|related|newsletter|subscribe)(?:$|[_-])", re.I)
+# words of names, between marks or capitals; a place or a kind may be joined to them
+OUT_NAMES = re.compile(
+    r"(?:^|[_-])(?:(?:google|display|text|side|top|page)?ads?(?:by\w+|sense|box|slot|unit|wrapper|banner)?|advert\w*|(?:site|page|main|top|global|sub)?(?:banner|sidebar|masthead|menu|nav|navbar|navigation|header|footer)|breadcrumbs?"
+    r"|(?:user|reader|post)?comments?(?:list|area|section|form|box)?|repl(?:y|ies)|respond|disqus\w*|cookie\w*|notices?|alerts?|popup|promos?|share|sharing|social|sponsor\w*|related|newsletter|subscribe)(?:$|[_-])", re.I)
+CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 HEADERS = re.compile(r"(?:^|[_-])(?:article|entry|post|story)[_-]header$", re.I)
 CONTENT = re.compile(r"(?:^|[_-])(?:article|content|entry|main|post|prose|story|text)$", re.I)
 AROUND_NAMES = re.compile(r"(?:^|[_-])(?:has|is|no|not|with|without|hide|hides)[_-]", re.I)
-BLOCK = frozenset("html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th tbody thead blockquote pre figure figcaption".split())
+BLOCK = frozenset("html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th tbody thead blockquote pre figure figcaption address center details summary dialog caption tfoot hgroup hr fieldset legend search menu dir optgroup option".split())
 
 
 def named(names: str) -> tuple[bool, bool]:
     """Whether a class, id or role names boilerplate, and not a page that has or lacks some (has-sidebar, no-ads) or an article's own header; and whether it names content too."""
-    names = names.split()
+    names = CAMEL.sub("-", names).split()
     out = any(OUT_NAMES.search(x) and not AROUND_NAMES.search(x) and not HEADERS.search(x) for x in names)
     return out, out and any(CONTENT.search(x) and not OUT_NAMES.search(x) for x in names)
 
@@ -59,7 +63,8 @@ class Tree(HTMLParser):
         if self.head is not None and tag not in HEAD:
             self.at, self.head = self.head.up, None
         if tag in VOID:
-            self.at.parts.append(" ")
+            self.at.parts.append(Node(tag, self.at, self.at.out) if tag == "hr" else " ")
+            self.order += self.at.parts[-1:] if tag == "hr" else []
             return
         if tag == "html" or tag == "body" and self.body is not None:
             return
