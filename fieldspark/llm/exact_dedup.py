@@ -5,7 +5,8 @@ expires: per digest the best row (most code points, then smallest doc_id), the g
 Every hit is then compared with the full text of the row that stays.
 
 Null text counts as empty; null doc_id sorts last; rows that repeat doc_id and text share one decision; an empty table
-gives an empty result; extra columns are ignored by `exact_dedup` and kept by `drop_exact`.
+gives an empty result; texts of any length are compared whole; extra columns are ignored by `exact_dedup` and kept by `drop_exact`, but for names that
+start with `_exact_`, which are taken.
 """
 from __future__ import annotations
 
@@ -82,15 +83,15 @@ def one_per(docs: DataFrame, key: str) -> DataFrame:
     """Of rows with equal doc_id and key the one with the longest text stays, then the greatest digest of the text."""
     row = F.struct(*docs.columns)
     order = F.struct(F.length(text_or_empty()).alias("n"), (F.col("text").isNotNull()).alias("is_text"), F.sha2(text_or_empty(), 256).alias("sha"))
-    best = docs.groupBy(F.col("doc_id").alias("_id"), F.col(key).alias("_key")).agg(F.max_by(row, order).alias("_row"))
-    return best.select("_row.*")
+    best = docs.groupBy(F.col("doc_id").alias("_exact_id"), F.col(key).alias("_exact_key")).agg(F.max_by(row, order).alias("_exact_row"))
+    return best.select("_exact_row.*")
 
 
 def drop_exact(docs: DataFrame) -> DataFrame:
     """The rows that stay, columns as given; of rows that repeat doc_id and normalised text one stays, different texts under one doc_id all do."""
-    kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha")).distinct()
-    rows = one_per(docs.withColumn("_digest", F.sha2(F.translate(text_or_empty(), BLANKS, ""), 256)), "_digest")
-    return rows.join(kept, (F.col("_digest") == F.col("_sha")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")), "left_semi").drop("_digest")
+    kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_exact_keep"), F.col("text_sha256").alias("_exact_sha")).distinct()
+    rows = one_per(docs.withColumn("_exact_digest", F.sha2(F.translate(text_or_empty(), BLANKS, ""), 256)), "_exact_digest")
+    return rows.join(kept, (F.col("_exact_digest") == F.col("_exact_sha")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_exact_keep")), "left_semi").drop("_exact_digest")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ import string
 
 import pytest
 
-from fieldspark.llm import html_text, piece_scan, secrets
+from fieldspark.llm import exact_dedup, html_text, piece_scan, secrets
 
 CLEAN = [
     "keyword 2021-03-04T12-00-00_backup_final_v2", "author_id=550e8400-e29b-41d4-a716-446655440000", "the key is in /usr/lib/x86_64-linux-gnu/libssl.so.3", "keyboard model K120-920-002478-ENG-USB-BLK",
@@ -81,3 +81,10 @@ def test_chunks_decode_apart():
         while cut < len(whole) and whole[cut] in pieces.bytes:
             cut += 1
         assert pieces.decode(whole[:cut]) + pieces.decode(whole[cut:], False) == pieces.decode(whole) and s
+
+
+def test_exact_dedup_keeps_columns_of_any_name(spark):
+    names = ["doc_id", "text", "_digest", "_sha", "_keep", "_id", "_key", "_row", "norm", "salt"]
+    docs = spark.createDataFrame([(1, "a b", *"stuvwxyz"), (2, "ab", *"stuvwxyz"), (3, "c", *"stuvwxyz")], names)
+    got = exact_dedup.drop_exact(docs)
+    assert got.columns == names and sorted(x["doc_id"] for x in got.collect()) == [1, 3] and got.first()["_digest"] == "s"
