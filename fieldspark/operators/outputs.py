@@ -41,9 +41,19 @@ def client_detail(points: DataFrame) -> DataFrame:
         (F.col("visit_load") / 60).alias("visit_hours"), F.greatest(F.lit(0.0), (F.col("load") - F.col("visit_load")) / 60).alias("travel_hours"))
 
 
+HULL_ROWS = 2000
+
+
 def territory_shapes(points: DataFrame, colours: int = 15) -> DataFrame:
-    """territory, clients, hours, colour (a place in the palette) and hull. A territory is bounded by its capacity, so its points fit in a row."""
-    out = points.filter("territory is not null").groupBy("territory").agg(F.count(F.lit(1)).alias("clients"), (F.sum("load") / 60).alias("hours"), F.collect_set(F.struct("lon", "lat")).alias("p"))
+    """territory, clients, hours, colour (a place in the palette) and hull.
+
+    Clients are dealt in heaps of about HULL_ROWS, each heap's hull is taken, and the hulls' corners make the hull of all."""
+    has = points.filter("territory is not null")
+    out = has.groupBy("territory").agg(F.count(F.lit(1)).alias("clients"), (F.sum("load") / 60).alias("hours"))
+    heaps = has.select("territory", "lon", "lat").join(out.select("territory", F.ceil(F.col("clients") / HULL_ROWS).alias("_heaps")), "territory")
+    heaps = heaps.groupBy("territory", F.pmod(F.xxhash64("lon", "lat"), F.col("_heaps")).alias("_heap")).agg(hull(F.collect_set(F.struct("lon", "lat"))).alias("p"))
+    corners = heaps.groupBy("territory").agg(F.flatten(F.collect_list("p")).alias("p"))
+    out = out.join(corners, "territory")
     return out.select("territory", "clients", "hours", F.pmod("territory", F.lit(colours)).cast("int").alias("colour"), hull(F.col("p")).alias("hull"))
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import distance, haversine, morton, projected
-from ..operators import areas, chains, colouring, focus, outputs, power, territories, units, workload
+from ..operators import areas, chains, colouring, contiguity, focus, outputs, power, territories, units, workload
 from ..operators.components import components
 from ..operators.knn import knn
 from ..operators.outliers import with_outliers
@@ -532,6 +532,15 @@ def territory_colours(spark, sf):
     return colouring.coloured(at, colouring.conflicts(at, ["area"])).select("name", "colour")
 
 
+@query
+def cut_vertices(spark, sf):
+    """Units without which their area's piece falls apart."""
+    at = _unit_areas(spark, sf).select("unit", "area")
+    of = lambda u, a: at.select(F.col("unit").alias(u), F.col("area").alias(a))
+    inner = _unit_edges(spark, sf).join(of("u", "au"), "u").join(of("v", "av"), "v").filter("au = av")
+    return contiguity.cut_vertices(inner.select(F.col("u").alias("a"), F.col("v").alias("b"))).select(F.col("v").alias("unit"))
+
+
 @query
 def solved_assignment(spark, sf):
     return outputs.assignment_lines(_planned(spark, sf))
@@ -666,7 +675,7 @@ def hover_nearest(spark, sf):
 
 @query
 def parameter_sweep(spark, sf):
-    """Hours by capacity and detour: neighbours are kept, only the travel formulas run again."""
+    """Hours of visits and hops by detour and speed: neighbours are kept, only the formula runs again; trips are not in it."""
     model = _model(spark, sf).select("id", "v", "m", "mpk", "hop", "per_day")
     grid = spark.createDataFrame([(float(d), float(s)) for d in (1.0, 1.3, 1.6) for s in (30, 45, 90)], "detour double, speed double")
     f = (F.col("detour") / P.detour) * (P.speed_kmh / F.col("speed"))
