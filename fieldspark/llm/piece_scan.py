@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -187,6 +188,12 @@ class Pieces:
         return "".join(out).removeprefix(first)
 
 
+@lru_cache(1)
+def pieces_of(model: bytes, split: bool) -> Pieces:
+    """Made once in a worker process, which serves many tasks."""
+    return Pieces(model, split)
+
+
 def marked(text: str | None) -> str:
     return MARK + text.replace(" ", MARK) if text else ""
 
@@ -238,7 +245,7 @@ def _long(docs: DataFrame, model: bytes, chunk: int, split: bool) -> DataFrame:
     """uid, ids, score and back (what the ids decode to, chunk by chunk) of rows (uid, text)."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pieces = Pieces(model, split)
+        pieces = pieces_of(model, split)
         for b in batches:
             for uid, text in zip(b["uid"], b["text"]):
                 for k, (s, start, n) in enumerate(chunks_of(pieces, text, chunk)):
@@ -246,14 +253,14 @@ def _long(docs: DataFrame, model: bytes, chunk: int, split: bool) -> DataFrame:
                     yield pd.DataFrame({"uid": [uid], "idx": [k], "start": [start], "n": [n], "s": [s], "ins": [ins], "outs": [outs], "m": [m.ravel()]})
 
     def back(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pieces = Pieces(model, split)
+        pieces = pieces_of(model, split)
         for b in batches:
             ids = [np.array(pieces.ids(*x), np.int32) for x in zip(b["s"], b["start"], b["n"], b["s_in"], b["s_out"])]
             shown = [pieces.decode(i, k == 0) for i, k in zip(ids, b["idx"])]
             yield pd.DataFrame({"uid": b["uid"], "idx": b["idx"], "ids": ids, "score": [pieces.score(i) for i in ids], "back": shown})
 
     width = Pieces(model, split).longest + 1
-    chunks = written(docs.mapInPandas(cut, "uid long, idx long, start int, n int, s string, ins array<int>, outs array<int>, m array<double>"), "scan-chunks")
+    chunks = written(docs.mapInPandas(cut, "uid long, idx long, start int, n int, s string, ins array<int>, outs array<int>, m array<double>"), "scan-chunks", "zstd")
     levels = [chunks.select("uid", "idx", "ins", "outs", "m")]
     while (levels[-1].agg(F.max("idx")).first()[0] or 0) > 0:
         up = levels[-1].withColumn("g", F.floor(F.col("idx") / FAN)).groupBy("uid", "g").applyInPandas(lambda p: combined(p), MATRIX)
@@ -277,7 +284,7 @@ def encode(docs: DataFrame, model: bytes | None = None, chunk: int = CHUNK, back
 
     @F.arrow_udf("struct<ids:array<int>,score:double,back:string>")
     def at_once(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        pieces = Pieces(model, split)
+        pieces = pieces_of(model, split)
         for texts in batches:
             ids, ends, scores, shown = array("i"), [0], [], []
             for got in (got for lot in lots(t.as_py() for t in texts) for got in pieces.encode(lot)):
@@ -292,7 +299,7 @@ def encode(docs: DataFrame, model: bytes | None = None, chunk: int = CHUNK, back
     names = [c for c in docs.columns if c not in ("ids", "score", back)]
     more = ["_scan.ids", "_scan.score"] + ([F.col("_scan.back").alias(back)] if back else [])
     short = docs.filter(~is_long).withColumn("_scan", at_once("text")).select(*names, *more)
-    long = written(docs.filter(is_long).select(*names).withColumn("_scan_uid", F.monotonically_increasing_id()), "scan-long")
+    long = written(docs.filter(is_long).select(*names).withColumn("_scan_uid", F.monotonically_increasing_id()), "scan-long", "zstd")
     got = _long(long.select(F.col("_scan_uid").alias("uid"), "text"), model, chunk, split).withColumnRenamed("uid", "_scan_uid")
     got = got.withColumnRenamed("back", back) if back else got.drop("back")
     return short.unionByName(long.join(got, "_scan_uid").select(*short.columns))
@@ -305,7 +312,7 @@ def decode(rows: DataFrame, model: bytes | None = None, name: str = "decoded") -
 
     @F.arrow_udf("string")
     def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        pieces = Pieces(model, split)
+        pieces = pieces_of(model, split)
         for lists in batches:
             flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(pa.compute.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)))
             out = [pieces.decode(flat[a:b]) for a, b in zip(ends, ends[1:])]
