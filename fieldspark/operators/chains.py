@@ -73,12 +73,12 @@ def moved(homes: DataFrame, to: DataFrame) -> DataFrame:
     return homes.join(to, "id", "left").select("id", F.coalesce("b", "c").alias("c"))
 
 
-def reclaimed(options: DataFrame, homes: DataFrame, cap: float, sweeps: int = SWEEPS, fixed: DataFrame | None = None) -> DataFrame:
-    """Homes after at most `sweeps` rounds of direct moves and chains: the sum of squared distances falls in each, and no load above the cap rises.
+def reclaimed(options: DataFrame, homes: DataFrame, cap: float, sweeps: int | None = None, fixed: DataFrame | None = None) -> DataFrame:
+    """Homes after at most `sweeps` (SWEEPS) rounds of direct moves and chains: the sum of squared distances falls in each, and no load above the cap rises.
 
     Clients of `fixed` (id) stay."""
     homes = written(homes.select("id", "c"), "chain-homes")
-    for _ in range(sweeps):
+    for _ in range(sweeps or SWEEPS):
         moves, loads = state(options, homes)
         moves = written(moves if fixed is None else moves.join(fixed.select("id"), "id", "left_anti"), "chain-moves")
         loads = written(loads, "chain-loads")
