@@ -19,6 +19,13 @@ from ..sources.shared import forget, written
 ROUNDS, EPS = 40, 1e-9
 
 
+def amounts(rows: DataFrame, centres: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """What adds `amount` to rows (id, c): base, and trip for every km to the territory's centre, of rows (id, x, y, base, trip) and centres (c, gx, gy)."""
+    d2 = (F.col("x") - F.col("gx")) * (F.col("x") - F.col("gx")) + (F.col("y") - F.col("gy")) * (F.col("y") - F.col("gy"))
+    load = F.col("base") + F.col("trip") * F.sqrt(d2)
+    return lambda asked: asked.join(rows.select("id", "x", "y", "base", "trip"), "id").join(centres.select("c", "gx", "gy"), "c").select("id", "c", load.alias("amount"))
+
+
 def _own(nb: Column, home: Column) -> Column:
     return F.size(F.filter(nb, lambda t: t["c"] == home))
 

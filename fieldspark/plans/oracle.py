@@ -160,6 +160,18 @@ SQL = {n: f"WITH RECURSIVE {BASE}, {q[15:]}" if q.startswith("WITH RECURSIVE ")
   ld AS MATERIALIZED (SELECT home AS c, sum(amount) AS load FROM o WHERE c=home GROUP BY home), cp AS MATERIALIZED (SELECT avg(load)*1.02 AS cap FROM ld),
   wy AS MATERIALIZED (SELECT * FROM (SELECT f.home AS a, t.c AS b, t.d2-f.d2 AS cost, f.id, f.amount AS own, t.amount AS next, row_number() OVER (PARTITION BY f.home, t.c ORDER BY t.d2-f.d2, f.id) AS n FROM o f JOIN o t ON t.id=f.id AND t.c<>f.home WHERE f.c=f.home) JOIN ld ON ld.c=b WHERE n=1),
   ch AS (SELECT a, b, id, own, cost AS total, 1 AS steps FROM wy, cp WHERE load+next<=cap UNION ALL SELECT w.a, w.b, w.id, w.own, w.cost+ch.total, steps+1 FROM ch JOIN wy w ON w.b=ch.a, cp WHERE steps<6 AND w.id<>ch.id AND w.load-ch.own+w.next<=cap) SELECT * FROM ch) GROUP BY a, b""",
+    "placement_gains": """WITH RECURSIVE k10 AS MATERIALIZED (SELECT id, other FROM nn WHERE rank<=10), h AS MATERIALIZED (SELECT k AS id, postal AS c FROM x), am AS MATERIALIZED (SELECT x.k AS id, q.c, x.visit_load+x.v*0.5*sqrt((x.x-gx)*(x.x-gx)+(x.y-gy)*(x.y-gy)) AS amount FROM x, (SELECT postal AS c, avg(x) AS gx, avg(y) AS gy FROM x GROUP BY postal) q),
+  ho AS MATERIALIZED (SELECT h.id, h.c, amount FROM h JOIN am ON am.id=h.id AND am.c=h.c), ld AS MATERIALIZED (SELECT c, sum(amount) AS load FROM ho GROUP BY c), cp AS (SELECT avg(load)*1.02+1e-9 AS cap FROM ld),
+  vt AS MATERIALIZED (SELECT k10.id, h.c, count(*) AS n FROM k10 JOIN h ON h.id=k10.other GROUP BY 1,2), wi AS (SELECT h.id AS i, h.c AS a, vt.c AS b FROM vt JOIN h USING (id) LEFT JOIN vt o ON o.id=h.id AND o.c=h.c WHERE vt.n>coalesce(o.n,0)),
+  ac AS MATERIALIZED (SELECT row_number() OVER () AS act, i, a, b, j FROM (SELECT i, a, b, NULL::BIGINT AS j FROM wi UNION ALL SELECT i, a, b, other FROM wi JOIN k10 ON k10.id=i JOIN h ON h.id=other AND h.c=b)),
+  ok AS MATERIALIZED (SELECT ac.* FROM ac JOIN ho hi ON hi.id=i JOIN am ib ON ib.id=i AND ib.c=b LEFT JOIN ho hj ON hj.id=j LEFT JOIN am ja ON ja.id=j AND ja.c=a JOIN ld la2 ON la2.c=a JOIN ld lb ON lb.c=b, cp
+    WHERE (la2.load+coalesce(ja.amount,0)-hi.amount<=cap OR coalesce(ja.amount,0)-hi.amount<=0) AND (lb.load+ib.amount-coalesce(hj.amount,0)<=cap OR ib.amount-coalesce(hj.amount,0)<=0)),
+  se AS MATERIALIZED (SELECT act, i AS p FROM ok UNION SELECT act, j FROM ok WHERE j IS NOT NULL UNION SELECT act, id FROM ok JOIN k10 ON other=i UNION SELECT act, id FROM ok JOIN k10 ON other=j),
+  nw AS (SELECT act, p, h.c AS was, CASE WHEN p=i THEN b WHEN p=j THEN a ELSE h.c END AS now FROM se JOIN ok USING (act) JOIN h ON h.id=p),
+  cn AS (SELECT act, p, was, now, CASE WHEN other=i THEN b WHEN other=j THEN a ELSE o.c END AS c, o.c AS c0 FROM nw JOIN ok USING (act) JOIN k10 ON k10.id=p JOIN h o ON o.id=other),
+  af AS (SELECT act, p, coalesce(max(n) FILTER (c=now),0) AS own, max(n) AS most FROM (SELECT act, p, now, c, count(*) AS n FROM cn GROUP BY ALL) GROUP BY act, p),
+  be AS (SELECT act, p, coalesce(max(n) FILTER (c0=was),0) AS own, max(n) AS most FROM (SELECT act, p, was, c0, count(*) AS n FROM cn GROUP BY ALL) GROUP BY act, p)
+  SELECT i, b, j, CAST(sum(CAST(af.most>af.own AS INT)-CAST(be.most>be.own AS INT)) AS INT) AS bad, CAST(sum(af.own-be.own) AS INT) AS pairs FROM af JOIN be USING (act, p) JOIN ok USING (act) GROUP BY act, i, b, j""",
     "town_need": f"""SELECT town, n, round(load/60,3) AS hours, load>={CAP}/2 AS is_town, CAST(greatest(1,ceil(load/(0.97*{CAP}))) AS INT) AS need FROM (SELECT town, count(*) AS n, sum(base+trip*sqrt((x-gx)*(x-gx)+(y-gy)*(y-gy))) AS load FROM (SELECT *, sum(x*(base+1e-9)) OVER t/sum(base+1e-9) OVER t AS gx, sum(y*(base+1e-9)) OVER t/sum(base+1e-9) OVER t AS gy
   FROM (SELECT q.town, x.x, x.y, f.v*(f.m+f.hop) AS base, f.v*f.tpk AS trip FROM x JOIN ft f USING (k) JOIN ({reach(TOWN_EDGES, "x")}) q ON q.id=x.k) WINDOW t AS (PARTITION BY town)) GROUP BY town) WHERE n>1""",
     "territory_colours": """WITH RECURSIVE ce2 AS MATERIALIZED (SELECT unit, area, x, y, CAST(row_number() OVER (ORDER BY md5(unit), unit) AS INT) AS i FROM un),

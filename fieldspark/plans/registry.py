@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import distance, haversine, morton, projected
-from ..operators import areas, chains, colouring, contiguity, focus, outputs, power, territories, units, workload
+from ..operators import areas, chains, colouring, contiguity, focus, outputs, placement, power, territories, units, workload
 from ..operators.components import components
 from ..operators.knn import knn
 from ..operators.outliers import with_outliers
@@ -516,6 +516,40 @@ def chain_costs(spark, sf):
     return chains.chain_costs(chains.ways_out(moves), loads, cap).select("a", "b", r("total"))
 
 
+@query
+def placement_gains(spark, sf):
+    """Moves and swaps of clients that their ten nearest outvote, codes as territories of at most 1.02 mean loads: change of misplaced clients and of pairs in one territory."""
+    pts = _global(spark, sf)
+    at = pts.groupBy(F.col("postal").alias("c")).agg(F.avg("x").alias("gx"), F.avg("y").alias("gy"))
+    rows = written(pts.select("id", F.col("postal").alias("c"), "x", "y", F.col("visit_load").alias("base"), (F.col("v") * 0.5).alias("trip")), "gains-rows")
+    amount = placement.amounts(rows.drop("c"), at)
+    cap = amount(rows.select("id", "c")).groupBy("c").agg(F.sum("amount").alias("s")).agg(F.avg("s")).first()[0] * 1.02
+    return placement.gains(_near(spark, sf, 10), rows.select("id", "c"), amount, cap).select("i", "b", "j", F.col("bad").cast("int"), F.col("pairs").cast("int"))
+
+
+def _improved(spark, sf) -> DataFrame:
+    """The filled territories after the local search: id, territory, before and load."""
+
+    def build(model: DataFrame, full: DataFrame) -> DataFrame:
+        rows = written(territories.clients(model, SUBSET), "improved-rows")
+        homes = full.select("id", F.col("territory").alias("c"))
+        near = knn(rows, 10, SUBSET).select("id", "other")
+        amount = placement.amounts(rows, full.select(F.col("territory").alias("c"), "gx", "gy").distinct())
+        ends = placement.placed(near, homes, amount, CAP, rounds=12)
+        was, now = (placement.misplaced(near, h).withColumn(n, F.lit(1)) for h, n in ((homes, "was"), (ends, "now")))
+        out = amount(ends).select("id", F.col("c").alias("territory"), F.col("amount").alias("load"))
+        return out.join(homes.withColumnRenamed("c", "before"), "id").join(was, "id", "left").join(now, "id", "left").fillna(0, ["was", "now"]).join(model.select("id", "area_id", "area"), "id")
+
+    return kept([_model(spark, sf), _filled(spark, sf)], "improved", P, build)
+
+
+@query
+def territories_placed(spark, sf):
+    """Of each area the clients that moved and those misplaced before and after the local search."""
+    per = _improved(spark, sf).groupBy("area_id", "area", "territory").agg(F.count_if(F.col("territory") != F.col("before")).alias("moved"), F.sum("was").alias("before"), F.sum("now").alias("after"), F.sum("load").alias("load"))
+    return per.groupBy("area").agg(F.count(F.lit(1)).alias("territories"), F.sum("moved").alias("moved"), F.sum("before").alias("misplaced_before"), F.sum("after").alias("misplaced"), r(F.max("load") / 60, 3, "largest_hours"))
+
+
 @query
 def town_need(spark, sf):
     """Places of several clients with their load from their own centres: it is a town from half a capacity on; and how many territories it needs."""
