@@ -181,6 +181,9 @@ SQL = {n: f"WITH RECURSIVE {BASE}, {q[15:]}" if q.startswith("WITH RECURSIVE ")
   SELECT unit AS name, (SELECT cs FROM st ORDER BY i DESC LIMIT 1)[ce2.i] AS colour FROM ce2""",
     "cut_vertices": """WITH RECURSIVE ie AS MATERIALIZED (SELECT u AS a, v AS b FROM ue JOIN un p ON p.unit=u JOIN un q ON q.unit=v WHERE p.area=q.area UNION ALL SELECT v, u FROM ue JOIN un p ON p.unit=u JOIN un q ON q.unit=v WHERE p.area=q.area),
   rea AS (SELECT a AS v, min(b) AS t FROM ie GROUP BY a UNION SELECT rea.v, ie.b FROM rea JOIN ie ON ie.a=rea.t WHERE ie.b<>rea.v) SELECT DISTINCT a AS unit FROM ie WHERE NOT EXISTS (SELECT 1 FROM rea WHERE rea.v=ie.a AND rea.t=ie.b)""",
+    "seed_distances": """WITH RECURSIVE ee AS MATERIALIZED (SELECT u AS a, v AS b, km AS w FROM ue UNION ALL SELECT v, u, km FROM ue), se AS MATERIALIZED (SELECT min(unit) AS seed FROM un GROUP BY state_id),
+  sd(unit, seed, d) USING KEY (unit) AS (SELECT seed, seed, 0::DOUBLE FROM se UNION SELECT b, arg_min(seed, (d, seed)), min(d) FROM (SELECT e.b, sd.seed, sd.d+e.w AS d FROM sd JOIN ee e ON e.a=sd.unit) n
+  WHERE NOT EXISTS (SELECT 1 FROM recurring.sd r WHERE r.unit=n.b AND (r.d<n.d OR (r.d=n.d AND r.seed<=n.seed))) GROUP BY b) SELECT unit, seed, round(d,3) AS km FROM sd""",
     "principal_axis": "SELECT area_id, land_id, n, round(gx,3) AS gx, round(gy,3) AS gy, round(atan(ay/ax),6) AS angle FROM ax WHERE n>1",
     "bisection_round1": "SELECT k AS id, coalesce(before,0)>=goal OR nth=n AS second FROM (SELECT *, sum(share) OVER (PARTITION BY area_id, land_id ORDER BY proj, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, row_number() OVER (PARTITION BY area_id, land_id ORDER BY proj, k) AS nth, sum(share) OVER (PARTITION BY area_id, land_id)*floor(m2/2)/m2 AS goal FROM cu)",
     "client_detail": "SELECT customer_id, ra AS area, territory+1 AS territory, postal, round(load/60,3) AS load_hours, round(visit_load/60,3) AS visit_hours, round(greatest(0,(load-visit_load)/60),3) AS travel_hours FROM l",

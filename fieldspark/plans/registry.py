@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import distance, haversine, morton, projected
-from ..operators import areas, chains, colouring, contiguity, focus, outputs, placement, power, territories, units, workload
+from ..operators import areas, chains, colouring, contiguity, focus, growth, outputs, placement, power, territories, units, workload
 from ..operators.components import components
 from ..operators.knn import knn
 from ..operators.outliers import with_outliers
@@ -575,6 +575,36 @@ def cut_vertices(spark, sf):
     return contiguity.cut_vertices(inner.select(F.col("u").alias("a"), F.col("v").alias("b"))).select(F.col("v").alias("unit"))
 
 
+@query
+def seed_distances(spark, sf):
+    """Of every code that the first codes of the states reach over neighbouring codes: the nearest of them and the way there."""
+    seeds = _units(spark, sf).groupBy("state_id").agg(F.min("unit").alias("node")).select(F.col("node").alias("seed"), "node")
+    edges = _unit_edges(spark, sf).select(F.col("u").alias("a"), F.col("v").alias("b"), F.col("km").alias("w"))
+    return growth.distances(edges, seeds, delta=400.0).select(F.col("node").alias("unit"), "seed", r("dist", 3, "km"))
+
+
+def _grown(spark, sf) -> DataFrame:
+    """Units (whole codes, and clients of codes too large) of each area and landmass with the territory that grew to them over the clients' neighbour graph."""
+
+    def build(model: DataFrame, points: DataFrame) -> DataFrame:
+        pts = written(territories.postal_units(model, SUBSET, P.capacity_hours).withColumn("unit", F.concat_ws("|", *SUBSET, "unit")), "grown-points")
+        units = written(territories.unit_rows(pts, SUBSET).withColumnRenamed("unit", "id"), "grown-units")
+        of = lambda i, u: pts.select(F.col("id").alias(i), F.col("unit").alias(u))
+        pairs = gabriel(points).join(of("id", "a"), "id").join(of("other", "b"), "other").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        at = lambda u: units.select(F.col("id").alias(u), F.struct("x", "y").alias(f"at_{u}"))
+        far = F.hypot(F.col("at_a.x") - F.col("at_b.x"), F.col("at_a.y") - F.col("at_b.y"))
+        return growth.territories(units.select(*SUBSET, "id", "n", "x", "y", "base", "trip"), pairs.join(at("a"), "a").join(at("b"), "b").select("a", "b", far.alias("w")), SUBSET, CAP)
+
+    return kept([_model(spark, sf), _global(spark, sf).select("id", "x", "y")], "grown", P, build)
+
+
+@query
+def territories_grown(spark, sf):
+    """Territories of whole units that hang together: units, clients and hours, travel from the unit where each began to grow."""
+    per = _grown(spark, sf).groupBy(*SUBSET, "part").agg(F.count(F.lit(1)).alias("units"), F.sum("n").alias("clients"), r(F.sum("amount") / 60, 3, "hours"))
+    return per.withColumnRenamed("part", "grown_from")
+
+
 @query
 def solved_assignment(spark, sf):
     return outputs.assignment_lines(_planned(spark, sf))
