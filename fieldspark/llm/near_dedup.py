@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dealt, forget, let, salt_of, salts_used, table, text_or_empty, written
+from .common import dealt, forget, let, salt_of, salts_used, small_batches, table, text_or_empty, written
 from .exact_dedup import one_per
 from .fingerprints import shingles, word_hashes
 
@@ -150,7 +150,8 @@ def profiled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, key, salt) of every row, and of every key: rep (a number), rep_id (its least doc_id), n, bands, and the row whose text it takes."""
     both = let(word_hashes(text_or_empty()), lambda w: F.struct(_key(w).alias("key"), shingles(w).alias("s")))
     rows = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("text_hash"), both.alias("p")).select("doc_id", "text_hash", "p.key", "p.s")
-    rows = written(rows.mapInArrow(banded(BANDS, ROWS), PROFILE).withColumn("salt", salt_of("doc_id", "text_hash")), "near-profiles")
+    with small_batches(docs.sparkSession):
+        rows = written(rows.mapInArrow(banded(BANDS, ROWS), PROFILE).withColumn("salt", salt_of("doc_id", "text_hash")), "near-profiles")
     some = F.first(F.struct(F.col("doc_id").alias("at_id"), "text_hash", "n", "bands")).alias("at")
     reps = rows.groupBy("key").agg(F.min("doc_id").alias("rep_id"), salts_used().alias("salts"), some)
     return rows, written(reps.select("key", "rep_id", "salts", "at.*").withColumn("rep", F.monotonically_increasing_id()), "near-reps")
@@ -173,7 +174,8 @@ def bags_of(docs: DataFrame, reps: DataFrame, wanted: DataFrame) -> DataFrame:
     texts = texts.withColumn("slot", slot("text_hash")).join(F.broadcast(at.select(slot("at_hash")).distinct()), "slot", "left_semi")
     texts = texts.join(at, (F.col("text_hash") == F.col("at_hash")) & F.col("doc_id").eqNullSafe(F.col("at_id")))
     bags = texts.select("rep", shingles(word_hashes(text_or_empty())).alias("s")).mapInArrow(bagged, "rep long, n int, bag array<long>, codes array<int>")
-    bags = written(bags.groupBy("rep").agg(F.first(F.struct("n", "bag", "codes")).alias("b")).select("rep", "b.*"), "near-bags")  # a row may repeat
+    with small_batches(docs.sparkSession):
+        bags = written(bags.groupBy("rep").agg(F.first(F.struct("n", "bag", "codes")).alias("b")).select("rep", "b.*"), "near-bags")  # a row may repeat
     forget(at)
     return bags
 

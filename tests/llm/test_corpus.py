@@ -133,6 +133,27 @@ def test_near_dedup_tells_texts_without_words_apart(spark):
     assert sorted(x["doc_id"] for x in near_dedup.drop_near(docs).collect()) == [0, 2, 3, 5, 6]
 
 
+def test_near_dedup_hands_python_small_batches(spark, monkeypatch):
+    """Long lists of shingles are held by every running task; the session's setting is as before."""
+    plain = near_dedup.banded
+
+    def watched(bands, rows):
+        run = plain(bands, rows)
+
+        def over(batches):
+            for b in batches:
+                if b.num_rows > 512:
+                    raise ValueError(f"{b.num_rows} rows at a time")
+                yield from run(iter([b]))
+
+        return over
+
+    monkeypatch.setattr(near_dedup, "banded", watched)
+    docs = spark.range(1500).repartition(1).selectExpr("id doc_id", "concat('one two three four five ', id % 700) text")
+    assert near_dedup.near_dedup(docs).select("rep").distinct().count() == 700
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
+
+
 def test_signature_estimates_weighted_jaccard():
     h = np.arange(1, 401, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     a, b = np.ones(300, int) * 3, np.ones(300, int) * 2
