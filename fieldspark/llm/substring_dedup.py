@@ -27,11 +27,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SALTS, cleaned, dealt, forget, salt_of, salts_used, table, text_or_empty, written
+from .common import SALTS, cleaned, dealt, forget, salt_of, salts_used, small_batches, table, text_or_empty, written
 
 WINDOW, KEY, GROUP = 35, 8, 2000
 OFFSETS = WINDOW - KEY + 1
-LOT, ROWS, MEMO, PLACE = 1 << 19, 20_000, 1 << 20, 24  # words of a lot, suffixes of a forest, words remembered, bits of a place in a lot
+LOT, ROWS, MEMO, PLACE = 1 << 17, 5000, 1 << 17, 24  # words of a lot, suffixes of a forest, words remembered, bits of a place in a lot
 ADDED = ("n_words", "n_removed", "spans", "kept")
 ID = ["_sub_id", "_sub_hash"]
 ODD = 0x9E3779B97F4A7C15
@@ -173,9 +173,7 @@ def _grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out.filter(pa.array(mask != 0)).combine_chunks().to_batches()
 
     held = None
-    for b in batches:
-        if not b.num_rows:
-            continue
+    for b in (b.slice(a, ROWS) for b in batches for a in range(0, b.num_rows, ROWS)):
         t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
         key = t["group"].to_numpy()
         last = int(np.argmax(key == key[-1])) if len(key) >= ROWS else 0  # the last group may go on
@@ -256,7 +254,11 @@ def repeats(rows: DataFrame) -> DataFrame:
     forget(all_)
     cleaned(rows.sparkSession)
     found = _repeating(spanned)
-    return found.groupBy(*ID).agg(F.collect_set(F.struct((F.col("at") - F.col("hi")).alias("start"), "mask")).alias("windows"))
+    windows = found.groupBy(*ID).agg(F.collect_set(F.struct((F.col("at") - F.col("hi")).alias("start"), "mask")).alias("windows"))
+    windows = written(windows, "substring-windows", "zstd")
+    forget(spanned)
+    cleaned(rows.sparkSession)
+    return windows
 
 
 def _left(words: list[bytes], windows: list[dict] | None) -> tuple[list[bytes], list[tuple[int, int]]]:
@@ -293,5 +295,6 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
 
 
 def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    with small_batches(spark):
+        out = drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+        return written(out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")), "substring-result", "zstd")

@@ -1,9 +1,11 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from fieldspark.llm import substring_dedup
@@ -90,3 +92,33 @@ def test_spans_columns_and_nothing(spark):
     got = {x["doc_id"]: x for x in substring_dedup.drop_repeats(docs).collect()}
     assert got[1]["kept"] == "a b c" and [tuple(s) for s in got[1]["spans"]] == [(2, 42)] and got[1]["extra"] == 7 and got[2]["kept"] == "d"
     assert substring_dedup.drop_repeats(docs.limit(0)).count() == 0
+
+
+def test_forests_are_small_whatever_the_batch(monkeypatch):
+    """A forest takes ROWS suffixes and the rest of the last group, though a batch brings many more."""
+    seen, forest = [], substring_dedup.forest
+    monkeypatch.setattr(substring_dedup, "forest", lambda group, *more: seen.append(len(group)) or forest(group, *more))
+    n, span = 12_000, " ".join(f"w{i}" for i in range(WINDOW))
+    batch = pa.RecordBatch.from_pydict({
+        "group": np.arange(n) // 3, "lo": np.full(n, 5, np.int32), "hi": np.full(n, 5, np.int32), "copies": np.ones(n, np.int64), "span": [span] * n, "same": np.arange(n)})
+    out = pa.Table.from_batches(list(substring_dedup._grown(iter([batch, batch.slice(0, 0)]))))
+    assert out.num_rows == n == sum(seen) and set(out["mask"].to_pylist()) == {1} and max(seen) <= 5000 + substring_dedup.GROUP
+
+
+def test_remembered_words_take_little_memory():
+    tracemalloc.start()
+    memo = substring_dedup.Hashes()
+    for i in range(400_000):
+        memo[f"word{i:07}".encode()]
+    size = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert size < 40e6
+
+
+def test_query_hands_python_small_batches(spark, tmp_path, monkeypatch):
+    """The batches of the query's own steps are small, and the session's setting is as before."""
+    name, seen, written = "spark.sql.execution.arrow.maxRecordsPerBatch", [], substring_dedup.written
+    monkeypatch.setattr(substring_dedup, "written", lambda *a: seen.append((a[1], int(spark.conf.get(name)))) or written(*a))
+    got, want = answers(spark, tmp_path, corpus(3, 20))
+    assert got == want and {"substring-anchors", "substring-spans", "substring-result"} <= {x for x, _ in seen} and max(n for _, n in seen) <= 512
+    assert spark.conf.get(name) == "10000"
