@@ -9,7 +9,7 @@ the character before it (how far back it starts, how far on it ends), so a chunk
 text allows at its start to each at its end. Matrices are combined in max-plus, FAN at a time, level by level; the states at all
 cuts follow on the way down, and every chunk is then traced back on its own. As the path is unique, ids do not depend on the chunks.
 Where no piece holds a word mark after another character, every path passes there: between such places the library merges
-pre-tokens, which are remembered, and only the ends of a chunk are walked.
+pre-tokens, which are remembered, and only the ends of a chunk are walked; what is between them goes on as ids, merged once, and not as text.
 
 Characters without a piece become their bytes and score `miss`, once. Null and empty texts have no ids and score 0; repeated rows and
 ids repeat; an empty table gives an empty result; extra columns stay, but for `ids`, `score` and names that start with
@@ -21,7 +21,6 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -30,12 +29,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, text_or_empty, written
-from .token_counts import MARK, MEMO, PRE, Words, ids_of_words, library, lots, model_bytes, plain_pieces, pre_tokens, splittable
+from .token_counts import LOT, MARK, MEMO, PRE, Words, ids_of_words, library, lots, model_bytes, plain_pieces, pre_tokens, splittable
 
 CHUNK, FAN = 1 << 14, 256
 NONE = -np.inf
 MATRIX = "uid long, idx long, ins array<int>, outs array<int>, m array<double>"
 STATES = "uid long, idx long, s_in int, s_out int"
+INTS = pa.list_(pa.int32())
+CHUNKS = pa.schema({"uid": pa.int64(), "idx": pa.int64(), "s": pa.string(), "start": pa.int32(), "n": pa.int32(), "at": pa.int32(), "middle": INTS, "ins": INTS, "outs": INTS, "m": pa.list_(pa.float64())})
 
 
 class Pieces:
@@ -59,18 +60,22 @@ class Pieces:
         self.longest = max(map(len, self.known))
         self.prefixes = {p[:k] for p in self.known for k in range(1, len(p) + 1)}
         self.split = splittable(model) if split is None else split
-        self.words = Words(lambda new: list(map(tuple, ids_of_words(self.sp, new))))
+        self.words = Words(lambda new: [array("i", ids).tobytes() for ids in ids_of_words(self.sp, new)])
         self.pairs: dict[tuple[str, str], bool] = {}
         silent = {i for i in range(n) if sp.is_control(i)}
         self.shown = ["" if i in silent else " ⁇ " if sp.is_unknown(i) else t.replace(MARK, " ") for i, t in enumerate(self.text)]
+        for i, b in self.bytes.items():
+            if b < 0x80:  # a character by itself, whatever stands beside it
+                self.shown[i] = chr(b)
+        self.part = np.array([self.bytes.get(i, 0) >= 0x80 for i in range(n)])
 
     def score(self, ids) -> float:
         return float(self.value[ids].sum()) if len(ids) else 0.0
 
-    def encode(self, texts: list[str]) -> list[array]:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.split:
-            return [array("i", ids) for ids in self.sp.encode(texts, num_threads=1)]
-        return [array("i", chain.from_iterable(ids)) for ids in self.words.values_of([pre_tokens(t) if t else [] for t in texts])]
+            return [np.array(ids, np.int32) for ids in self.sp.encode(texts, num_threads=1)]
+        return [np.frombuffer(b"".join(ids), np.int32) for ids in self.words.values_of([pre_tokens(t) if t else [] for t in texts])]
 
     def ids_of(self, piece: str) -> list[int]:
         i = self.known.get(piece)
@@ -116,9 +121,10 @@ class Pieces:
             last = walked[end][0]
         return [i for ids in reversed(out) for i in ids]
 
-    def between(self, s: str) -> array:
-        """Ids of a stretch between two places that every path passes."""
-        return array("i", chain.from_iterable(self.words.values_of([[p[1:] for p in PRE.findall(s)]])[0]))
+    def between(self, stretches: list[str]) -> list[np.ndarray]:
+        """Ids of stretches, each between two places that every path passes."""
+        words = [s[1:].split(MARK) if s and MARK * 2 not in s and s[-1] != MARK else [p[1:] for p in PRE.findall(s)] for s in stretches]
+        return [np.frombuffer(b"".join(ids), np.int32) for ids in self.words.values_of(words)]
 
     def passes(self, s: str, start: int, end: int) -> tuple[int, int] | None:
         """First and last place after start and before end that every path passes."""
@@ -137,47 +143,56 @@ class Pieces:
         width = self.longest + 1
         return sorted((at - i) * width + j - at for i in range(max(0, at - self.longest), at) for j in self.ends(s, i) if j >= at)
 
-    def matrix(self, s: str, start: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def without_middles(self, chunks: list[tuple[str, int, int]]) -> list[tuple[str, int, int, int, np.ndarray]]:
+        """(s, start, n, at, ids) of chunks: without what lies between the first and the last place that every path passes, its ids, and where it was; -1 for none."""
+        cuts = [self.passes(s, start, start + n) for s, start, n in chunks]
+        ids = iter(self.between([s[c[0]:c[1]] for (s, _, _), c in zip(chunks, cuts) if c]))
+        return [(s[:c[0]] + s[c[1]:], start, n - c[1] + c[0], c[0], next(ids)) if c else (s, start, n, -1, np.zeros(0, np.int32)) for (s, start, n), c in zip(chunks, cuts)]
+
+    def matrix(self, s: str, start: int, n: int, at: int | None = None, middle: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """States in, states out and the scores from each to each, for n characters of s from start; s has more around them."""
+        if at is None:
+            s, start, n, at, middle = self.without_middles([(s, start, n)])[0]
         width, end = self.longest + 1, start + n
-        ins, cuts, rows = self.states(s, start), self.passes(s, start, end), []
+        ins, rows = self.states(s, start), []
         outs_of = lambda at: {(end - i) * width + j - end: v for j, (i, v) in at.items() if i < end <= j}
-        if cuts:
-            mid, tail = self.score(self.between(s[cuts[0]:cuts[1]])), outs_of(self.walk(s, cuts[1], cuts[1], end))
+        if at >= 0:
+            mid, tail = self.score(middle), outs_of(self.walk(s, at, at, end))
         for code in ins:
             h, i = start - code // width, start + code % width
             if i >= end and code:
                 rows.append({(end - h) * width + i - end: 0.0})
-            elif cuts:
-                head = self.walk(s, h, i, cuts[0]).get(cuts[0])
+            elif at >= 0:
+                head = self.walk(s, h, i, at).get(at)
                 rows.append({o: head[1] + mid + v for o, v in tail.items()} if head else {})
             else:
                 rows.append(outs_of(self.walk(s, h, i, end)))
         outs = sorted({o for r in rows for o in r})
         return np.array(ins), np.array(outs), np.array([[r.get(o, NONE) for o in outs] for r in rows])
 
-    def ids(self, s: str, start: int, n: int, s_in: int, s_out: int) -> list[int]:
+    def ids(self, s: str, start: int, n: int, s_in: int, s_out: int, at: int | None = None, middle: np.ndarray | None = None) -> list[int]:
         """Ids of the pieces that start in the chunk, given the states at its ends."""
+        if at is None:
+            s, start, n, at, middle = self.without_middles([(s, start, n)])[0]
         width, end = self.longest + 1, start + n
         h, i = start - s_in // width, start + s_in % width
         last, stop = end - s_out // width, end + s_out % width
         if last < start:
             return []
-        cuts = self.passes(s, start, end)
-        if not cuts:
+        if at < 0:
             return self.back(s, self.walk(s, h, i, end), i, last, stop)
-        head, tail = self.walk(s, h, i, cuts[0]), self.walk(s, cuts[1], cuts[1], end)
-        return self.back(s, head, i, head[cuts[0]][0], cuts[0]) + list(self.between(s[cuts[0]:cuts[1]])) + self.back(s, tail, cuts[1], last, stop)
+        head, tail = self.walk(s, h, i, at), self.walk(s, at, at, end)
+        return self.back(s, head, i, head[at][0], at) + middle.tolist() + self.back(s, tail, at, last, stop)
 
     def decode(self, ids, begins: bool = True) -> str:
         """The text of ids; where a text begins with them, without the blank set before it. A character's bytes stay together in a chunk, so chunks decode apart."""
-        ids = ids.tolist() if hasattr(ids, "tolist") else list(ids)
-        first = " " if begins else ""
-        if self.bytes.keys().isdisjoint(ids):
-            return "".join(map(self.shown.__getitem__, ids)).removeprefix(first)
+        ids = np.asarray(ids, np.int32)
+        first, part = " " if begins else "", self.part[ids]
+        if not part.any():
+            return "".join(map(self.shown.__getitem__, ids.tolist())).removeprefix(first)
         out, run = [], bytearray()
-        for i in ids:
-            if i in self.bytes:
+        for i, is_part in zip(ids.tolist(), part.tolist()):
+            if is_part:
                 run.append(self.bytes[i])
                 continue
             if run:
@@ -244,23 +259,35 @@ def spread(group: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
 def _long(docs: DataFrame, model: bytes, chunk: int, split: bool) -> DataFrame:
     """uid, ids, score and back (what the ids decode to, chunk by chunk) of rows (uid, text)."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pieces = pieces_of(model, split)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces, held, size = pieces_of(model, split), [], 0
+
+        def batch() -> pa.RecordBatch:
+            short = pieces.without_middles([x[2:] for x in held])
+            columns = [*list(zip(*held))[:2], *zip(*short), *zip(*[(a, b, m.ravel()) for a, b, m in (pieces.matrix(*x) for x in short)])]
+            return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, CHUNKS.types)], schema=CHUNKS)
+
         for b in batches:
-            for uid, text in zip(b["uid"], b["text"]):
-                for k, (s, start, n) in enumerate(chunks_of(pieces, text, chunk)):
-                    ins, outs, m = pieces.matrix(s, start, n)
-                    yield pd.DataFrame({"uid": [uid], "idx": [k], "start": [start], "n": [n], "s": [s], "ins": [ins], "outs": [outs], "m": [m.ravel()]})
+            for uid, text in zip(b["uid"].to_pylist(), b["text"]):
+                for k, x in enumerate(chunks_of(pieces, text.as_py(), chunk)):
+                    held.append((uid, k, *x))
+                    size += x[2]
+                    if size >= LOT:
+                        yield batch()
+                        held, size = [], 0
+        if held:
+            yield batch()
 
     def back(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pieces = pieces_of(model, split)
         for b in batches:
-            ids = [np.array(pieces.ids(*x), np.int32) for x in zip(b["s"], b["start"], b["n"], b["s_in"], b["s_out"])]
+            ids = [np.array(pieces.ids(*x), np.int32) for x in zip(b["s"], b["start"], b["n"], b["s_in"], b["s_out"], b["at"], b["middle"])]
             shown = [pieces.decode(i, k == 0) for i, k in zip(ids, b["idx"])]
             yield pd.DataFrame({"uid": b["uid"], "idx": b["idx"], "ids": ids, "score": [pieces.score(i) for i in ids], "back": shown})
 
     width = Pieces(model, split).longest + 1
-    chunks = written(docs.mapInPandas(cut, "uid long, idx long, start int, n int, s string, ins array<int>, outs array<int>, m array<double>"), "scan-chunks", "zstd")
+    kinds = "uid long, idx long, s string, start int, n int, at int, middle array<int>, ins array<int>, outs array<int>, m array<double>"
+    chunks = written(docs.mapInArrow(cut, kinds), "scan-chunks", "zstd")
     levels = [chunks.select("uid", "idx", "ins", "outs", "m")]
     while (levels[-1].agg(F.max("idx")).first()[0] or 0) > 0:
         up = levels[-1].withColumn("g", F.floor(F.col("idx") / FAN)).groupBy("uid", "g").applyInPandas(lambda p: combined(p), MATRIX)
@@ -272,7 +299,7 @@ def _long(docs: DataFrame, model: bytes, chunk: int, split: bool) -> DataFrame:
         rows = rows.withColumn("g", F.floor(F.col("idx") / FAN))
         states = states.groupBy("uid", "idx").cogroup(rows.groupBy("uid", "g")).applyInPandas(lambda g, r: spread(g, r), STATES)
         states = written(states, "scan-states")
-    parts = chunks.select("uid", "idx", "start", "n", "s").join(states, ["uid", "idx"]).mapInPandas(back, "uid long, idx long, ids array<int>, score double, back string")
+    parts = chunks.drop("ins", "outs", "m").join(states, ["uid", "idx"]).mapInPandas(back, "uid long, idx long, ids array<int>, score double, back string")
     whole = parts.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("idx", "ids", "back"))).alias("x"), F.sum("score").alias("score"))
     return whole.select("uid", F.flatten("x.ids").alias("ids"), "score", F.array_join("x.back", "").alias("back"))
 
@@ -286,13 +313,12 @@ def encode(docs: DataFrame, model: bytes | None = None, chunk: int = CHUNK, back
     def at_once(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         pieces = pieces_of(model, split)
         for texts in batches:
-            ids, ends, scores, shown = array("i"), [0], [], []
+            ids, scores, shown = [np.zeros(0, np.int32)], [], []
             for got in (got for lot in lots(t.as_py() for t in texts) for got in pieces.encode(lot)):
-                ids += got
-                ends.append(len(ids))
+                ids.append(got)
                 scores.append(pieces.score(got))
                 shown.append(pieces.decode(got) if back else None)
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, np.int32)))
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum(list(map(len, ids))), pa.int32()), pa.array(np.concatenate(ids)))
             yield pa.StructArray.from_arrays([lists, pa.array(scores, pa.float64()), pa.array(shown, pa.string())], ["ids", "score", "back"])
 
     is_long = F.length(text_or_empty()) >= chunk

@@ -21,7 +21,7 @@ from .common import table
 
 MARK = "▁"
 PRE = re.compile(f"{MARK}+[^{MARK}]*")
-MODEL, LIMIT, MEMO, LONGEST, LOT = "piece_bpe_32k.model", 4096, 100_000, 64, 1 << 20
+MODEL, LIMIT, MEMO, LONGEST, LOT, PART = "piece_bpe_32k.model", 4096, 100_000, 64, 1 << 20, 256
 
 
 def library(model: bytes):
@@ -70,7 +70,7 @@ class Words(dict):
         self.of = of
 
     def values_of(self, lists: list[list[str]]) -> list[list]:
-        new = list(set().union(*lists) - self.keys())
+        new = [w for w in set().union(*lists) if w not in self]
         self.update(zip(new, self.of(new)))
         out = [list(map(self.__getitem__, words)) for words in lists]
         full = len(self) > MEMO
@@ -92,10 +92,12 @@ def lots(texts: Iterable[str | None]) -> Iterator[list[str]]:
     yield lot
 
 
-def ids_of_words(sp, words: list[str]) -> list[list[int]]:
-    """Ids of pre-tokens given without their first mark."""
+def ids_of_words(sp, words: list[str]) -> Iterator[list[int]]:
+    """Ids of pre-tokens given without their first mark; PART at a time, for with more lists alive Python's collector would pass over them again and again."""
     mark = [sp.piece_to_id(MARK)]
-    return [ids if w else mark for w, ids in zip(words, sp.encode([w.replace(MARK, " ") for w in words], num_threads=1))] if words else []
+    for at in range(0, len(words), PART):
+        part = words[at:at + PART]
+        yield from (ids if w else mark for w, ids in zip(part, sp.encode([w.replace(MARK, " ") for w in part], num_threads=1)))
 
 
 class Counts:

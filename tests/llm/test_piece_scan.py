@@ -106,3 +106,45 @@ def test_op1_gives_the_ids_of_the_library(spark, tmp_path, library):
         ids = library.encode(text) if text else []
         assert got[i]["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest() and got[i]["n_tokens"] == len(ids)
         assert got[i]["round_trip"] or "\x00" in text
+
+
+def test_each_chunk_is_merged_once(pieces, library):
+    """What lies between the places that every path passes is not merged again when a chunk is traced back."""
+    text = "the quick brown fox, 日本 ☃ jumps over  the lazy dog and " * 6 + "end"
+    parts = pieces.without_middles(list(piece_scan.chunks_of(pieces, text, 100)))
+    assert all(at < 0 for *_, at, _ in parts) or pieces.split and sum(len(s) for s, *_ in parts) < len(text)
+    pieces.words.of = None  # nothing may ask for a word again
+    try:
+        ms, out = [pieces.matrix(*p) for p in parts], None
+        for m in ms:
+            out = m if out is None else piece_scan.product(out, m)
+        end = next(o for o, v in zip(out[1], out[2][0]) if o % (pieces.longest + 1) == 0 and v > piece_scan.NONE)
+        rows = pd.DataFrame({"uid": 0, "idx": range(len(ms)), "ins": [m[0] for m in ms], "outs": [m[1] for m in ms], "m": [m[2].ravel() for m in ms]})
+        states = piece_scan.spread(pd.DataFrame({"s_in": [0], "s_out": [end]}), rows)
+        got = [i for (s, start, n, at, middle), a, b in zip(parts, states["s_in"], states["s_out"]) for i in pieces.ids(s, start, n, a, b, at, middle)]
+    finally:
+        pieces.words = piece_scan.Pieces(token_counts.model_bytes(), pieces.split).words
+    assert got == library.encode(text)
+
+
+def test_words_are_merged_in_small_parts():
+    """Many lists of ids alive at once make Python's collector pass over them again and again."""
+    asked = []
+
+    class Model:
+        def piece_to_id(self, piece):
+            return 7
+
+        def encode(self, words, num_threads):
+            asked.append(len(words))
+            return [[len(w)] for w in words]
+
+    words = ["", *(f"w{i}" for i in range(2000))]
+    assert list(token_counts.ids_of_words(Model(), words)) == [[7], *([len(w)] for w in words[1:])] and max(asked) <= 256
+
+
+@pytest.mark.parametrize("ids_of", [[0xC3], [0xC3, 0x41], [0xE6, 0x97, 0xA5, 0x0A, 0x80], [0x0A, 0xF0, 0x9F, 0x0A, 0x0A], [0x00, 0xC3, 0xA9]])
+def test_bytes_decode_as_the_library_decodes_them(pieces, library, ids_of):
+    back = {b: i for i, b in pieces.bytes.items()}
+    ids = [305, *(back[b] for b in ids_of), 305]
+    assert pieces.decode(ids, False) == pieces.shown[305] + bytes(ids_of).decode("utf-8", "replace") + pieces.shown[305]
