@@ -199,3 +199,29 @@ def test_a_users_table_is_planned_end_to_end(spark):
     assert len(lines) == 61 and all(",unassigned," in x for x in lines)  # nothing is divided while the areas are missing
     with pytest.raises(ValueError, match="customer_id"):
         plan.by_role(user_table(spark))
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_matching_in_one_task_equals_rounds_of_jobs(spark, seed, monkeypatch):
+    made = []
+    monkeypatch.setattr(matching, "written", lambda df, label, f=matching.written: made.append(label) or f(df, label))
+    r = random.Random(seed)
+    prefs = [(i, s, d, d, r.choice([1.0, 2.0, 7.0])) for i in range(60) for s in r.sample(range(5), r.randrange(1, 5)) for d in [r.choice([r.random(), 0.5])]]
+    df = spark.createDataFrame(prefs, "id long, seed long, pos double, dist double, amount double").withColumn("pos", F.struct("pos", "seed"))
+    room = spark.createDataFrame([(s, r.choice([0.0, 9.0, 20.0])) for s in range(5)], "seed long, room double")
+    got = lambda held: sorted(map(tuple, matching.matching(df, room, held).collect()))
+    assert got(None) == got(df.count() - 3)
+    few = len(made)
+    assert got(0) == got(None) and few < 20 and matching.matching(df.limit(0), room).collect() == []
+
+
+def test_a_long_line_of_refusals_makes_few_tables(spark, monkeypatch):
+    """Each client drives the next one out of its first seed, so that as many rounds follow one another as there are clients."""
+    made = []
+    monkeypatch.setattr(matching, "written", lambda df, label, f=matching.written: made.append(label) or f(df, label))
+    n = 40
+    prefs = [(i, i + k, float(k), float(k == 0), 1.0) for i in range(n) for k in (0, 1)] + [(n, 0, 0.0, -1.0, 1.0)]
+    df = spark.createDataFrame(prefs, "id long, seed long, pos double, dist double, amount double")
+    room = spark.createDataFrame([(s, 1.0) for s in range(n + 1)], "seed long, room double")
+    got = {t["id"]: t["seed"] for t in matching.matching(df, room).collect()}
+    assert got == {n: 0, **{i: i + 1 for i in range(n)}} and len(made) < 10
