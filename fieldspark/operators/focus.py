@@ -4,7 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import distance
+from ..sources.shared import written
+from .knn import knn
 
 
 def in_focus(assigned: DataFrame, kind: str, value) -> DataFrame:
@@ -47,17 +48,24 @@ def focus_of_selection(assigned: DataFrame, ids: DataFrame) -> DataFrame:
     return all_.filter("k is not null").select(F.when(one, "territory").otherwise("area").alias("kind"), F.when(one, F.col("t").cast("string")).otherwise(F.col("top.area")).alias("value"))
 
 
-def hover(points: DataFrame, probes: DataFrame, pixels: float = 8.0) -> DataFrame:
-    """probe, id of the nearest client within so many pixels of a probe (probe, plat, plon, zoom), none where there is none.
+def hover(points: DataFrame, probes: DataFrame, pixels: float = 8.0, first: int = 2) -> DataFrame:
+    """probe, id of the nearest client (whose ids are not negative) within so many pixels of a probe (probe, plat, plon, zoom), ties by id, none where there is none.
 
-    Points and probes meet in cells of the probe's own radius, so a probe looks at 3 x 3 of them."""
+    A probe looks up its nearest clients, whatever its radius, so that dense cells make no pairs. Unlike squares may have one root: a probe whose
+    nearest are all as far away as the first looks up four times as many."""
     box = points.agg(F.cos(F.radians((F.min("lat") + F.max("lat")) / 2)).alias("k"))
-    p = probes.withColumn("r", F.lit(pixels) * 360 / (256 * F.pow(F.lit(2.0), F.col("zoom")))).crossJoin(F.broadcast(box)).withColumn("rx", F.col("r") / F.col("k"))  # one row
-    zooms = p.select("r", "rx").distinct()  # as many as there are zoom levels
-    cell = lambda lon, lat: (F.floor(F.col(lon) / F.col("rx")), F.floor(F.col(lat) / F.col("r")))
-    at = points.select("id", "lat", "lon").crossJoin(F.broadcast(zooms)).withColumn("cx", cell("lon", "lat")[0]).withColumn("cy", cell("lon", "lat")[1])
-    steps = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    p = p.withColumn("i", steps).withColumn("j", steps).withColumn("cx", cell("plon", "plat")[0] + F.col("i")).withColumn("cy", cell("plon", "plat")[1] + F.col("j"))
-    d = distance(F.col("lon") * F.col("k"), F.col("lat"), F.col("plon") * F.col("k"), F.col("plat"))
-    met = p.join(at, ["r", "rx", "cx", "cy"]).withColumn("d", d).filter("d < r")
-    return met.groupBy("probe").agg(F.min(F.struct("d", "id")).alias("m")).select("probe", "m.id")
+    plane = lambda df, i, lon, lat: df.crossJoin(F.broadcast(box)).select(F.col(i).alias("id"), (F.col(lon) * F.col("k")).alias("x"), F.col(lat).alias("y"))  # one row
+    at = written(plane(points, "id", "lon", "lat"), "hover-points")
+    asked = written(probes.withColumn("_seek", -1 - F.monotonically_increasing_id()), "hover-probes")
+    todo, k, out = written(plane(asked, "_seek", "plon", "plat"), "hover-seekers"), first, None
+    while not todo.isEmpty():
+        near = knn(at, k, seekers=todo).withColumn("d", F.sqrt("d2"))
+        near = near.groupBy("id").agg(F.min(F.struct("d", "other")).alias("m"), F.max("d").alias("far"), F.count(F.lit(1)).alias("n"))
+        near = written(near.withColumn("open", (F.col("n") == k) & (F.col("far") <= F.col("m.d"))), "hover-near")
+        out = near if out is None else out.filter("not open").unionByName(near)
+        todo, k = written(todo.join(near.filter("open").select("id"), "id", "left_semi"), "hover-seekers"), k * 4
+    if out is None:
+        return probes.select("probe", F.lit(None).cast(points.schema["id"].dataType).alias("id")).limit(0)
+    r = F.lit(pixels) * 360 / (256 * F.pow(F.lit(2.0), F.col("zoom")))
+    met = asked.join(out.select(F.col("id").alias("_seek"), "m"), "_seek").filter(F.col("m.d") < r)
+    return met.groupBy("probe").agg(F.min("m").alias("m")).select("probe", F.col("m.other").alias("id"))
